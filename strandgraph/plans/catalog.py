@@ -1,8 +1,8 @@
 """All registered queries with their oracle SQL."""
 
-from . import graph_queries
+from . import graph_queries, resolve_queries, search_queries
 
-_MODULES = [graph_queries]
+_MODULES = [graph_queries, search_queries, resolve_queries]
 
 
 def queries() -> dict:

@@ -78,9 +78,9 @@ def _(spark, sf):
 
 
 @query("nodes_by_qualified_name", V.star(
-    "SELECT id, kind, name FROM nodes WHERE qualified_name = 'Brand#7::cold widget'"))
+    "SELECT id, kind, name FROM nodes WHERE qualified_name = 'Brand#12::cold widget'"))
 def _(spark, sf):
-    return scans.nodes_by_qualified_name(star(spark, sf), "Brand#7::cold widget").select(*NODE)
+    return scans.nodes_by_qualified_name(star(spark, sf), "Brand#12::cold widget").select(*NODE)
 
 
 @query("nodes_by_lower_name", V.star("SELECT id, kind, name FROM nodes WHERE lower(name) = 'nation_7'"))
@@ -239,17 +239,17 @@ def _(spark, sf):
     return traversal.bfs(g, g.seeds(F.col("name") == "ASIA"), max_depth=3, limit=1000).select("id", "depth")
 
 
-@query("callers_d3", reach_sql(MIN_DEPTH, "qualified_name = 'Brand#7::cold widget'", INC, 3, "depth > 0", V.flow))
+@query("callers_d3", reach_sql(MIN_DEPTH, "qualified_name = 'Brand#12::cold widget'", INC, 3, "depth > 0", V.flow))
 def _(spark, sf):
     g = flow(spark, sf)
-    seeds = g.seeds(F.col("qualified_name") == "Brand#7::cold widget")
+    seeds = g.seeds(F.col("qualified_name") == "Brand#12::cold widget")
     return traversal.callers_within(g, seeds, 3).select("id", "depth")
 
 
-@query("callees_d2", reach_sql(MIN_DEPTH, "qualified_name = 'Brand#7::cold widget'", OUT, 2, "depth > 0", V.flow))
+@query("callees_d2", reach_sql(MIN_DEPTH, "qualified_name = 'Brand#12::cold widget'", OUT, 2, "depth > 0", V.flow))
 def _(spark, sf):
     g = flow(spark, sf)
-    seeds = g.seeds(F.col("qualified_name") == "Brand#7::cold widget")
+    seeds = g.seeds(F.col("qualified_name") == "Brand#12::cold widget")
     return traversal.callees_within(g, seeds, 2).select("id", "depth")
 
 
@@ -258,14 +258,14 @@ def _(spark, sf):
   UNION ALL SELECT id, 'caller', min(depth) FROM up GROUP BY id HAVING min(depth) > 0
   UNION ALL SELECT id, 'callee', min(depth) FROM down GROUP BY id HAVING min(depth) > 0""", """
   up(id, depth) AS (
-    SELECT id, 0 FROM nodes WHERE qualified_name = 'Brand#7::cold widget'
+    SELECT id, 0 FROM nodes WHERE qualified_name = 'Brand#12::cold widget'
     UNION SELECT e.source, depth + 1 FROM up JOIN edges e ON e.target = up.id WHERE depth < 2),
   down(id, depth) AS (
-    SELECT id, 0 FROM nodes WHERE qualified_name = 'Brand#7::cold widget'
+    SELECT id, 0 FROM nodes WHERE qualified_name = 'Brand#12::cold widget'
     UNION SELECT e.target, depth + 1 FROM down JOIN edges e ON e.source = down.id WHERE depth < 2)"""))
 def _(spark, sf):
     g = flow(spark, sf)
-    return traversal.call_graph(g, g.seeds(F.col("qualified_name") == "Brand#7::cold widget"), 2)
+    return traversal.call_graph(g, g.seeds(F.col("qualified_name") == "Brand#12::cold widget"), 2)
 
 
 def _hierarchy(body: str) -> str:
@@ -322,34 +322,32 @@ def _(spark, sf):
 
 
 @query("shortest_path_len", reach_sql(
-    MIN_DEPTH, "qualified_name = 'Brand#7::cold widget'", OUT, None, projection=V.flow,
-    condition="l_returnflag = 'R'").replace("r.depth < 40", "r.depth < 16"))
+    MIN_DEPTH, "qualified_name = 'Brand#12::cold widget'", OUT, None, projection=V.flow).replace("r.depth < 40", "r.depth < 16"))
 def _(spark, sf):
-    g = flow(spark, sf, "l_returnflag = 'R'")
-    return traversal.shortest_distance(g, g.seeds(F.col("qualified_name") == "Brand#7::cold widget"), max_depth=16)
+    g = flow(spark, sf)
+    return traversal.shortest_distance(g, g.seeds(F.col("qualified_name") == "Brand#12::cold widget"), max_depth=16)
 
 
 @query("shortest_path", V.flow("SELECT depth AS step, id FROM back", """
   adj AS MATERIALIZED (SELECT DISTINCT source AS src, target AS dst FROM edges),
   reach(id, depth) AS (
-    SELECT id, 0 FROM nodes WHERE qualified_name = 'Brand#7::cold widget'
+    SELECT id, 0 FROM nodes WHERE qualified_name = 'Brand#12::cold widget'
     UNION SELECT a.dst, depth + 1 FROM reach JOIN adj a ON a.src = reach.id WHERE depth < 16),
   dist AS MATERIALIZED (SELECT id, min(depth) AS depth FROM reach GROUP BY id),
   parent AS MATERIALIZED (
     SELECT d.id, d.depth, min(p.id) AS parent FROM dist d JOIN adj a ON a.dst = d.id
     JOIN dist p ON p.id = a.src AND p.depth = d.depth - 1 GROUP BY d.id, d.depth),
   goal AS (
-    SELECT id, depth FROM dist WHERE id IN (SELECT id FROM nodes WHERE qualified_name = 'Brand#9::red plate')
+    SELECT id, depth FROM dist WHERE id IN (SELECT id FROM nodes WHERE qualified_name = 'Brand#5::red plate')
     ORDER BY depth, id LIMIT 1),
   back(id, depth) AS (
     SELECT id, depth FROM goal
-    UNION ALL SELECT p.parent, p.depth - 1 FROM back b JOIN parent p ON p.id = b.id AND p.depth = b.depth)""",
-    condition="l_returnflag = 'R'"))
+    UNION ALL SELECT p.parent, p.depth - 1 FROM back b JOIN parent p ON p.id = b.id AND p.depth = b.depth)"""))
 def _(spark, sf):
-    g = flow(spark, sf, "l_returnflag = 'R'")
+    g = flow(spark, sf)
     return traversal.shortest_path(
-        g, g.seeds(F.col("qualified_name") == "Brand#7::cold widget"),
-        g.seeds(F.col("qualified_name") == "Brand#9::red plate"))
+        g, g.seeds(F.col("qualified_name") == "Brand#12::cold widget"),
+        g.seeds(F.col("qualified_name") == "Brand#5::red plate"))
 
 
 # -- files ----------------------------------------------------------------------
@@ -400,7 +398,7 @@ def _(spark, sf):
     return traversal.affected_tests(g, changed)
 
 
-_SPARSE = "l_returnflag = 'R'"
+_SPARSE = "l_returnflag <> 'N'"
 
 
 @query("scc_cycles", V.flow("""
