@@ -24,16 +24,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
-def cut(df: DataFrame, label: str = "step") -> DataFrame:
+def cut(df: DataFrame, label: str = "step", folders: list[str] = ()) -> DataFrame:
     """Write `df` once and read it back.
 
     Unlike a checkpointed frame the result carries file-size statistics, so Catalyst
     broadcasts it in later joins only while it is below the broadcast threshold, and it
-    survives the loss of any executor.
+    survives the loss of any executor. `folders` are low-cardinality columns to partition by.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/strandgraph/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.partitionBy(*folders) if folders else df.write
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
