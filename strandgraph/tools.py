@@ -48,6 +48,12 @@ def truncate(text: str, most: int = MAX_CHARS) -> str:
     return text[: at if at > 0 else most] + "\n\n... (output truncated)"
 
 
+def at_line(defs: DataFrame, line: int) -> DataFrame:
+    """Definitions around a line, else the one that starts nearest to it."""
+    holds = cut(defs.filter((F.col("start_line") <= line) & (F.col("end_line") >= line)), "at-line")
+    return holds if not holds.isEmpty() else defs.orderBy(F.abs(F.col("start_line") - line), "id").limit(1)
+
+
 class Tools:
     """Queries on one graph; `sources(path, content)` is needed where code is shown."""
 
@@ -96,8 +102,7 @@ class Tools:
         """Definitions of a symbol with code; file and line narrow but never empty the choice."""
         defs = self._definitions(symbol, file)
         if line is not None:
-            holds = cut(defs.filter((F.col("start_line") <= line) & (F.col("end_line") >= line)), "at-line")
-            defs = holds if not holds.isEmpty() else defs.orderBy(F.abs(F.col("start_line") - line), "id").limit(1)
+            defs = at_line(defs, line)
         coded = S.snippet(defs, self.sources)
         # Whole definitions while the size lasts: the matches of one symbol, a top-50 list at most.
         so_far = Window.orderBy(is_generated_file("file_path"), "file_path", "start_line").rowsBetween(Window.unboundedPreceding, 0)
