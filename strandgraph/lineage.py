@@ -4,7 +4,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _CONF = "spark.checkpoint.dir"
 
@@ -38,5 +38,12 @@ def cut(df: DataFrame, label: str = "step", folders: list[str] = ()) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_measured(df: DataFrame, measures: dict[str, Column], condition: Column, label: str = "step") -> tuple[DataFrame, dict]:
+    """Write the rows that meet a condition and measure all rows in the same pass."""
+    seen = Observation()
+    out = cut(df.observe(seen, *[m.alias(k) for k, m in measures.items()]).filter(condition), label)
+    return out, seen.get
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)

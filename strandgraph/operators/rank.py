@@ -42,6 +42,7 @@ def relevance(g: Graph, seeds: DataFrame, rounds: int = 25, alpha: float = 0.25,
         (F.col("w") / F.col("degree")).alias("share"),
     ).repartition(parts, "src", "salt").persist(StorageLevel.MEMORY_AND_DISK)
     hubs = degree.filter("salts > 1").select(F.col("src").alias("id"), "salts")
+    any_hub = not hubs.isEmpty()
 
     start = cut(seeds.select("id").distinct().join(nodes, "id", "left_semi"), "restart")
     count = start.count()
@@ -53,9 +54,12 @@ def relevance(g: Graph, seeds: DataFrame, rounds: int = 25, alpha: float = 0.25,
     restart = cut(start.join(has_edges, "id", "left_semi"), "restart")
     score = restart.select("id", F.col("r").alias("s"))
     for n in range(1, rounds + 1):
-        out = score.join(hubs, "id", "left").select(
-            F.col("id").alias("src"), "s",
-            F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+        if any_hub:
+            out = score.join(hubs, "id", "left").select(
+                F.col("id").alias("src"), "s",
+                F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+        else:
+            out = score.select(F.col("id").alias("src"), "s", F.lit(0).alias("salt"))
         moved = walk.join(out, ["src", "salt"]).select(
             F.col("dst").alias("id"), ((1 - alpha) * F.col("s") * F.col("share")).alias("s"))
         back = restart.select("id", (alpha * F.col("r")).alias("s"))

@@ -204,10 +204,11 @@ def method_call(nodes: DataFrame, refs: DataFrame) -> DataFrame:
                         F.regexp_extract("reference_name", pattern, 3)).alias("receiver"),
         F.coalesce(F.nullif(F.regexp_extract("reference_name", pattern, 2), F.lit("")),
                    F.regexp_extract("reference_name", pattern, 4)).alias("method"))
+    parsed = cut(parsed, "parsed")
     calls = cut(parsed.select("receiver", "method", "language").distinct(), "calls")
     methods = nodes.filter("kind = 'method'").select(
         F.col("id").alias("m"), F.col("name").alias("method"), "file_path", "qualified_name", "language")
-    methods = methods.join(calls.select("method").distinct(), "method", "left_semi")
+    methods = cut(methods.join(calls.select("method").distinct(), "method", "left_semi"), "methods")
     classes = nodes.filter(F.col("kind").isin(TYPE_KINDS)).select(
         F.col("id").alias("c"), F.col("name").alias("receiver"), "file_path", F.col("language").alias("class_lang"))
     owned = methods.select("m", "method", "file_path", F.explode(

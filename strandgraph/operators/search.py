@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.paths import is_generated_file
 from ..graph import Graph
-from ..lineage import cut, union_all
+from ..lineage import cut, cut_measured, union_all
 from ..schema import any_kind
 
 # Full-text columns with their weights, and the BM25 constants.
@@ -37,39 +37,49 @@ def _bm25(tf: Column, length: Column, average: float, idf: float) -> Column:
     return F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(average)))
 
 
-def fts(nodes: DataFrame, text: str, kinds=None, languages=None, limit: int | None = 100, offset: int = 0) -> DataFrame:
+def fts(nodes: DataFrame, text: str, kinds=None, languages=None, limit: int | None = 100, offset: int = 0,
+        ids_only: bool = False) -> DataFrame:
     """BM25 full-text matches with prefix terms: node columns plus `score`.
 
-    `limit=None` ranks every match; otherwise five times the limit (at least 100) is kept
-    for the rescoring that follows.
+    One scan reads the texts: it counts tokens and words over all rows and writes the counts of
+    the matching ones. `limit=None` ranks every match; otherwise five times the limit (at least
+    100) is kept for the rescoring that follows, and only those rows are fetched whole.
     """
     phrases = T.fts_phrases(text)
+    empty = nodes.withColumn("score", F.lit(0.0)).limit(0)
+    empty = empty.select("id", "score") if ids_only else empty
     if not phrases:
-        return nodes.withColumn("score", F.lit(0.0)).limit(0)
+        return empty
     # One projection folds each column once; the second reads it for every phrase.
-    folded = nodes.select("*", *[T.fold(c).alias(f"_f_{c}") for c, _ in COLUMNS])
+    folded = nodes.select("id", "kind", "language", *[T.fold(c).alias(f"_f_{c}") for c, _ in COLUMNS])
     length = sum((T.token_count(F.col(f"_f_{c}")) for c, _ in COLUMNS), F.lit(0))
-    feats = folded.select(
-        *nodes.columns, length.alias("_len"),
-        *[sum((T.phrase_hits(F.col(f"_f_{c}"), p) * w for c, w in COLUMNS), F.lit(0.0)).alias(f"_tf{i}")
-          for i, p in enumerate(phrases)],
-        *[sum((T.phrase_hits(F.col(f"_f_{c}"), p) for c, _ in COLUMNS), F.lit(0)).alias(f"_any{i}")
-          for i, p in enumerate(phrases)])
-    stat = feats.agg(
-        F.count("*").alias("n"), F.sum("_len").alias("len"),
-        *[F.sum((F.col(f"_any{i}") > 0).cast("long")).alias(f"h{i}") for i in range(len(phrases))]).first()
-    if not stat["n"]:
-        return nodes.withColumn("score", F.lit(0.0)).limit(0)
-    average = stat["len"] / stat["n"]
-    score = sum((_bm25(F.col(f"_tf{i}"), F.col("_len"), average, _idf(stat["n"], stat[f"h{i}"]))
-                 for i in range(len(phrases))), F.lit(0.0))
+    each = range(len(phrases))
+    counts = folded.select(
+        "id", "kind", "language", length.alias("_len"),
+        *[F.array(*[T.phrase_hits(F.col(f"_f_{c}"), p) for c, _ in COLUMNS]).alias(f"_h{i}") for i, p in enumerate(phrases)])
+    weights = F.array(*[F.lit(w) for _, w in COLUMNS])
+
+    def total(arr: Column, zero: Column) -> Column:
+        return F.aggregate(arr, zero, lambda a, x: a + x)
+
+    feats = counts.select(
+        "id", "kind", "language", "_len",
+        *[total(F.zip_with(f"_h{i}", weights, lambda h, w: h * w), F.lit(0.0)).alias(f"_tf{i}") for i in each],
+        *[total(F.col(f"_h{i}"), F.lit(0)).alias(f"_any{i}") for i in each])
     matched = F.lit(False)
-    for i in range(len(phrases)):
+    for i in each:
         matched = matched | (F.col(f"_any{i}") > 0)
-    out = feats.filter(_kept(kinds, languages) & matched).select(*nodes.columns, score.alias("score"))
-    if limit is None:
-        return out
-    return out.orderBy(F.desc("score"), "id").offset(offset).limit(max(5 * limit, 100))
+    measures = {"n": F.count(F.lit(1)), "len": F.sum("_len"),
+                **{f"h{i}": F.sum((F.col(f"_any{i}") > 0).cast("long")) for i in each}}
+    hits, stat = cut_measured(feats, measures, matched, "fts")
+    if not stat["n"]:
+        return empty
+    average = stat["len"] / stat["n"]
+    score = sum((_bm25(F.col(f"_tf{i}"), F.col("_len"), average, _idf(stat["n"], stat[f"h{i}"])) for i in each), F.lit(0.0))
+    ranked = hits.filter(_kept(kinds, languages)).select("id", score.alias("score"))
+    if limit is not None:
+        ranked = ranked.orderBy(F.desc("score"), "id").offset(offset).limit(max(5 * limit, 100))
+    return ranked if ids_only else nodes.join(ranked, "id").select(*nodes.columns, "score")
 
 
 @dataclass

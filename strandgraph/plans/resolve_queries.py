@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..lineage import union_all
+from ..lineage import cut, union_all
 from ..operators import resolve
 from ..schema import as_nodes, as_refs
 from . import views as V
@@ -29,7 +29,7 @@ def flow_refs(g: Graph, name: str = "name", kind: str = "calls"):
     rows = g.edges.select("source", "target").distinct().join(a, "source").join(b, "target")
     refs = rows.selectExpr("from_node_id", "reference_name", f"'{kind}' as reference_kind", "line", "0 as col",
                            "file_path", "language").distinct()
-    return resolve.with_ref_id(as_refs(refs))
+    return cut(resolve.with_ref_id(as_refs(refs)), "refs")
 
 
 def _report(refs, answers):
@@ -114,7 +114,7 @@ def _(spark, sf):
     name = g.nodes.selectExpr("id as c", "upper(name) as reference_name")
     part = g.nodes.selectExpr("id as from_node_id", "start_line as line", "file_path", "language")
     pairs = calls.join(owner, "o").select("from_node_id", "c").distinct().join(name, "c").join(part, "from_node_id")
-    refs = resolve.with_ref_id(as_refs(pairs.withColumn("reference_kind", F.lit("calls"))))
+    refs = cut(resolve.with_ref_id(as_refs(pairs.withColumn("reference_kind", F.lit("calls")))), "refs")
     return _report(refs, resolve.fuzzy(g.nodes, refs))
 
 
@@ -137,8 +137,8 @@ def _(spark, sf):
         "id as source", f"concat(if(is_exported, {nation}, concat('n', substring({nation}, 2))), '.', name) as reference_name")
     user = g.nodes.selectExpr("id as from_node_id", "start_line as line", "file_path", "language")
     refs = used.join(called, "source").join(user, "from_node_id").withColumn("reference_kind", F.lit("calls"))
-    refs = resolve.with_ref_id(as_refs(refs))
-    return _report(refs, resolve.method_call(classes.unionByName(methods), refs))
+    refs = cut(resolve.with_ref_id(as_refs(refs)), "refs")
+    return _report(refs, resolve.method_call(cut(classes.unionByName(methods), "types"), refs))
 
 
 _PAGE = r"^https?://([^/?#]+)/([^?#]*?)/?(?:[?#].*)?$"
@@ -165,7 +165,7 @@ def _(spark, sf):
         "concat(host, '/', reference_name) as file_path", "'unknown' as language"))
     refs = files.selectExpr("id as from_node_id", "reference_name", "'imports' as reference_kind", "1 as line",
                             "concat(host, '/index') as file_path", "'unknown' as language")
-    refs = resolve.with_ref_id(as_refs(refs))
+    refs = cut(resolve.with_ref_id(as_refs(refs)), "refs")
     return _report(refs, resolve.file_path(nodes, refs))
 
 
@@ -220,7 +220,6 @@ def _(spark, sf):
     up = g.edges.filter("kind = 'contains'").selectExpr("target as from_node_id", "source as target", "'calls' as reference_kind", "line")
     ext = g.edges.filter("kind = 'references'").selectExpr("source as from_node_id", "target", "'extends' as reference_kind", "line")
     rows = up.unionByName(ext).withColumn("ref_id", F.monotonically_increasing_id().cast("string"))
-    from ..lineage import cut
     rows = cut(rows, "refs")  # row numbers must not change between the two uses
     answers = rows.select("ref_id", "target", F.lit(0.9).alias("confidence"), F.lit("exact-match").alias("resolved_by"))
     edges = resolve.edges_from(g, rows.drop("target"), answers)

@@ -57,7 +57,7 @@ _CTES, _BODY = bm25_sql(T.fts_phrases(FTS_TEXT))
 
 @query("search_fts_bm25", V.with_ctes(V.DOC_NODES, _CTES, body=_BODY))
 def _(spark, sf):
-    hits = search.fts(document_nodes(spark, sf), FTS_TEXT, limit=None)
+    hits = search.fts(document_nodes(spark, sf), FTS_TEXT, limit=None, ids_only=True)
     return hits.select("id", F.round("score", 6).alias("score"))
 
 

@@ -21,7 +21,8 @@ def session(cpus: str = "8"):
         SparkSession.builder.master(f"local[{cpus}]").appName("strandgraph")
         .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true").getOrCreate()
+        .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
