@@ -91,3 +91,13 @@ def test_symbol_forms(spark):
 
     assert hit("Session.request") == ["1"] and hit("stage_apply::run") == ["2"] and hit("crate::stage_apply::run") == ["2"]
     assert hit("util") == ["3"] and hit("Other.request") == []
+
+
+def test_many_terms_equal_single_searches(spark):
+    from strandgraph.operators import context
+
+    df = nodes(spark, ROWS)
+    many = context.search_many(df, ["user", "loop", "scrape"], None, 4).collect()
+    for term in ("user", "loop", "scrape"):
+        one = {(r["id"], round(r["score"], 6)) for r in search.search(Graph(df, None), term, limit=4).collect()}
+        assert {(r["id"], round(r["score"], 6)) for r in many if r["term"] == term} == one
