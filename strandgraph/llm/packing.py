@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..lineage import cut
 from .word_bpe import encoder, slices
 
-_BUCKET_ROWS = 200_000
+_BUCKET_ROWS = 2_000
 _RANKS = 1 << 44
 
 

@@ -3,13 +3,43 @@
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..lineage import checkpoint_root
-from . import packing, plane_store, token_counts
+from . import jaccard_join, log_templates, packing, plane_store, quality, token_counts, toxicity
 
 BASE_VOCABULARY = "word_bpe_49k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 
+_LINE_FREQUENCY = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+b AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+             [x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS l FROM d),
+runs AS (SELECT t, w, unnest(range(1, len(w) - 6)) AS i FROM (SELECT DISTINCT t, w FROM b) WHERE len(w) >= 8),
+named AS (SELECT t, i, array_to_string(w[i : i + 7], ' ') AS run FROM runs),
+twice AS (SELECT t, i FROM (SELECT t, i, count(*) OVER (PARTITION BY t, run) AS c FROM named) WHERE c > 1),
+steps AS (SELECT t, least(8, coalesce(lead(i) OVER (PARTITION BY t ORDER BY i) - i, 8)) AS n FROM twice),
+repeated AS (SELECT t, sum(n)::BIGINT AS n_repeat_words FROM steps GROUP BY t),
+measured AS (
+  SELECT doc_id, host, t, len(w) AS n_words, coalesce(list_sum([length(x) for x in w]), 0)::BIGINT AS word_chars,
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM b LEFT JOIN repeated USING (t)),
+lines AS (SELECT host, t, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
+                 trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[^\p{L}0-9]+', ' ', 'g')) AS normal
+          FROM (SELECT host, t, unnest(l) AS line FROM (SELECT DISTINCT host, t, l FROM b))),
+hosts AS (SELECT host, count(DISTINCT t) AS host_docs FROM lines GROUP BY host),
+frequent AS (SELECT host, normal FROM (SELECT host, normal, count(DISTINCT t) AS n FROM lines GROUP BY host, normal)
+             JOIN hosts USING (host) WHERE n > 10 AND n > 0.05 * host_docs),
+gone AS (SELECT host, t, sum(words)::BIGINT AS n FROM lines SEMI JOIN frequent USING (host, normal) GROUP BY host, t),
+judged AS (
+  SELECT m.*, coalesce(gone.n, 0) AS n_removed_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed
+  FROM measured m LEFT JOIN gone USING (host, t))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_words,
+       NOT base_failed AND NOT (n_removed_words > 0 AND (n_words - n_removed_words < 20 OR n_words - n_removed_words < 0.5 * n_words)) AS kept
+FROM judged
+"""
+
 
 def _vocabulary(name: str) -> str:
     import public_tokenizers
@@ -39,5 +69,30 @@ def op9_plane_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plane_store.read_checksums(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op8_token_counts, op9_plane_store)}
-ORACLES: dict[str, str] = {}
+def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept")
+
+
+def op6_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.training_rows(docs, _table(spark, sf_dir, "labels")))
+    return toxicity.score_documents(docs.select("doc_id", "text"), model).select(
+        "doc_id", (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_log_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = log_templates.drop_recurring(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", "n_dropped_lines", F.length(text).cast("long").alias("n_chars_left"), F.md5(text).alias("text_md5"))
+
+
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+QUERIES = {f.__name__: f for f in (
+    op2_jaccard_join, op3_best_fit_packing, op5_line_frequency, op6_noisy_or_toxicity, op8_token_counts, op9_plane_store,
+    op10_log_templates)}
+ORACLES = {"op5_line_frequency": _LINE_FREQUENCY}

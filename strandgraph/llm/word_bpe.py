@@ -122,12 +122,12 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Runs of whole rows of about 8 MB of text, so that long texts do not pile up in memory."""
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = _SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of whole rows of about `most` bytes of text, so that long texts do not pile up in memory."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < batch.num_rows:
         before = sizes[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(sizes, before + _SLICE_BYTES, "right")))
+        stop = max(start + 1, int(np.searchsorted(sizes, before + most, "right")))
         yield batch.slice(start, stop - start)
         start = stop
