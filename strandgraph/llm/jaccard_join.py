@@ -210,7 +210,7 @@ def candidates(classes: DataFrame, threshold: float, tolerance: float) -> DataFr
                     for k, need in enumerate(least):
                         same = sig[a, k * STEP : (k + 1) * STEP] == sig[b, k * STEP : (k + 1) * STEP]
                         matches += same.sum(axis=1)
-                        agreed = same.reshape(len(a), -1, ROWS).all(axis=2)
+                        agreed = same.reshape(len(a), STEP // ROWS, ROWS).all(axis=2)
                         earlier = agreed & (np.arange(agreed.shape[1]) + k * STEP // ROWS < band[a][:, None])
                         live = (matches >= need) & ~earlier.any(axis=1)
                         a, b, matches = a[live], b[live], matches[live]
