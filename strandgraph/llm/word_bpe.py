@@ -15,24 +15,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .hashing import string_hashes
+from .memo import Memo, gather
 
 _ENCODERS: dict[str, "WordEncoder"] = {}
 _TAIL = ".,;:!?"
 _SLICE_BYTES = 8 << 20
 
 
-def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The runs [start, start + size) of `flat`, one after the other."""
-    stops = np.cumsum(sizes)
-    total = int(stops[-1]) if len(stops) else 0
-    return flat[np.repeat(starts - stops + sizes, sizes) + np.arange(total)]
+class WordEncoder(Memo):
+    """Ids of texts from the ids of their words."""
 
-
-class WordEncoder:
-    """`keep` bounds the remembered words (memory only): words beyond it are encoded again."""
-
-    def __init__(self, path: str, keep: int = 4_000_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -42,8 +35,7 @@ class WordEncoder:
             raise ValueError("ids do not fit 16 bits")
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
-        self.keep, self.flat = keep, np.zeros(0, np.uint16)
-        self.keys, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        super().__init__(np.dtype(np.uint16))
 
     def _mixed(self, words: list[str]) -> tuple[list, list]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -57,36 +49,19 @@ class WordEncoder:
             return self._mixed(words)  # a letter whose lower case holds a mark
         return ids, np.diff(stops, prepend=0).tolist()
 
-    def _entries(self, words: pa.Array, plain: np.ndarray) -> np.ndarray:
-        """Where the ids of distinct strings are remembered; `plain` marks those of letters alone."""
-        keys = string_hashes(words)
-        at = np.searchsorted(self.keys, keys)
-        fresh = np.ones(len(keys), dtype=bool)
-        inside = at < len(self.keys)
-        fresh[inside] = self.keys[at[inside]] != keys[inside]
-        if not fresh.any():
-            return at
-        if len(self.keys) > self.keep:
-            self.flat = np.zeros(0, np.uint16)
-            self.keys, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-            fresh[:] = True
-        ids, sizes, order = [], [], []
-        for kind, encode in ((True, self._letters), (False, self._mixed)):
-            rows = np.flatnonzero(fresh & (plain == kind))
-            texts = words.take(pa.array(rows)).to_numpy(zero_copy_only=False).tolist()
-            for i in range(0, len(rows), 512):
-                found, lengths = encode(texts[i : i + 512])
+    def fresh(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        letters = pc.utf8_is_alpha(strings).to_numpy(zero_copy_only=False)
+        order = np.argsort(~letters, kind="stable")
+        texts = strings.take(pa.array(order)).to_numpy(zero_copy_only=False).tolist()
+        ids, sizes, border = [], [], int(letters.sum())
+        for first, last, encode in ((0, border, self._letters), (border, len(texts), self._mixed)):
+            for i in range(first, last, 512):
+                found, lengths = encode(texts[i : min(i + 512, last)])
                 ids.append(np.array(found, dtype=np.uint16))
-                sizes.append(np.array(lengths, dtype=np.int32))
-            order.append(rows)
-        rows, sizes = np.concatenate(order), np.concatenate(sizes)
-        starts = len(self.flat) + np.cumsum(sizes, dtype=np.int64) - sizes
-        self.flat = np.concatenate([self.flat, *ids])
-        all_keys = np.concatenate([self.keys, keys[rows]])
-        sort = np.argsort(all_keys, kind="stable")
-        self.keys = all_keys[sort]
-        self.starts, self.sizes = np.concatenate([self.starts, starts])[sort], np.concatenate([self.sizes, sizes])[sort]
-        return np.searchsorted(self.keys, keys)
+                sizes.append(np.array(lengths, dtype=np.int64))
+        sizes, back = np.concatenate(sizes), np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return gather(np.concatenate(ids), (np.cumsum(sizes) - sizes)[back], sizes[back]), sizes[back]
 
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words one after the other and their counts."""
@@ -96,7 +71,7 @@ class WordEncoder:
         tails = pc.if_else(letters, tails, "").dictionary_encode()
         cores = pc.if_else(letters, pc.utf8_lower(core), words).dictionary_encode()
         both = pa.concat_arrays([cores.dictionary, tails.dictionary]).dictionary_encode()
-        entry = self._entries(both.dictionary, pc.utf8_is_alpha(both.dictionary).to_numpy(zero_copy_only=False))
+        entry = self.entries(both.dictionary)
         entry = entry[both.indices.to_numpy()]
         pairs = np.stack([entry[cores.indices.to_numpy()], entry[len(cores.dictionary) + tails.indices.to_numpy()]], axis=1)
         sizes = self.sizes[pairs]
