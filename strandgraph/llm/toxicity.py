@@ -1,11 +1,11 @@
 """Toxicity by multiple-instance learning: a document is a bag of sentences.
 
 A sentence's score is a logistic function of its features; a document's is the noisy-or of its sentences,
-p = 1 - prod(1 - p_s), so document labels teach which sentences offend. Features are lower-case words and
-their first five letters. Those worth weighing are chosen by counts over all labelled training documents
-(documents holding the feature, per label), and the weights are fitted by gradient steps on about
-`max_docs` training documents at most, picked by a hash of their text: the documented bound on what
-reaches the driver. Scoring streams every whole text through the workers.
+p = 1 - prod(1 - p_s), so document labels teach which sentences offend. The model is fitted on about
+`max_docs` labelled documents at most, picked by a hash of the key: the documented bound on what is
+broadcast and reaches the driver. Features are lower-case words and their first five letters; those worth
+weighing are chosen by counts of documents holding them, per label, and weighed by gradient steps.
+Scoring streams every whole text through the workers.
 
 Edge cases: a null or empty text has no sentences, hence score 0; labels that are null or whose document
 is missing teach nothing, a repeated label row teaches once; without both labels the model has no features
@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 _STEM = 5
@@ -34,11 +36,15 @@ def sentences(text: str) -> Iterator[tuple[int, int, set[str]]]:
             yield *found.span(), words | {w[:_STEM] + "*" for w in words if len(w) > _STEM}
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id") -> DataFrame:
-    """(text, label) of labelled documents that are not held out: crc32 of the key as text mod 5 is not 0."""
-    known = labels.filter(F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("_label"))
-    rows = docs.filter(F.pmod(F.crc32(F.col(key).cast("string")), F.lit(5)) != 0).select(F.col(key).alias("_key"), "text")
-    return rows.join(known, "_key").select(F.coalesce("text", F.lit("")).alias("text"), F.col("_label").alias("label"))
+def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", max_docs: int = 20_000) -> DataFrame:
+    """(text, label) of about `max_docs` labelled documents at most, none of them held out (crc32 of the key as
+    text mod 5 is not 0). Labels are picked by a hash of the key, so the side that is broadcast is bounded."""
+    usable = labels.filter(F.col(label).isNotNull() & (F.pmod(F.crc32(F.col(key).cast("string")), F.lit(5)) != 0))
+    known = usable.groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("_label"))
+    share = min(1.0, max_docs / max(known.count(), 1))
+    picked = known.filter(F.pmod(F.xxhash64("_key"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    rows = docs.select(F.col(key).alias("_key"), "text").join(F.broadcast(picked), "_key")
+    return cut(rows.select(F.coalesce("text", F.lit("")).alias("text"), F.col("_label").alias("label")), "labelled")
 
 
 def feature_counts(rows: DataFrame) -> DataFrame:
@@ -58,18 +64,18 @@ def feature_counts(rows: DataFrame) -> DataFrame:
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def choose_features(rows: DataFrame, max_features: int) -> tuple[list[str], int]:
-    """The features that tell the labels apart best, by log-likelihood ratio, and the number of rows."""
+def choose_features(rows: DataFrame, max_features: int) -> list[str]:
+    """The features that tell the labels apart best, by log-likelihood ratio."""
     totals = rows.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("pos"), F.count(F.lit(1)).alias("n")).first()
     pos, neg = float(totals.pos), float(totals.n - totals.pos)
     if not pos or not neg:
-        return [], int(totals.n)
+        return []
     seen, share = F.col("pos") + F.col("neg"), pos / (pos + neg)
     part = lambda x, m: F.when(x > 0, x * F.log(x / m)).otherwise(0.0)
     gain = part(F.col("pos"), seen * share) + part(F.col("neg"), seen * (1 - share))
     best = feature_counts(rows).filter(F.col("pos") + F.col("neg") >= 2).withColumn("gain", gain).filter("gain > 5")
     chosen = best.orderBy(F.desc("gain"), "feature").limit(max_features).select("feature")
-    return [r.feature for r in chosen.collect()], int(totals.n)
+    return [r.feature for r in chosen.collect()]
 
 
 class Model:
@@ -90,10 +96,9 @@ class Model:
         return 1 - none
 
 
-def _bags(rows: DataFrame, n_rows: int, names: list[str], max_docs: int) -> list:
-    """Of about `max_docs` rows at most, picked by a hash of the text: label, number of sentences without a
-    chosen feature, and (sentence, feature) pairs of the others."""
-    index, share = {n: i for i, n in enumerate(names)}, min(1.0, max_docs / n_rows)
+def _bags(rows: DataFrame, names: list[str]) -> list:
+    """Label, number of sentences without a chosen feature, and (sentence, feature) pairs of the others."""
+    index = {n: i for i, n in enumerate(names)}
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,14 +112,13 @@ def _bags(rows: DataFrame, n_rows: int, names: list[str], max_docs: int) -> list
             yield pa.RecordBatch.from_arrays(
                 [*[pa.array(c, pa.int32()) for c in cols[:3]], pa.array(cols[3], pa.binary())], ["label", "plain", "full", "pairs"])
 
-    picked = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
-    return picked.mapInArrow(shrink, "label int, plain int, full int, pairs binary").collect()
+    return rows.mapInArrow(shrink, "label int, plain int, full int, pairs binary").collect()
 
 
-def fit(rows: DataFrame, max_docs: int = 20_000, max_features: int = 5_000, steps: int = 300, rate: float = 0.3, decay: float = 1e-4) -> Model:
-    """Noisy-or weights by full-batch gradient ascent (Adam) on about `max_docs` documents at most."""
-    names, n_rows = choose_features(rows, max_features)
-    bags = _bags(rows, n_rows, names, max_docs) if names else []
+def fit(rows: DataFrame, max_features: int = 5_000, steps: int = 300, rate: float = 0.3, decay: float = 1e-4) -> Model:
+    """Noisy-or weights by full-batch gradient ascent (Adam) on `training_rows`."""
+    names = choose_features(rows, max_features)
+    bags = _bags(rows, names) if names else []
     if not bags:
         return Model({}, 0.0)
     y, plain = np.array([r.label == 1 for r in bags], float), np.array([r.plain for r in bags], float)
