@@ -102,20 +102,23 @@ def score(
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("_host", "_k1", "_k2", "_removed")
 
 
-def keep(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
-    """The documents that pass, whole rows; their boilerplate lines are removed from the text."""
+def keep(
+    docs: DataFrame, host: str = "source", share: float = 0.05, least_docs: int = 10, min_words: int = 20, min_left: float = 0.5
+) -> DataFrame:
+    """The documents that pass, whole rows; their boilerplate lines are removed from the text.
+
+    Verdicts are written first, one row per text and host, so that no filter reaches into the measures.
+    """
+    keys = ["_host", "_k1", "_k2"]
     lines = cut(host_lines(docs, host), "lines")
-    frequent = boilerplate(lines, limits.get("share", 0.05), limits.get("least_docs", 10)).withColumn("gone", F.lit(True))
-    flagged = lines.join(frequent, ["_host", "line"], "left")
-    flags = flagged.groupBy("_host", "_k1", "_k2").agg(
-        F.sum(F.when(F.col("gone"), F.col("words")).otherwise(0)).alias("_removed"),
-        F.array_sort(F.collect_list(F.when(F.col("gone"), F.col("number")))).alias("_gone")).filter("_removed > 0")
-    measured = base_measures(_keyed(docs, host))
-    out = measured.join(flags, ["_host", "_k1", "_k2"], "left")
-    left = F.col("n_words") - F.coalesce("_removed", F.lit(0))
-    least, share_left = limits.get("min_words", 20), limits.get("min_left", 0.5)
-    depleted = (F.coalesce("_removed", F.lit(0)) > 0) & ((left < least) | (left < share_left * F.col("n_words")))
-    out = out.withColumn("_lines", F.when(F.col("_removed").isNotNull(), F.split("text", "\n")))
+    gone = lines.join(boilerplate(lines, share, least_docs), ["_host", "line"]).groupBy(*keys).agg(
+        F.sum("words").alias("_removed"), F.array_sort(F.collect_list("number")).alias("_gone"))
+    measured = base_measures(_keyed(docs.select("text", host), host)).groupBy(*keys).agg(
+        F.first("n_words").alias("_words"), F.first("base_failed").alias("_failed"))
+    verdicts = cut(measured.join(gone, keys, "left"), "verdicts")
+    left = F.col("_words") - F.col("_removed")
+    depleted = F.coalesce((left < min_words) | (left < min_left * F.col("_words")), F.lit(False))
+    out = _keyed(docs, host).join(verdicts.filter(~F.col("_failed") & ~depleted), keys)
+    out = out.withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split("text", "\n")))
     text = F.array_join(without(F.col("_lines"), F.col("_gone")), "\n")
-    rewritten = F.when(F.col("_removed").isNotNull(), text).otherwise(F.col("text"))
-    return out.filter(~F.col("base_failed") & ~depleted).withColumn("text", rewritten).select(docs.columns)
+    return out.withColumn("text", F.when(F.col("_gone").isNotNull(), text).otherwise(F.col("text"))).select(docs.columns)
