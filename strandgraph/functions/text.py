@@ -69,35 +69,28 @@ def parse_query(raw: str) -> SearchQuery:
     return out
 
 
+# Fixed values: (ending, shortest word, letters taken off, what may stand instead, endings it gives way to).
+# "=" stands for the rest without its doubled last letter.
+ENDINGS = [
+    ("ing", 6, 3, ["", "e", "="], ()), ("tion", 6, 3, [""], ()), ("sion", 6, 3, [""], ()), ("ment", 7, 4, [""], ()),
+    ("ies", 5, 3, ["y"], ()), ("es", 5, 2, [""], ("ies",)), ("s", 5, 1, [""], ("es", "ss")),
+    ("ed", 5, 1, [""], ("eed",)), ("ed", 5, 2, [""], ("eed",)), ("ied", 6, 3, ["y"], ()), ("er", 5, 2, ["", "e", "="], ()),
+]
+
+
 def stem_variants(term: str) -> list[str]:
     """Shorter forms of a word; they serve as prefixes, so they need not be words."""
-    t, out = term.lower(), []
-
-    def undouble(base: str) -> None:
-        out.extend([base, base + "e"])
-        if len(base) >= 2 and base[-1] == base[-2]:
-            out.append(base[:-1])
-
-    n = len(t)
-    if t.endswith("ing") and n > 5:
-        undouble(t[:-3])
-    if t.endswith(("tion", "sion")) and n > 5:
-        out.append(t[:-3])
-    if t.endswith("ment") and n > 6:
-        out.append(t[:-4])
-    if t.endswith("ies") and n > 4:
-        out.append(t[:-3] + "y")
-    elif t.endswith("es") and n > 4:
-        out.append(t[:-2])
-    elif t.endswith("s") and not t.endswith("ss") and n > 4:
-        out.append(t[:-1])
-    if t.endswith("ed") and not t.endswith("eed") and n > 4:
-        out.extend([t[:-1], t[:-2]])
-        if t.endswith("ied") and n > 5:
-            out.append(t[:-3] + "y")
-    if t.endswith("er") and n > 4:
-        undouble(t[:-2])
-    return [v for v in dict.fromkeys(out) if len(v) >= 3 and v != t]
+    word, forms = term.lower(), {}
+    for ending, shortest, taken, instead, stronger in ENDINGS:
+        if len(word) < shortest or not word.endswith(ending) or word.endswith(stronger):
+            continue
+        rest = word[:-taken]
+        for tail in instead:
+            if tail != "=":
+                forms[rest + tail] = True
+            elif rest[-2:-1] == rest[-1:]:
+                forms[rest[:-1]] = True
+    return [form for form in forms if len(form) > 2]
 
 
 def split_camel(text: str) -> str:
@@ -105,18 +98,26 @@ def split_camel(text: str) -> str:
     return re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1 \2", text)
 
 
+def _compound(word: str) -> bool:
+    """An identifier of several parts: joined by underscores, or by capitals that begin words."""
+    if not word[0].isalpha():
+        return False
+    if "_" in word:
+        return all(word.split("_"))
+    humps = re.findall(r"[A-Z][a-z]*|[a-z0-9]+", word)
+    ends = len(humps[-1]) > 1 and humps[-1][0].isupper()
+    return len(humps) > 1 and (ends or (len(humps[0]) > 1 and all(h[0].isupper() for h in humps)))
+
+
 def search_terms(query: str, stems: bool = True) -> list[str]:
     """Lower-case search terms of a query: whole identifiers, their parts, stems."""
-    found = re.findall(r"\b([a-zA-Z][a-zA-Z0-9]*(?:[A-Z][a-z]+)+|[A-Z][a-z]+(?:[A-Z][a-z]*)+)\b", query)
-    found += re.findall(r"\b([a-zA-Z][a-zA-Z0-9]*(?:_[a-zA-Z0-9]+)+)\b", query)
-    terms = [w.lower() for w in found if len(w) >= 3]
-    parts = re.split(r"[^a-zA-Z0-9]+", re.sub(r"[_.]+", " ", split_camel(query)))
-    terms += [w.lower() for w in parts if len(w) >= 3 and w.lower() not in STOP_WORDS]
-    terms = list(dict.fromkeys(terms))
+    words = re.findall(r"\w+", query, re.ASCII)
+    parts = [part for word in words for part in re.findall(r"[A-Za-z0-9]+", split_camel(word))]
+    kept = [w for w in words if _compound(w)] + [p for p in parts if p.lower() not in STOP_WORDS]
+    terms = dict.fromkeys(w.lower() for w in kept if len(w) > 2)
     if stems:
-        more = [v for t in terms for v in stem_variants(t) if v not in STOP_WORDS]
-        terms = list(dict.fromkeys(terms + more))
-    return terms
+        terms |= dict.fromkeys(v for t in list(terms) for v in stem_variants(t) if v not in STOP_WORDS)
+    return list(terms)
 
 
 def is_distinctive(token: str) -> bool:

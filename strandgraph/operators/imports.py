@@ -23,7 +23,6 @@ PROBES = {
 # Path prefixes that stand for a folder unless the project says otherwise.
 ALIASES = {"@/": "src/", "~/": "src/", "@src/": "src/", "src/": "src/", "@app/": "app/", "app/": "app/"}
 WEB = ["typescript", "tsx", "javascript", "jsx", "svelte", "vue", "astro"]
-MAX_REEXPORTS = 8
 MAPPING = "file_path, language, local_name, source, exported_name, is_default, is_namespace"
 
 
@@ -139,7 +138,7 @@ def reexports(files: DataFrame) -> DataFrame:
     return named.unionByName(star).distinct()
 
 
-def chase(wanted: DataFrame, nodes: DataFrame, forwards: DataFrame, depth: int = MAX_REEXPORTS) -> DataFrame:
+def chase(wanted: DataFrame, nodes: DataFrame, forwards: DataFrame) -> DataFrame:
     """Definition of (target_path, exported_name), through re-exports: wanted plus `target`.
 
     forwards(path, exported_name, inner_path, inner_name). A name declared in the file wins, then
@@ -155,7 +154,7 @@ def chase(wanted: DataFrame, nodes: DataFrame, forwards: DataFrame, depth: int =
     decl = decl.unionByName(default.join(decl, ["at", "as"], "left_anti").select("at", "as", "target"))
     open_ = cut(wanted.select(*key).distinct().select("*", F.col("target_path").alias("at"), F.col("exported_name").alias("as"), F.lit(0).alias("rank")), "chase")
     seen, found = [open_], []
-    for _ in range(depth + 1):
+    while True:  # ends, since a (path, name) pair is visited once
         hit = cut(open_.join(decl, ["at", "as"]).groupBy(*key).agg(
             F.min(F.struct("rank", "target")).alias("b")).select(*key, F.col("b.target").alias("target")), "chase-hit")
         found.append(hit)

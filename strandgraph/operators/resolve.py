@@ -263,8 +263,8 @@ def supertypes(g: Graph) -> DataFrame:
     return edges.join(sub, "source").join(sup, "target").select("type_name", "language", "super_name").distinct()
 
 
-def method_on_type(g: Graph, calls: DataFrame, depth: int = 4) -> DataFrame:
-    """Method of a named type or its nearest supertype: calls(type_name, method, language) -> target."""
+def method_on_type(g: Graph, calls: DataFrame) -> DataFrame:
+    """Method of a named type or its nearest supertype, however far up: calls(type_name, method, language) -> target."""
     parts = F.split("qualified_name", "::")
     table = cut(g.nodes.filter("kind = 'method'").filter(F.size(parts) >= 2).groupBy(
         F.element_at(parts, -2).alias("at"), F.col("name").alias("method"), "language").agg(
@@ -273,7 +273,7 @@ def method_on_type(g: Graph, calls: DataFrame, depth: int = 4) -> DataFrame:
     key = ["type_name", "method", "language"]
     open_ = cut(calls.select(*key).distinct().withColumn("at", F.col("type_name")), "open")
     seen, found = [open_], []
-    for _ in range(depth + 1):
+    while True:  # ends, since a type is looked at once per call
         hit = cut(open_.join(table, ["at", "method", "language"]).groupBy(*key).agg(F.min("target").alias("target")), "hit")
         found.append(hit)
         nxt = open_.join(hit, key, "left_anti").join(up, ["at", "language"]).select(
@@ -379,7 +379,7 @@ def this_member(g: Graph, refs: DataFrame) -> DataFrame:
     members = g.nodes.filter(F.col("kind").isin(CALLABLE) & (F.size(parts) >= 2)).groupBy(
         F.element_at(parts, -2).alias("type_name"), F.col("name").alias("method"), "file_path").agg(F.min("id").alias("own"))
     typed = typed.join(members, ["type_name", "method", "file_path"], "left")
-    inherited = method_on_type(g, typed.filter("own is null"), depth=5)
+    inherited = method_on_type(g, typed.filter("own is null"))
     out = typed.join(inherited, ["type_name", "method", "language"], "left").withColumn(
         "target", F.coalesce("own", "target")).filter("target is not null")
     return _answer(out, F.when(F.col("own").isNotNull(), 0.95).otherwise(0.85), "function-ref")
@@ -390,9 +390,10 @@ def this_member(g: Graph, refs: DataFrame) -> DataFrame:
 def existing(nodes: DataFrame, refs: DataFrame, mappings: DataFrame | None = None) -> DataFrame:
     """References some part of which names a definition or an imported name."""
     name = F.col("reference_name")
+    first = F.split(name, r"::|\.")[0]
     keys = F.array_distinct(F.array_compact(F.array(
-        name, F.element_at(F.split(name, r"::|\."), -1), F.split(name, r"::|\.")[0],
-        F.initcap(F.split(name, r"::|\.")[0]), basename(name),
+        name, F.element_at(F.split(name, r"::|\."), -1), first,
+        F.concat(F.upper(F.substring(first, 1, 1)), F.substring(first, 2, 2**31 - 1)), basename(name),
         F.regexp_replace(F.element_at(F.split(name, r"::|\."), -1), r"\(\)", ""))))
     wanted = nodes.select(F.col("name").alias("key"))
     if mappings is not None:

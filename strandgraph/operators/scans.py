@@ -141,33 +141,27 @@ def in_file_edges(g: Graph) -> DataFrame:
     )
 
 
-def dominant_file(g: Graph, candidates: int = 20, floor: int = 20) -> DataFrame:
-    """File with most in-file edges: top candidates first, then low-value files drop out."""
-    top = in_file_edges(g).orderBy(F.desc("edge_count"), "file_path").limit(candidates)
-    rank = Window.orderBy(F.desc("edge_count"), "file_path")  # at most `candidates` rows
-    kept = top.filter(~is_low_value_file("file_path")).select(
+def dominant_file(g: Graph, floor: int = 20) -> DataFrame:
+    """File with most in-file edges, low-value files left out, and the count of the next one."""
+    top = in_file_edges(g).filter(~is_low_value_file("file_path")).orderBy(F.desc("edge_count"), "file_path").limit(2)
+    rank = Window.orderBy(F.desc("edge_count"), "file_path")  # two rows
+    kept = top.select(
         "file_path", "edge_count", F.row_number().over(rank).alias("rn"),
         F.coalesce(F.lead("edge_count").over(rank), F.lit(0)).alias("next_edge_count"))
     return kept.filter((F.col("rn") == 1) & (F.col("edge_count") >= floor)).drop("rn")
 
 
-def top_route_file(g: Graph, candidates: int = 20, least_share: float = 0.3) -> DataFrame:
-    """File holding most routes, if it holds at least three and 30 % of the candidates' routes."""
+def top_route_file(g: Graph, least_share: float = 0.3) -> DataFrame:
+    """File holding most routes, if it holds at least three and 30 % of all routes; low-value files left out."""
     routes = g.nodes.filter(F.col("kind") == "route").groupBy("file_path").agg(F.count("*").alias("route_count"))
-    top = routes.orderBy(F.desc("route_count"), "file_path").limit(candidates)
-    rank = Window.orderBy(F.desc("route_count"), "file_path")  # at most `candidates` rows
-    kept = top.filter(~is_low_value_file("file_path")).select(
-        "file_path", "route_count",
-        F.sum("route_count").over(Window.partitionBy()).alias("total_routes"),
-        F.row_number().over(rank).alias("rn"))
-    return kept.filter(
-        (F.col("rn") == 1) & (F.col("route_count") >= 3)
-        & (F.col("route_count") >= least_share * F.col("total_routes"))
-    ).drop("rn")
+    kept = routes.filter(~is_low_value_file("file_path"))
+    best = kept.agg(F.min(F.struct((-F.col("route_count")).alias("n"), "file_path")).alias("b"), F.sum("route_count").alias("total_routes"))
+    return best.select(F.col("b.file_path").alias("file_path"), (-F.col("b.n")).alias("route_count"), "total_routes").filter(
+        (F.col("route_count") >= 3) & (F.col("route_count") >= least_share * F.col("total_routes")))
 
 
 def routing_manifest(g: Graph, limit: int = 40) -> DataFrame:
-    """Route-to-handler table; the limit comes before low-value handlers drop out."""
+    """Route-to-handler table of the first `limit` routes, low-value handlers left out."""
     r = g.nodes.filter(F.col("kind") == "route").select(
         F.col("id").alias("source"), F.col("name").alias("url"),
         F.col("file_path").alias("route_file"), F.col("start_line").alias("route_line"))
@@ -177,9 +171,8 @@ def routing_manifest(g: Graph, limit: int = 40) -> DataFrame:
         F.col("kind").alias("handler_kind"))
     edges = g.edges.filter(F.col("kind").isin("references", "calls")).select("source", "target")
     rows = (
-        edges.join(r, "source").join(h, "target")
+        edges.join(r, "source").join(h.filter(~is_low_value_file("handler_file")), "target")
         .orderBy("route_file", "route_line", "source", "target").limit(limit)
-        .filter(~is_low_value_file("handler_file"))
     )
     per_file = Window.partitionBy("handler_file")  # at most `limit` rows in all
     everything = Window.partitionBy()

@@ -124,6 +124,8 @@ class SearchIndex:
     def search(self, text: str) -> DataFrame:
         """(id, score) of all matches."""
         phrases = T.fts_phrases(text)
+        if not phrases:
+            return self.lengths.select("id", F.lit(0.0).alias("score")).limit(0)
         stat = self.lengths.agg(F.count("*").alias("n"), F.sum("len").alias("len")).first()
         weight = F.element_at(F.array(*[F.lit(w) for _, w in COLUMNS]), F.col("col") + 1)
         parts = []

@@ -1,10 +1,10 @@
 """Incremental upkeep: snapshot diffs, deletions and re-resolution scope.
 
-References are kept for ever and edges are derived from them, so a changed file can regain
-the edges that point into it: `refs_to_resolve` names the references a change touches.
+Edges that point into a changed file follow their targets to the fresh nodes; `refs_to_resolve`
+names the references a change touches, for those that want them resolved anew.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph
@@ -48,11 +48,32 @@ def remove_files(g: Graph, paths: DataFrame) -> Graph:
     return Graph(nodes, edges, files, refs)
 
 
+def inbound_edges(g: Graph, paths: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Edges from other files into changed ones, led to the fresh nodes that take their targets' place.
+
+    A target is known again by file, kind and qualified name, since ids change with the line; of
+    several the one nearest in line is meant, then the smallest id. Targets that are gone lose their edges.
+    """
+    paths = paths.select(F.col("path").alias("file_path")).distinct()
+    place = ["file_path", "kind", "qualified_name"]
+    old = cut(g.nodes.join(paths, "file_path", "left_semi").select("id", *place, "start_line"), "changed")
+    new = fresh.select(*place, F.col("id").alias("new_id"), F.col("start_line").alias("new_line"))
+    apart = F.struct(F.abs(F.col("start_line") - F.col("new_line")), "new_id")
+    moved = old.join(new, place).groupBy("id").agg(F.min_by("new_id", apart).alias("new_id"))
+    inward = g.edges.join(old.select(F.col("id").alias("source")), "source", "left_anti")
+    return inward.join(moved.withColumnRenamed("id", "target"), "target").withColumn("target", F.col("new_id")).select(*g.edges.columns)
+
+
 def upsert(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
-    """Rows of `fresh` replace stored rows of the same key; the last of equal fresh keys stays."""
+    """Rows of `fresh` replace stored rows of the same key; of equal fresh keys the latest stays.
+
+    A row without a time is older than any with one; other ties go by the values of the row.
+    """
     kept = stored.join(fresh.select(key).distinct(), key, "left_anti")
-    order = "updated_at" if "updated_at" in fresh.columns else key
-    last = fresh.groupBy(key).agg(F.max_by(F.struct(*fresh.columns), order).alias("_r")).select("_r.*")
+    time = ["updated_at"] if "updated_at" in fresh.columns else []
+    values = [f.name for f in fresh.schema if f.name not in (key, *time) and f.dataType.typeName() != "map"]
+    latest = Window.partitionBy(key).orderBy(*[F.desc_nulls_last(c) for c in time + values])
+    last = fresh.withColumn("_rn", F.row_number().over(latest)).filter("_rn = 1")
     return kept.select(*stored.columns).unionByName(last.select(*stored.columns))
 
 

@@ -51,13 +51,10 @@ def supply_types(spark, sf) -> Graph:
 
 
 @query("synth_override", """
-  SELECT source, target FROM (
-    SELECT 'b:'||b.p_brand||'/'||b.p_name AS source, 's:'||i.l_suppkey||'/'||o.p_name AS target,
-           row_number() OVER (PARTITION BY i.l_suppkey, i.p_brand ORDER BY b.p_name) AS rn
+  SELECT 'b:'||b.p_brand||'/'||b.p_name AS source, 's:'||i.l_suppkey||'/'||o.p_name AS target
     FROM (SELECT DISTINCT l_suppkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey) i
     JOIN (SELECT DISTINCT l_suppkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey) o USING (l_suppkey)
-    JOIN (SELECT DISTINCT p_brand, p_name FROM part) b ON b.p_brand = i.p_brand AND b.p_name = o.p_name)
-  WHERE rn <= 40""")
+    JOIN (SELECT DISTINCT p_brand, p_name FROM part) b ON b.p_brand = i.p_brand AND b.p_name = o.p_name""")
 def _(spark, sf):
     return synth.interface_overrides(supply_types(spark, sf)).select("source", "target")
 
@@ -67,11 +64,8 @@ def _(spark, sf):
   want AS (SELECT DISTINCT l_orderkey, p_brand||p_name AS item FROM lineitem JOIN part ON l_partkey = p_partkey),
   need AS (SELECT l_orderkey, count(*) AS n FROM want GROUP BY l_orderkey),
   got AS (SELECT w.l_orderkey, h.l_suppkey, count(*) AS n FROM want w JOIN have h USING (item) GROUP BY 1, 2)
-  SELECT source, target FROM (
-    SELECT 'struct:'||g.l_suppkey AS source, 'iface:'||g.l_orderkey AS target,
-           row_number() OVER (PARTITION BY g.l_orderkey ORDER BY 'struct:'||g.l_suppkey) AS rn
-    FROM got g JOIN need d ON g.l_orderkey = d.l_orderkey AND g.n = d.n)
-  WHERE rn <= 40""")
+  SELECT 'struct:'||g.l_suppkey AS source, 'iface:'||g.l_orderkey AS target
+    FROM got g JOIN need d ON g.l_orderkey = d.l_orderkey AND g.n = d.n""")
 def _(spark, sf):
     items = _supply(spark, sf).withColumn("item", F.concat("p_brand", "p_name"))
     struct, iface = "concat('struct:', l_suppkey)", "concat('iface:', l_orderkey)"
@@ -89,13 +83,12 @@ def _(spark, sf):
   WITH e AS (SELECT props||' '||date_trunc('day', ts)::DATE AS channel, event_type, 'user:'||user_id AS id FROM events),
   d AS (SELECT DISTINCT channel, id FROM e WHERE event_type = 'click'),
   h AS (SELECT DISTINCT channel, id FROM e WHERE event_type = 'purchase')
-  SELECT d.channel, d.id AS source, h.id AS target FROM d JOIN h USING (channel)
-  WHERE d.id <> h.id AND channel IN (SELECT channel FROM d GROUP BY 1 HAVING count(*) <= 6)
-    AND channel IN (SELECT channel FROM h GROUP BY 1 HAVING count(*) <= 6)""")
+  SELECT channel, id, 'dispatcher' AS role FROM d WHERE channel IN (SELECT channel FROM h)
+  UNION ALL SELECT channel, id, 'handler' FROM h WHERE channel IN (SELECT channel FROM d)""")
 def _(spark, sf):
     e = table(spark, sf, "events").selectExpr(
         "concat(props, ' ', cast(ts as date)) as channel", "event_type", "concat('user:', user_id) as id")
-    return synth.channel(e.filter("event_type = 'click'"), e.filter("event_type = 'purchase'"), synth.EVENT_CAP)
+    return synth.channel(e.filter("event_type = 'click'"), e.filter("event_type = 'purchase'"))
 
 
 # -- intervals ------------------------------------------------------------------

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import rank, scans, structure, traversal
 from ..schema import CALLER_KINDS
-from .projections import flow, star, table
+from .projections import flow, heirs, star, table
 from . import views as V
 
 QUERIES, ORACLES = {}, {}
@@ -322,10 +322,10 @@ def _(spark, sf):
 
 
 @query("shortest_path_len", reach_sql(
-    MIN_DEPTH, "qualified_name = 'Brand#12::cold widget'", OUT, None, projection=V.flow).replace("r.depth < 40", "r.depth < 16"))
+    MIN_DEPTH, "qualified_name = 'Brand#12::cold widget'", OUT, None, projection=V.flow))
 def _(spark, sf):
     g = flow(spark, sf)
-    return traversal.shortest_distance(g, g.seeds(F.col("qualified_name") == "Brand#12::cold widget"), max_depth=16)
+    return traversal.shortest_distance(g, g.seeds(F.col("qualified_name") == "Brand#12::cold widget"))
 
 
 @query("shortest_path", V.flow("SELECT depth AS step, id FROM back", """
@@ -380,28 +380,21 @@ def _(spark, sf):
     return traversal.file_dependents(g, files).select("file", "depends_on")
 
 
-_HEAVY = "l_returnflag = 'R' AND l_quantity >= 30"
-
-
-@query("affected_files", V.flow(
+@query("affected_files", V.heirs(
     "SELECT DISTINCT file AS path FROM hit WHERE regexp_matches(file, '\\.spec\\.|\\.test\\.|/__tests__/|/tests?/|/e2e/|/spec/')",
     E_FILE, """
   hit(file, depth) AS (
     SELECT 'catalog/Brand#7/small.go', 0
     UNION SELECT e.file, depth + 1 FROM hit JOIN e_file e ON e.depends_on = hit.file
-    WHERE depth < 5 AND NOT regexp_matches(hit.file, '\\.spec\\.|\\.test\\.|/__tests__/|/tests?/|/e2e/|/spec/'))""",
-    condition=_HEAVY))
+    WHERE depth < 5 AND NOT regexp_matches(hit.file, '\\.spec\\.|\\.test\\.|/__tests__/|/tests?/|/e2e/|/spec/'))"""))
 def _(spark, sf):
-    g = flow(spark, sf, _HEAVY)
+    g = heirs(spark, sf)
     changed = g.nodes.filter(F.col("file_path") == "catalog/Brand#7/small.go").select(
         F.col("file_path").alias("path")).distinct()
     return traversal.affected_tests(g, changed)
 
 
-_SPARSE = "l_returnflag <> 'N'"
-
-
-@query("scc_cycles", V.flow("""
+@query("scc_cycles", V.heirs("""
   SELECT min(least(a.src, b.id)) AS component, b.id, count(*) AS size
   FROM mutual a JOIN (SELECT DISTINCT src AS id FROM mutual) b ON TRUE
   WHERE a.dst = b.id GROUP BY b.id""", """
@@ -411,10 +404,9 @@ _SPARSE = "l_returnflag <> 'N'"
   pairs AS MATERIALIZED (SELECT * FROM closure),
   both_ways AS MATERIALIZED (
     SELECT a.src, a.dst FROM pairs a JOIN pairs b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst),
-  mutual AS MATERIALIZED (SELECT src, dst FROM both_ways UNION SELECT src, src FROM both_ways)""",
-    condition=_SPARSE))
+  mutual AS MATERIALIZED (SELECT src, dst FROM both_ways UNION SELECT src, src FROM both_ways)"""))
 def _(spark, sf):
-    g = flow(spark, sf, _SPARSE)
+    g = heirs(spark, sf)
     return structure.cycles(g.edges.select(F.col("source").alias("src"), F.col("target").alias("dst")))
 
 
@@ -538,7 +530,7 @@ LOW_SQL = "regexp_matches(lower({c}), '(?:^|/)(tests?|__tests?__|spec)/')"
     SELECT file_path, edge_count, coalesce(lead(edge_count) OVER w, 0) AS next_edge_count, row_number() OVER w AS rn
     FROM (SELECT s.file_path, count(*) AS edge_count FROM edges e JOIN nodes s ON e.source = s.id
           JOIN nodes t ON e.target = t.id WHERE s.file_path = t.file_path
-          GROUP BY s.file_path ORDER BY edge_count DESC, s.file_path LIMIT 20)
+          GROUP BY s.file_path)
     WHERE NOT {LOW_SQL.format(c='file_path')}
     WINDOW w AS (ORDER BY edge_count DESC, file_path))
   WHERE rn = 1 AND edge_count >= 20"""))
@@ -575,8 +567,7 @@ _ROUTE_CTE = """
   SELECT file_path, route_count, total_routes FROM (
     SELECT *, sum(route_count) OVER ()::BIGINT AS total_routes, row_number() OVER (ORDER BY route_count DESC, file_path) AS rn
     FROM (SELECT file_path, count(*) AS route_count FROM rnodes
-          WHERE kind = 'route' AND language = 'python' GROUP BY file_path
-          ORDER BY route_count DESC, file_path LIMIT 20)
+          WHERE kind = 'route' GROUP BY file_path)
     WHERE NOT {LOW_SQL.format(c='file_path')})
   WHERE rn = 1 AND route_count >= 3 AND route_count >= 0.02 * total_routes""", _ROUTE_CTE))
 def _(spark, sf):
@@ -591,9 +582,8 @@ def _(spark, sf):
     SELECT r.name AS url, h.name AS handler, h.file_path AS handler_file, h.start_line AS handler_line,
            h.kind AS handler_kind, r.file_path AS route_file, r.start_line AS route_line, e.source, e.target
     FROM redges e JOIN rnodes r ON e.source = r.id JOIN rnodes h ON e.target = h.id
-    WHERE r.kind = 'route' AND h.kind IN ('function', 'method', 'class')
-    ORDER BY route_file, route_line, e.source, e.target LIMIT 40)
-    WHERE NOT {LOW_SQL.format(c='handler_file')})""", _ROUTE_CTE))
+    WHERE r.kind = 'route' AND h.kind IN ('function', 'method', 'class') AND NOT {LOW_SQL.format(c='h.file_path')}
+    ORDER BY route_file, route_line, e.source, e.target LIMIT 40))""", _ROUTE_CTE))
 def _(spark, sf):
     return scans.routing_manifest(_routes(spark, sf))
 

@@ -130,22 +130,30 @@ def star(spark: SparkSession, sf: str) -> Graph:
     return Graph(star_nodes(spark, sf), star_edges(spark, sf))
 
 
-def flow_edges(spark: SparkSession, sf: str, condition: str = "true") -> DataFrame:
+def flow_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Part calls part: the parts on consecutive line numbers of one order.
 
     One part stands for each (order, line number) slot, so the self-join matches at most
     one row per slot and spreads even a very large order over all tasks.
     """
-    lines = table(spark, sf, "lineitem").filter(condition)
-    slot = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
+    slot = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
     after = slot.selectExpr("l_orderkey", "l_linenumber - 1 as l_linenumber", "l_partkey as next_part")
     return as_edges(slot.join(after, ["l_orderkey", "l_linenumber"]).selectExpr(
         f"{_id('part', 'l_partkey')} as source", f"{_id('part', 'next_part')} as target",
         "'calls' as kind", "l_linenumber as line"))
 
 
-def flow(spark: SparkSession, sf: str, condition: str = "true") -> Graph:
-    return Graph(part_nodes(spark, sf), flow_edges(spark, sf, condition))
+def flow(spark: SparkSession, sf: str) -> Graph:
+    return Graph(part_nodes(spark, sf), flow_edges(spark, sf))
+
+
+def heirs(spark: SparkSession, sf: str) -> Graph:
+    """Part calls part: the part of the least supplier in its dearest order. Sparse by nature: one edge a part."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice")
+    last = lines.groupBy("l_partkey").agg(F.max(F.struct("l_extendedprice", "l_orderkey"))["l_orderkey"].alias("l_orderkey"))
+    head = lines.groupBy("l_orderkey").agg(F.min(F.struct("l_suppkey", "l_partkey"))["l_partkey"].alias("heir"))
+    return Graph(part_nodes(spark, sf), as_edges(last.join(head, "l_orderkey").selectExpr(
+        f"{_id('part', 'l_partkey')} as source", f"{_id('part', 'heir')} as target", "'calls' as kind", "1 as line")))
 
 
 WORD = r"([\\p{L}\\p{N}]+)"

@@ -149,7 +149,7 @@ def _(spark, sf):
 
 @query("reexport_chase", """
   SELECT 'c'||conv_id||'/0.ts' AS target_path, 'topic' AS exported_name, 'node:'||conv_id||':'||max(turn) AS target
-  FROM conversations GROUP BY conv_id HAVING max(turn) <= 8""")
+  FROM conversations GROUP BY conv_id""")
 def _(spark, sf):
     # Every turn passes on what the next one exports; the last turn declares it.
     turns = table(spark, sf, "conversations").select("conv_id", "turn")
@@ -165,7 +165,7 @@ def _(spark, sf):
 
 @query("method_on_type", """
   SELECT 'T'||conv_id||'_0' AS type_name, 'answer' AS method, 'java' AS language, 'm:'||conv_id AS target
-  FROM conversations GROUP BY conv_id HAVING max(turn) <= 4""")
+  FROM conversations GROUP BY conv_id""")
 def _(spark, sf):
     # Each turn is a type that extends the next one; only the last declares the method.
     turns = table(spark, sf, "conversations").select("conv_id", "turn")
@@ -178,7 +178,7 @@ def _(spark, sf):
         f"{name.format('turn')} as source", f"{name.format('turn + 1')} as target", "'extends' as kind")
     g = Graph(as_nodes(types).unionByName(as_nodes(method)), as_edges(edges))
     calls = last.selectExpr(f"{name.format('0')} as type_name", "'answer' as method", "'java' as language")
-    return resolve.method_on_type(g, calls, depth=4)
+    return resolve.method_on_type(g, calls)
 
 
 # -- context pieces -------------------------------------------------------------------

@@ -64,11 +64,10 @@ edges AS (
 )"""
 
 
-def flow_edges(condition: str = "TRUE") -> str:
-    return f"""
+FLOW_EDGES = """
 slot AS (
   SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem
-  WHERE {condition} GROUP BY l_orderkey, l_linenumber
+  GROUP BY l_orderkey, l_linenumber
 ),
 edges AS (
   SELECT 'part:'||a.l_partkey AS source, 'part:'||b.l_partkey AS target, 'calls' AS kind,
@@ -98,6 +97,18 @@ def star(body: str, *more: str) -> str:
     return with_ctes(PART_NODES, STAR_NODES, STAR_EDGES, *more, body=body, recursive=True)
 
 
-def flow(body: str, *more: str, condition: str = "TRUE") -> str:
-    nodes = "\nnodes AS (SELECT * FROM part_nodes)"
-    return with_ctes(PART_NODES, nodes, flow_edges(condition), *more, body=body, recursive=True)
+HEIR_EDGES = """
+edges AS (
+  SELECT 'part:'||l_partkey AS source, 'part:'||heir AS target, 'calls' AS kind, 1 AS line
+  FROM (SELECT l_partkey, max(struct_pack(e := l_extendedprice, o := l_orderkey)).o AS l_orderkey FROM lineitem GROUP BY l_partkey)
+  JOIN (SELECT l_orderkey, min(struct_pack(s := l_suppkey, p := l_partkey)).p AS heir FROM lineitem GROUP BY l_orderkey) USING (l_orderkey)
+)"""
+_PARTS = "\nnodes AS (SELECT * FROM part_nodes)"
+
+
+def flow(body: str, *more: str) -> str:
+    return with_ctes(PART_NODES, _PARTS, FLOW_EDGES, *more, body=body, recursive=True)
+
+
+def heirs(body: str, *more: str) -> str:
+    return with_ctes(PART_NODES, _PARTS, HEIR_EDGES, *more, body=body, recursive=True)

@@ -40,16 +40,16 @@ def _by_language(mapping: dict[str, str], default: str, use) -> Column:
 
 
 def strip_comments(content: Column) -> Column:
-    """Blank comments; line breaks stay, so line numbers hold."""
-    no_line = _by_language(R.LINE_COMMENT, R.DEFAULT_COMMENT, lambda p: F.regexp_replace(content, p, ""))
-    blocks = F.split(no_line, r"(?s)(?<!['\"])/\*", -1)
-    # What follows an opening mark up to its closing mark keeps only its line breaks.
-    keep = F.transform(blocks, lambda b, i: F.when(i == 0, b).otherwise(F.concat(
-        F.regexp_replace(F.regexp_extract(b, r"(?s)^(.*?)(\*/|$)", 1), r"[^\n]", ""),
-        F.regexp_replace(b, r"(?s)^.*?(\*/|\z)", ""))))
-    # Globs and paths in '#' languages are left alone: they have no such blocks.
-    return F.when(F.col("language").isin("python", "ruby", "yaml", "properties", "lua", "luau"), no_line).otherwise(
-        F.array_join(keep, ""))
+    """Blank comments (and Python's long strings); line breaks stay, so line numbers hold, and strings stay."""
+    def blanked(pattern: str) -> Column:
+        found = F.regexp_extract_all(content, F.lit(f"({pattern})"), 1)
+        gaps = F.split(content, pattern, -1)
+        kept = F.transform(found, lambda t: F.when(
+            t.rlike("^[\"'`]") & ~t.rlike("^(\"\"\"|\'\'\')"), t).otherwise(F.regexp_replace(t, r"[^\n]", "")))
+        return F.array_join(F.zip_with(gaps, kept, lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))), "")
+
+    patterns = {lang: "|".join(f"(?:{t})" for t in tokens) for lang, tokens in R.TOKENS.items()}
+    return _by_language(patterns, "|".join(f"(?:{t})" for t in R.DEFAULT_TOKENS), blanked)
 
 
 def lines_of(files: DataFrame) -> DataFrame:

@@ -50,8 +50,7 @@ def language_of(path: Column | str, content: Column | None = None) -> Column:
     by_ext = F.coalesce(F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv])[ext], F.lit("unknown"))
     out = F.when(path.rlike(PLAY_ROUTES), "yaml").when(path.rlike(SHOPIFY_JSON), "liquid")
     if content is not None:
-        head = F.substring(content, 1, 8192)
-        out = out.when((ext == ".h") & head.rlike(LOOKS_CPP), "cpp").when((ext == ".h") & head.rlike(LOOKS_OBJC), "objc")
+        out = out.when((ext == ".h") & content.rlike(LOOKS_CPP), "cpp").when((ext == ".h") & content.rlike(LOOKS_OBJC), "objc")
     return out.otherwise(by_ext)
 
 
@@ -64,19 +63,54 @@ def _dir_regex(names: list[str]) -> str:
     return "(^|/)(" + "|".join("[^/]*".join(re.escape(p) for p in n.split("*")) for n in names) + ")/"
 
 
-def is_ignored(path: Column | str, extra: list[str] = (), kept: list[str] = ()) -> Column:
-    """In a directory left out by default or by `extra` directory globs, unless named in `kept`."""
+def _glob_regex(glob: str) -> str:
+    """Regex of a gitignore glob: `*` and `?` stay within a segment, `**` goes across."""
+    out, i = "", 0
+    while i < len(glob):
+        if glob.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 3
+        elif glob.startswith("**", i):
+            out, i = out + ".*", i + 2
+        elif glob[i] == "[" and "]" in glob[i + 2 :]:
+            end = glob.index("]", i + 2)
+            out, i = out + "[" + glob[i + 1 : end].replace("!", "^", 1 if glob[i + 1] == "!" else 0) + "]", end + 1
+        else:
+            out += {"*": "[^/]*", "?": "[^/]"}.get(glob[i], re.escape(glob[i]))
+            i += 1
+    return out
+
+
+def ignore_rules(text: str) -> list[tuple[str, bool]]:
+    """Rules of a gitignore file in order: (regex on the path below its folder, brought back).
+
+    A rule with an inner or leading `/` holds from the folder on, others at any depth; a closing `/`
+    asks for a directory.
+    """
+    rules = []
+    for line in text.splitlines():
+        rule = line.strip()
+        if not rule or rule.startswith("#"):
+            continue
+        back, rule = rule.startswith("!"), rule.removeprefix("!")
+        below = "/" if rule.endswith("/") else "(?:/|$)"
+        body = rule.rstrip("/")
+        head = "^" if "/" in body else "(?:^|/)"
+        if body.strip("/"):
+            rules.append((head + _glob_regex(body.lstrip("/")) + below, back))
+    return rules
+
+
+def is_ignored(path: Column | str, rules: list[tuple[str, bool]] = ()) -> Column:
+    """In a directory left out by default, or by the last rule that matches. A default directory that a
+    rule brings back by name is left to the rules."""
     path = F.col(path) if isinstance(path, str) else path
-    names = [n for n in IGNORED_DIRS + IGNORED_GLOBS if n not in set(kept)] + list(extra)
-    return path.rlike(_dir_regex(names))
-
-
-def ignore_rules(text: str) -> tuple[list[str], list[str]]:
-    """Directory rules of a gitignore file: (left out, brought back)."""
-    rules = [r.strip() for r in text.splitlines() if r.strip() and not r.strip().startswith("#")]
-    out = [r.strip("/") for r in rules if not r.startswith("!")]
-    back = [r[1:].strip("/") for r in rules if r.startswith("!")]
-    return [r for r in out if "/" not in r], [r for r in back if "/" not in r]
+    back = [regex for regex, brought in rules if brought]
+    names = [n for n in IGNORED_DIRS + IGNORED_GLOBS if not any(re.search(regex, f"{n}/") for regex in back)]
+    out = path.rlike(_dir_regex(names))
+    told = F.lit(None).cast("boolean")
+    for regex, brought in rules:
+        told = F.when(path.rlike(regex), F.lit(not brought)).otherwise(told)
+    return out | F.coalesce(told, F.lit(False))
 
 
 def scan(spark: SparkSession, root: str, gitignore: str = "", paths: DataFrame | None = None) -> DataFrame:
@@ -85,25 +119,25 @@ def scan(spark: SparkSession, root: str, gitignore: str = "", paths: DataFrame |
     The content column is not selected, so the file source does not read it. `paths` (for
     example the listing of a version control system) narrows the scan.
     """
-    extra, kept = ignore_rules(gitignore)
+    rules = ignore_rules(gitignore)
     root = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     rel = F.regexp_replace("path", f"^(file:)?/*{re.escape(root.lstrip('/'))}/", "")
     files = files.select(F.col("path").alias("uri"), rel.alias("path"), F.col("length").alias("size"),
                          F.unix_millis("modificationTime").alias("modified_at"))
-    files = files.filter(is_source_file("path") & ~is_ignored("path", extra, kept))
+    files = files.filter(is_source_file("path") & ~is_ignored("path", rules))
     if paths is not None:
         files = files.join(paths.select("path").distinct(), "path", "left_semi")
     return files.withColumn("language", language_of("path"))
 
 
 def read_contents(spark: SparkSession, root: str, wanted: DataFrame | None = None, gitignore: str = "") -> DataFrame:
-    """Files with content and hash; oversized ones carry an error and no content."""
+    """Files with content and hash; large ones carry a warning."""
     root = root.rstrip("/")
-    extra, kept = ignore_rules(gitignore)
+    rules = ignore_rules(gitignore)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     rel = F.regexp_replace("path", f"^(file:)?/*{re.escape(root.lstrip('/'))}/", "")
-    files = files.withColumn("path", rel).filter(is_source_file("path") & ~is_ignored("path", extra, kept))
+    files = files.withColumn("path", rel).filter(is_source_file("path") & ~is_ignored("path", rules))
     if wanted is not None:
         files = files.join(wanted.select("path").distinct(), "path", "left_semi")
     return with_content(files.select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified_at"),
@@ -111,8 +145,8 @@ def read_contents(spark: SparkSession, root: str, wanted: DataFrame | None = Non
 
 
 def size_error(path: str = "path", size: str = "size", limit: int = MAX_FILE_BYTES) -> Column:
-    """Array with a `size_exceeded` warning for files above the limit, else null."""
-    error = F.struct(F.format_string("File exceeds max size (%d bytes)", F.col(size)).alias("message"),
+    """Array with a `size_exceeded` warning for files above the limit, else null; nothing is left out for it."""
+    error = F.struct(F.format_string("large source file: %d bytes", F.col(size)).alias("message"),
                      F.col(path).alias("file_path"), F.lit(None).cast("int").alias("line"),
                      F.lit(None).cast("int").alias("column"), F.lit("warning").alias("severity"),
                      F.lit("size_exceeded").alias("code"))
@@ -120,10 +154,9 @@ def size_error(path: str = "path", size: str = "size", limit: int = MAX_FILE_BYT
 
 
 def with_content(files: DataFrame, limit: int = MAX_FILE_BYTES) -> DataFrame:
-    """Add hash, language and errors to (path, size, modified_at, content)."""
+    """Add hash, language and warnings to (path, size, modified_at, content)."""
     return files.withColumn("content_hash", F.sha2("content", 256)).withColumn(
-        "language", language_of("path", F.col("content"))).withColumn("errors", size_error(limit=limit)).withColumn(
-        "content", F.when(F.col("size") <= limit, F.col("content")))
+        "language", language_of("path", F.col("content"))).withColumn("errors", size_error(limit=limit))
 
 
 # Languages whose leaf keys may hold secrets; only the key is ever shown.
@@ -150,8 +183,8 @@ def find_file(files: DataFrame, wanted: str) -> DataFrame:
     return hit.join(F.broadcast(best), F.col("tier") == F.col("best")).drop("tier", "best")
 
 
-def numbered(sources: DataFrame, offset: int = 1, limit: int = 2000) -> DataFrame:
-    """Lines of files with their numbers, from `offset`, at most `limit` per file."""
-    lines = F.slice(F.split("content", "\n"), offset, limit)
+def numbered(sources: DataFrame, offset: int = 1, limit: int | None = None) -> DataFrame:
+    """Lines of files with their numbers, from `offset`, if asked at most `limit` per file."""
+    lines = F.slice(F.split("content", "\n"), offset, limit if limit is not None else 2**31 - 1)
     return sources.select("path", F.posexplode(lines).alias("pos", "text")).select(
         "path", (F.col("pos") + offset).alias("line"), "text")

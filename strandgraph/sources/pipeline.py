@@ -33,7 +33,7 @@ def build(files: DataFrame, aliases: dict[str, str] | None = None) -> Graph:
 
     handled = FW.resolve_handlers(nodes, route_refs)
     answers = resolve.resolve(base, refs, imports.via_import(nodes, files, refs, aliases).unionByName(imports.jvm_import(nodes, refs)))
-    first = answers.groupBy("ref_id").agg(F.max_by(F.struct("target", "confidence", "resolved_by"), "confidence").alias("a")).select("ref_id", "a.*")
+    first = answers.groupBy("ref_id").agg(F.min_by(F.struct("target", "confidence", "resolved_by"), F.struct(-F.col("confidence"), "resolved_by", "target")).alias("a")).select("ref_id", "a.*")
     every = cut(refs.unionByName(route_refs), "all-refs")
     found = cut(resolve.edges_from(base, every, first.unionByName(handled)), "resolved")
     # Second stage: calls on returned types and inherited members need the inheritance edges above.
@@ -41,7 +41,8 @@ def build(files: DataFrame, aliases: dict[str, str] | None = None) -> Graph:
     open_ = every.join(first, "ref_id", "left_anti")
     late = resolve.edges_from(linked, open_, resolve.call_chain(linked, open_).unionByName(resolve.this_member(linked, open_)))
     linked = replace(linked, edges=cut(linked.edges.unionByName(as_edges(late)), "edges"))
-    inferred = synth.synthesize(linked, files.select("path", "content"))
+    inferred = cut(synth.synthesize(linked, files.select("path", "content")), "inferred")
+    nodes = nodes.unionByName(synth.channel_nodes(inferred))
     counts = nodes.groupBy(F.col("file_path").alias("path")).agg(F.count("*").cast("int").alias("node_count"))
-    return replace(linked, edges=cut(linked.edges.unionByName(as_edges(inferred)), "edges"),
+    return replace(linked, nodes=nodes, edges=cut(linked.edges.unionByName(as_edges(inferred)), "edges"),
                    files=files.drop("content").join(counts, "path", "left"))

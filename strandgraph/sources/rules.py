@@ -163,8 +163,17 @@ NEW = r"\bnew\s+([A-Za-z_][\w.]*)"
 DECORATOR = r"^\s*@([A-Za-z_][\w.]*)"
 TYPE_USE = r"(?::|->|<|,|\bextends|\bas)\s*([A-Z]\w+)"
 
-# Line and block comments by language, blanked before matching.
-_HASH, _SLASH = r"(?m)(?<=^|\s)#[^\n]*$", r"(?m)(?<!:)//[^\n]*$"
-LINE_COMMENT = {**{lang: _HASH for lang in ("python", "ruby", "yaml", "properties")}, "lua": r"(?m)--[^\n]*$",
-                "luau": r"(?m)--[^\n]*$", "php": r"(?m)(?<!:)(//|#)[^\n]*$"}
-DEFAULT_COMMENT = _SLASH
+# Strings and comments by language, found in one pass so that neither hides in the other.
+# Longer openings come first; a match that opens like a string is kept, all else is blanked.
+_DOUBLE, _SINGLE, _TICK = r'"(?:\\.|[^"\\\n])*"', r"'(?:\\.|[^'\\\n])*'", r"`(?:\\.|[^`\\])*`"
+_BLOCK, _SLASH = r"/\*[\s\S]*?(?:\*/|\z)", r"//[^\n]*"
+_DOC = r'"""[\s\S]*?(?:"""|\z)|\'\'\'[\s\S]*?(?:\'\'\'|\z)'
+_HASH = r"(?<![^\s;])#[^\n]*"
+TOKENS = {
+    "python": [_DOC, _DOUBLE, _SINGLE, _HASH], "yaml": [_DOUBLE, _SINGLE, _HASH], "properties": [r"(?m)^\s*[#!][^\n]*"],
+    "ruby": [r"(?m)^=begin\b[\s\S]*?(?:^=end[^\n]*|\z)", _DOUBLE, _SINGLE, _HASH],
+    "php": [_BLOCK, _DOUBLE, _SINGLE, _SLASH, r"#(?!\[)[^\n]*"], "lua": [_DOUBLE, _SINGLE, r"--\[\[[\s\S]*?(?:\]\]|\z)|--[^\n]*"],
+    "luau": [_DOUBLE, _SINGLE, r"--\[\[[\s\S]*?(?:\]\]|\z)|--[^\n]*"], "pascal": [r"'[^'\n]*'", r"\{[\s\S]*?(?:\}|\z)", r"\(\*[\s\S]*?(?:\*\)|\z)", _SLASH],
+    "rust": [_BLOCK, _DOUBLE, r"'(?:\\.|[^'\\\n])'", _SLASH], "xml": [r"<!--[\s\S]*?(?:-->|\z)"],
+}
+DEFAULT_TOKENS = [_BLOCK, _DOUBLE, _SINGLE, _TICK, r"(?<!:)" + _SLASH]

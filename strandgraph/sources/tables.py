@@ -73,10 +73,13 @@ class GraphStore:
         return sync.upsert(metadata, conform(row, METADATA), "key")
 
     def replace_files(self, fresh: Graph, paths: DataFrame) -> str:
-        """Drop the given files, add what was extracted anew, write the next version."""
-        kept = sync.remove_files(self.read(), paths)
-        nodes = sync.upsert(kept.nodes, as_nodes(fresh.nodes), "id")
-        edges = kept.edges.unionByName(sync.with_valid_ends(as_edges(fresh.edges), nodes))
+        """Drop the given files, add what was extracted anew, write the next version. Edges from
+        other files into the given ones are kept where their targets live on."""
+        stored, added = self.read(), as_nodes(fresh.nodes)
+        kept = sync.remove_files(stored, paths)
+        nodes = sync.upsert(kept.nodes, added, "id")
+        edges = kept.edges.unionByName(sync.inbound_edges(stored, paths, added)).unionByName(
+            sync.with_valid_ends(as_edges(fresh.edges), nodes))
         files = kept.files.unionByName(fresh.files) if fresh.files is not None else kept.files
         refs = kept.refs.unionByName(as_refs(fresh.refs)) if fresh.refs is not None else kept.refs
         return self.write(Graph(nodes, edges, files, refs), self.metadata())

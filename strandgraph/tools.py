@@ -117,7 +117,7 @@ class Tools:
         hits = cut(S.find_file(self.sources, path), "file")
         if hits.limit(2).count() != 1:
             return hits.select("path").orderBy("path").limit(25)
-        return S.numbered(hits, offset, min(limit, 2000)).orderBy("line")
+        return S.numbered(hits, offset, limit).orderBy("line")
 
     def files(self, path: str | None = None, pattern: str | None = None, max_depth: int | None = None) -> DataFrame:
         """Indexed files, narrowed by folder, glob and depth."""

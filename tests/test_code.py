@@ -58,6 +58,47 @@ def test_store_round_trip(spark, project, tmp_path):
     assert sync.with_valid_ends(left.edges, left.nodes).count() == left.edges.count()
 
 
+def test_changed_file_keeps_its_callers(spark, tmp_path):
+    """A callee moves down a line: its node is fresh, calls from other files follow it."""
+    n = nodes(spark, [("a1", "function", "main", "main", "a.ts", "typescript", 1, None), ("b1", "function", "help", "help", "b.ts", "typescript", 1, None),
+                      ("b9", "function", "gone", "gone", "b.ts", "typescript", 9, None)])
+    e = as_edges(spark.createDataFrame([("a1", "b1", "calls"), ("a1", "b9", "calls"), ("b1", "b9", "calls")], "source string, target string, kind string"))
+    store = GraphStore(spark, str(tmp_path))
+    store.write(Graph(n, e))
+    fresh = nodes(spark, [("b2", "function", "help", "help", "b.ts", "typescript", 2, None), ("b5", "function", "new", "new", "b.ts", "typescript", 5, None)])
+    links = as_edges(spark.createDataFrame([("b2", "b5", "calls"), ("b2", "nowhere", "calls")], "source string, target string, kind string"))
+    store.replace_files(Graph(fresh, links), spark.createDataFrame([("b.ts",)], "path string"))
+    left = store.read()
+    assert {r["id"] for r in left.nodes.collect()} == {"a1", "b2", "b5"}
+    assert {(r["source"], r["target"]) for r in left.edges.collect()} == {("a1", "b2"), ("b2", "b5")}
+
+
+def test_comments_and_strings(spark):
+    from strandgraph.sources import extract as X
+    texts = {"javascript": 'const s = "http // no"; f(); // gone\n/* a\nb */ const t = \'/* kept */\';\nx = `// ${y}`', "python": 's = "# kept" # gone\n"""doc\nmore"""\nt = 1',
+             "ruby": "=begin\nnot code\n=end\nx = '#a' # gone", "lua": "--[[ a\nb ]] x = 1 -- gone", "go": "a := 'x' // gone\nb()"}
+    df = spark.createDataFrame(list(texts.items()), "language string, content string")
+    got = {r["language"]: r["c"] for r in df.select("language", X.strip_comments(F.col("content")).alias("c")).collect()}
+    assert got == {"javascript": 'const s = "http // no"; f(); \n\n const t = \'/* kept */\';\nx = `// ${y}`', "python": 's = "# kept" \n\n\nt = 1',
+                   "ruby": "\n\n\nx = '#a' ", "lua": "\n x = 1 ", "go": "a := 'x' \nb()"}
+
+
+def test_ignore_rules(spark):
+    rules = S.ignore_rules("*.log\n/only/top\nsub/*.ts\n!sub/keep.ts\ntmp/\n# note\n!vendor/\ndocs/**/x?.py")
+    paths = {"a.log": True, "d/a.log": True, "only/top/a.ts": True, "x/only/top/a.ts": False, "sub/a.ts": True, "sub/keep.ts": False, "y/sub/a.ts": False,
+             "q/tmp/a.ts": True, "tmp": False, "vendor/a.go": False, "node_modules/a.ts": True, "docs/a/b/x1.py": True, "docs/x1.py": True, "docs/xx1.py": False}
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert {r["p"]: r["i"] for r in df.select("p", S.is_ignored("p", rules).alias("i")).collect()} == paths
+
+
+def test_existing_and_empty_search(spark):
+    from strandgraph.operators import search
+    n = nodes(spark, [("p", "class", "PermissionEngine", "PermissionEngine", "a.ts", "typescript", 1, None)])
+    r = refs(spark, [("x", "permissionEngine.check", "calls", 1, "b.ts", "typescript"), ("x", "other.check", "calls", 1, "b.ts", "typescript")])
+    assert [x["reference_name"] for x in resolve.existing(n, r).collect()] == ["permissionEngine.check"]
+    assert search.SearchIndex.build(n).search("").count() == 0
+
+
 def test_scan_rules(spark, tmp_path):
     for path, text in {"src/a.ts": "x", "node_modules/b.ts": "x", "src/c.txt": "x", "vendor/d.go": "x", "h/e.h": "class A { public: };"}.items():
         f = tmp_path / path
