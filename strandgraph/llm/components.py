@@ -22,7 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_lowest(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(_lowest(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = large.join(_lowest(large), "u")
         small = small.select("v", "m").union(small.select("u", "m")).toDF("u", "v").filter("u <> v").distinct()
         current = cut(small, "edges")

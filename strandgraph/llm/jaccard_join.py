@@ -39,7 +39,7 @@ BANDS, ROWS = 28, 5
 STEP = 20
 BLOCK = 128
 _SALT = np.uint64(0x9E3779B97F4A7C15)
-_TEXT_SLICE = 2 << 20
+_TEXT_SLICE = 1 << 20
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -318,8 +318,9 @@ def _verified(docs: DataFrame, key: str, classes: DataFrame, pairs: DataFrame, t
     asked = cut(asked, "asked")
     units = asked.select("comp", "lo", "hi").distinct().withColumn("block", F.explode(F.array_distinct(F.array("lo", "hi"))))
     reps = members.select("id", F.col("rep.key").alias("_key"), F.col("rep.text_hash").alias("_hash"))
+    # the same plan at every size: texts move once to meet their keys
     texts = docs.select(F.col(key).alias("_own"), "text").join(
-        reps, (F.xxhash64("text") == F.col("_hash")) & F.col("_own").eqNullSafe(F.col("_key")))
+        reps.hint("merge"), (F.xxhash64("text") == F.col("_hash")) & F.col("_own").eqNullSafe(F.col("_key")))
     sets = cut(_shingle_sets(texts), "sets")
     rows = members.join(units, ["comp", "block"]).join(sets, "id").select(
         "comp", "lo", "hi", "id", "copies", "shingles", F.lit(None).cast("array<long>").alias("partners"))
