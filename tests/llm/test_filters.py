@@ -97,9 +97,9 @@ def plain_drop(docs, min_docs=6, depth=3, max_children=100, min_constant=0.5):
     for _, text in docs:
         if text is not None:
             for n, line in enumerate(text.split("\n")):
-                masked = re.sub(r"(?<!\S)[^\s\d]*\d\S*", "<*>", line.lower(), flags=re.A).strip(" ")
-                tokens = tuple(re.split(r"[ \t\n\x0b\f\r]+", masked))
-                if tokens != ("",):
+                words = [w for w in re.split("[ \t\x0b\f\r]+", line.lower()) if w]
+                tokens = tuple("<*>" if re.search("[0-9]", w) else w for w in words)
+                if tokens:
                     lines[text, n] = tokens
     leaves = defaultdict(set)
     for t in lines.values():
