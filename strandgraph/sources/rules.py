@@ -165,7 +165,7 @@ TYPE_USE = r"(?::|->|<|,|\bextends|\bas)\s*([A-Z]\w+)"
 
 # Strings and comments by language, found in one pass so that neither hides in the other.
 # Longer openings come first; a match that opens like a string is kept, all else is blanked.
-_DOUBLE, _SINGLE, _TICK = r'"(?:\\.|[^"\\\n])*"', r"'(?:\\.|[^'\\\n])*'", r"`(?:\\.|[^`\\])*`"
+_DOUBLE, _SINGLE, _TICK = (rf"{q}[^{q}\\{end}]*+(?:\\.[^{q}\\{end}]*+)*+{q}" for q, end in (('"', "\\n"), ("'", "\\n"), ("`", "")))
 _BLOCK, _SLASH = r"/\*[\s\S]*?(?:\*/|\z)", r"//[^\n]*"
 _DOC = r'"""[\s\S]*?(?:"""|\z)|\'\'\'[\s\S]*?(?:\'\'\'|\z)'
 _HASH = r"(?<![^\s;])#[^\n]*"
