@@ -3,7 +3,7 @@
 1. Every text becomes a MinHash signature of its five-word shingles (hashes of 64 bits, signature values of
    16). Texts with the same words are one class, so copies never meet.
 2. Classes that agree in a band of the signature are candidates (28 bands of 5: a pair at the threshold is
-   missed with probability 2e-5). A bucket is cut into blocks of about 128 and its pairs of blocks are the
+   missed with probability 2e-5). A bucket is cut into blocks of at most some 256 and its pairs of blocks are the
    units of work, so that no bucket is one group. A pair counts in the first band it agrees in only.
 3. The signature values of a pair are compared 20 at a time. After each step the posterior probability
    that its similarity reaches the threshold, under a uniform prior, is P(Binomial(n + 1, t) <= m) for m
@@ -37,7 +37,7 @@ from .word_bpe import slices
 SHINGLE = 5
 BANDS, ROWS = 28, 5
 STEP = 20
-BLOCK = 128
+BLOCK = 256
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 _TEXT_SLICE = 1 << 20
 
@@ -177,7 +177,9 @@ def _pairs(side: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(size: Column) -> Column:
-    return F.ceil(size / BLOCK).cast("int")
+    """A power of two, so that the blocks of a larger group lie within those of a smaller one and a list
+    of partners from one unit of a bucket falls into few blocks of its component."""
+    return F.pow(F.lit(2), F.greatest(F.ceil(F.log2(size / BLOCK)), F.lit(0))).cast("int")
 
 
 def _block(key: Column, blocks: Column) -> Column:
