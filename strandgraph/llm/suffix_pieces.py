@@ -27,7 +27,7 @@ from .word_bpe import slices
 BLANK = "▁"
 _NONE = np.iinfo(np.int32).max
 _ENCODERS: dict[str, "PieceEncoder"] = {}
-_SLICE, _INDEXED = 8 << 20, 600_000
+_SLICE, _INDEXED, _DECODED = 4 << 20, 300_000, 1_000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 
 
@@ -172,7 +172,7 @@ class PieceEncoder(Memo):
         super().__init__(np.dtype(np.int32))
 
     def fresh(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """One indexed text for each run of whole units of about 600 KB."""
+        """One indexed text for each run of whole units of about 300 KB."""
         stops = np.cumsum(pc.binary_length(strings).to_numpy(zero_copy_only=False).astype(np.int64))
         borders = np.unique(np.searchsorted(stops, np.arange(_INDEXED, stops[-1], _INDEXED), "right"))
         parts = [self._indexed(strings[a:b]) for a, b in zip([0, *borders.tolist()], [*borders.tolist(), len(strings)]) if b > a]
@@ -311,13 +311,13 @@ def decode_documents(encoded: DataFrame, path: str, key: str = "doc_id") -> Data
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in batches:
-            lists = batch.column(1)
+        for part in (batch.slice(i, _DECODED) for batch in batches for i in range(0, batch.num_rows, _DECODED)):
+            lists = part.column(1)
             bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             ids = lists.flatten().to_numpy()
             crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(bounds).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(enc.decode(ids, bounds), pa.string())],
+                [part.column(0), pa.array(np.diff(bounds).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(enc.decode(ids, bounds), pa.string())],
                 [key, "n_ids", "ids_crc32", "text"])
 
     kind = encoded.schema[key].dataType.simpleString()
