@@ -148,10 +148,10 @@ def flow(spark: SparkSession, sf: str) -> Graph:
 
 
 def heirs(spark: SparkSession, sf: str) -> Graph:
-    """Part calls part: the part of the least supplier in its dearest order. Sparse by nature: one edge a part."""
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice")
+    """Part calls part: a part of its dearest order, picked by a remainder. Sparse by nature: one edge a part."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice")
     last = lines.groupBy("l_partkey").agg(F.max(F.struct("l_extendedprice", "l_orderkey"))["l_orderkey"].alias("l_orderkey"))
-    head = lines.groupBy("l_orderkey").agg(F.min(F.struct("l_suppkey", "l_partkey"))["l_partkey"].alias("heir"))
+    head = lines.groupBy("l_orderkey").agg(F.min(F.struct(F.expr("(l_partkey * 31 + l_orderkey * 17) % 101"), "l_partkey"))["l_partkey"].alias("heir"))
     return Graph(part_nodes(spark, sf), as_edges(last.join(head, "l_orderkey").selectExpr(
         f"{_id('part', 'l_partkey')} as source", f"{_id('part', 'heir')} as target", "'calls' as kind", "1 as line")))
 

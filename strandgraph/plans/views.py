@@ -101,7 +101,7 @@ HEIR_EDGES = """
 edges AS (
   SELECT 'part:'||l_partkey AS source, 'part:'||heir AS target, 'calls' AS kind, 1 AS line
   FROM (SELECT l_partkey, max(struct_pack(e := l_extendedprice, o := l_orderkey)).o AS l_orderkey FROM lineitem GROUP BY l_partkey)
-  JOIN (SELECT l_orderkey, min(struct_pack(s := l_suppkey, p := l_partkey)).p AS heir FROM lineitem GROUP BY l_orderkey) USING (l_orderkey)
+  JOIN (SELECT l_orderkey, min(struct_pack(s := (l_partkey * 31 + l_orderkey * 17) % 101, p := l_partkey)).p AS heir FROM lineitem GROUP BY l_orderkey) USING (l_orderkey)
 )"""
 _PARTS = "\nnodes AS (SELECT * FROM part_nodes)"
 
