@@ -1,13 +1,15 @@
 """Line dedup with a log-template tree of fixed depth.
 
 A line in lower case, tokens with a digit replaced by <*>, goes down the tree by its token count and its
-first tokens. A leaf with more than `max_children` distinct lines is a log-like one: a position with more
-than `max_children` distinct tokens is a variable field and is replaced by <*>, too, provided that enough
-constant tokens remain; all other lines are their own templates. A template found in `min_docs` or more
-distinct texts is recurring, and its lines are dropped from every document.
+first `depth` tokens. Within a leaf, lines are merged by similarity, from two variants on: a group of lines of
+which at least `min_constant` of the tokens after the leading ones, and at least `min_evidence` tokens, are
+the same in all is one template, and its other places are fields; a group that is not is split by the tokens
+at the place with the fewest different ones. No rule looks at how many lines a leaf or a group has. A line
+without a group is its own template. A template found in `min_docs` or more distinct texts is recurring, and
+its lines are dropped from every document.
 
 Every step is an aggregate on hashes: lines of equal texts are merged first, a leaf is a count and not a
-list, and only tokens of log-like leaves are looked at one by one. Texts move once, to meet their flags.
+list, and only tokens of lines that share a leaf are looked at one by one. Texts move once, to meet their flags.
 
 Edge cases: a null text stays null; lines without tokens are kept; a text that loses every line is empty
 but its row stays; equal texts count as one document and lose the same lines; repeated rows stay; an empty
@@ -17,7 +19,7 @@ table stays empty. Other columns are passed through, whatever their names.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import cut
+from ..lineage import cut, union_all
 from .lines import without
 
 WILDCARD = "<*>"
@@ -41,23 +43,47 @@ def _lines(docs: DataFrame, depth: int) -> DataFrame:
     return tokens.withColumns({"leaf": leaf, "exact": F.xxhash64("tokens")})
 
 
-def line_templates(docs: DataFrame, depth: int = 3, max_children: int = 100, min_constant: float = 0.5) -> DataFrame:
-    """(k1, k2, number, template) of the lines of distinct texts, as a written table."""
+def _groups(spelled: DataFrame, depth: int, min_constant: float, min_evidence: int) -> DataFrame:
+    """(leaf, exact, general, size) of the lines that share a template with another one.
+
+    A group of lines is one template if enough of its tokens after the leading ones are the same in all of
+    them. If not, it is split by the tokens at the place with the fewest different ones, and so on.
+    """
+    done, turn = [], spelled.withColumn("general", F.col("leaf"))
+    while not turn.isEmpty():
+        places = turn.select("general", F.size("tokens").alias("n"), F.posexplode("tokens").alias("at", "token")).filter(F.col("at") >= depth)
+        spread = places.groupBy("general", "n", "at", F.xxhash64("token").alias("token")).agg(F.first(F.col("token") == WILDCARD).alias("wild"))
+        kinds = spread.groupBy("general", "n", "at").agg(F.count(F.lit(1)).alias("kinds"), F.max("wild").alias("wild"))
+        same, varied = (F.col("kinds") == 1) & ~F.col("wild"), F.col("kinds") > 1
+        found = kinds.groupBy("general", "n").agg(
+            F.count(F.when(same, 1)).alias("same"), F.min(F.when(varied, F.struct("kinds", "at"))).alias("split"),
+            F.collect_set(F.when(varied, F.col("at"))).alias("fields"))  # at most one entry a token of the line
+        one = (F.col("same") >= min_evidence) & (F.col("same") >= min_constant * (F.col("n") - depth))
+        met = cut(turn.join(found.withColumn("one", one).drop("n"), "general"), "groups")
+        fixed = F.filter("tokens", lambda t, i: (t != WILDCARD) & ~F.array_contains("fields", i))
+        done.append(met.filter("one").select("leaf", "exact", "general", F.size(fixed).alias("size")))
+        token = F.element_at("tokens", F.col("split.at") + 1)
+        parts = met.filter("not one").select("leaf", "exact", "tokens", F.xxhash64("general", "split.at", token).alias("general"))
+        several = parts.groupBy("general").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("general")
+        turn = cut(parts.join(several, "general"), "turn")
+    none = spelled.limit(0).select("leaf", "exact", F.col("leaf").alias("general"), F.lit(0).alias("size"))
+    return union_all([none, *done])
+
+
+def line_templates(docs: DataFrame, depth: int = 3, min_constant: float = 0.5, min_evidence: int = 3) -> DataFrame:
+    """(k1, k2, number, template, size) of the lines of distinct texts, as a written table; size counts the
+    constant tokens of the template."""
     all_lines = _lines(docs.select("text"), depth)
-    once = all_lines.groupBy("k1", "k2", "number").agg(F.first("leaf").alias("leaf"), F.first("exact").alias("exact"))
+    once = all_lines.groupBy("k1", "k2", "number").agg(
+        F.first("leaf").alias("leaf"), F.first("exact").alias("exact"), F.first(F.size(F.array_remove("tokens", WILDCARD))).alias("size"))
     lines = cut(once, "lines")
     distinct = lines.select("leaf", "exact").distinct()
-    busy = cut(distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_children).select("leaf"), "leaves")
-    spelled = all_lines.join(busy, "leaf").groupBy("leaf", "exact").agg(F.first("tokens").alias("tokens"))
-    spelled = cut(spelled, "spelled")
-    places = spelled.select("leaf", F.posexplode("tokens").alias("at", "token")).select("leaf", "at", F.xxhash64("token").alias("token")).distinct()
-    fields = places.groupBy("leaf", "at").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_children).groupBy("leaf").agg(
-        F.collect_set("at").alias("fields"))  # at most one entry a token of the line
-    general = F.transform("tokens", lambda t, i: F.when(F.array_contains("fields", i), F.lit(WILDCARD)).otherwise(t))
-    constant = F.size(F.filter(general, lambda t: t != WILDCARD)) >= min_constant * F.size("tokens")
-    merged = spelled.join(fields, "leaf").filter(constant).select("leaf", "exact", F.xxhash64(F.lit("field"), general).alias("general"))
+    busy = cut(distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("leaf"), "leaves")
+    long = all_lines.filter(F.size("tokens") >= depth + min_evidence + 1)
+    spelled = long.join(busy, "leaf").groupBy("leaf", "exact").agg(F.first("tokens").alias("tokens"))
+    merged = _groups(cut(spelled, "spelled"), depth, min_constant, min_evidence).withColumnRenamed("size", "fixed")
     return cut(lines.join(merged, ["leaf", "exact"], "left").select(
-        "k1", "k2", "number", F.coalesce("general", "exact").alias("template")), "templates")
+        "k1", "k2", "number", F.coalesce("general", "exact").alias("template"), F.coalesce("fixed", "size").alias("size")), "templates")
 
 
 def recurring(templates: DataFrame, min_docs: int = 6) -> DataFrame:

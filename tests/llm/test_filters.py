@@ -141,3 +141,21 @@ def test_line_templates_table(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     out = log_templates.drop_recurring(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     assert as_text((r["doc_id"], r["text"], r["n_dropped_lines"]) for r in rows(out)) == as_text(plain_drop(docs))
+
+
+def dropped(spark, texts, **rule):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: r["n_dropped_lines"] for r in rows(log_templates.drop_recurring(df, **rule))}
+
+
+def test_fields_of_few_values_and_short_clean_lines(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(7))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    texts = []
+    for opening, n in (("sent from my", 6), ("brought to you", 40), ("this page was", 100)):
+        texts += [f"{opening} new phone by {word()} with best regards to all\n{prose(30)}" for _ in range(n)]
+    texts += [f"sent from my {prose(8)}\n{prose(30)}" for _ in range(20)]  # clean lines in a leaf with a template
+    texts += [f"one of the {prose(n)}\n{prose(30)}" for n in (1, 2, 3) for _ in range(150)]
+    got = dropped(spark, texts)
+    assert [got[i] for i in range(len(texts))] == [int(i < 146) for i in range(len(texts))]
