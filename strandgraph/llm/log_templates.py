@@ -6,7 +6,7 @@ which at least `min_constant` of the tokens after the leading ones, and at least
 the same in all is one template, and its other places are fields; a group that is not is split by the tokens
 at the place with the fewest different ones. No rule looks at how many lines a leaf or a group has. A line
 without a group is its own template. A template found in `min_docs` or more distinct texts is recurring, and
-its lines are dropped from every document.
+its lines are dropped from every document. With `long_line` fewer texts do for longer templates.
 
 Every step is an aggregate on hashes: lines of equal texts are merged first, a leaf is a count and not a
 list, and only tokens of lines that share a leaf are looked at one by one. Texts move once, to meet their flags.
@@ -23,6 +23,8 @@ from ..lineage import cut, union_all
 from .lines import without
 
 WILDCARD = "<*>"
+#: How the query and the pipeline drop lines.
+RULE = {"long_line": 20}
 
 
 def _lines(docs: DataFrame, depth: int) -> DataFrame:
@@ -86,16 +88,20 @@ def line_templates(docs: DataFrame, depth: int = 3, min_constant: float = 0.5, m
         "k1", "k2", "number", F.coalesce("general", "exact").alias("template"), F.coalesce("fixed", "size").alias("size")), "templates")
 
 
-def recurring(templates: DataFrame, min_docs: int = 6) -> DataFrame:
-    """(template, n_docs) of templates in at least `min_docs` distinct texts."""
-    return templates.select("template", "k1", "k2").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n_docs")).filter(
-        F.col("n_docs") >= min_docs)
+def recurring(templates: DataFrame, min_docs: int = 6, long_line: int | None = None) -> DataFrame:
+    """(template, n_docs) of templates in at least `min_docs` distinct texts. With `long_line` that number falls
+    with the constant tokens of the template, down to two texts at `long_line` tokens."""
+    least = F.lit(min_docs)
+    if long_line is not None:
+        least = F.greatest(F.lit(2), F.lit(min_docs) - F.floor(F.col("size") * (min_docs - 2) / long_line))
+    return templates.select("template", "size", "k1", "k2").distinct().groupBy("template", "size").agg(
+        F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") >= least).drop("size")
 
 
-def drop_recurring(docs: DataFrame, min_docs: int = 6, **tree) -> DataFrame:
+def drop_recurring(docs: DataFrame, min_docs: int = 6, long_line: int | None = None, **tree) -> DataFrame:
     """`docs` with the recurring lines taken out of `text`; adds `n_dropped_lines` if no column has that name."""
     templates = line_templates(docs, **tree)
-    gone = templates.join(recurring(templates, min_docs).select("template"), "template", "left_semi")
+    gone = templates.join(recurring(templates, min_docs, long_line).select("template"), "template", "left_semi")
     flags = gone.groupBy("k1", "k2").agg(F.array_sort(F.collect_list("number")).alias("_gone"))
     keyed = docs.withColumns({"_k1": F.xxhash64("text"), "_k2": F.hash("text")})
     out = keyed.join(flags.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "_gone"), ["_k1", "_k2"], "left")

@@ -141,7 +141,7 @@ def op6_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_log_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = log_templates.drop_recurring(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = log_templates.drop_recurring(_table(spark, sf_dir, "documents").select("doc_id", "text"), **log_templates.RULE)
     text = F.coalesce("text", F.lit(""))
     return out.select("doc_id", "n_dropped_lines", F.length(text).cast("long").alias("n_chars_left"), F.md5(text).alias("text_md5"))
 

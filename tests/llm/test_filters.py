@@ -159,3 +159,13 @@ def test_fields_of_few_values_and_short_clean_lines(spark):
     texts += [f"one of the {prose(n)}\n{prose(30)}" for n in (1, 2, 3) for _ in range(150)]
     got = dropped(spark, texts)
     assert [got[i] for i in range(len(texts))] == [int(i < 146) for i in range(len(texts))]
+
+
+def test_long_lines_need_fewer_texts(spark):
+    rnd = random.Random(9)
+    prose = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(7)) for _ in range(n))
+    for words, least in ((60, 2), (20, 2), (15, 3), (10, 4), (5, 5), (3, 6)):
+        few, enough = prose(words), prose(words)
+        texts = [f"{prose(40)}\n{few}"] * 2 + [f"{prose(40)}\n{few}" for _ in range(least - 2)] + [f"{enough}\n{prose(40)}" for _ in range(least)]
+        got = dropped(spark, texts, **log_templates.RULE)
+        assert [got[i] for i in range(len(texts))] == [0] * least + [1] * least
