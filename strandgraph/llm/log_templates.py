@@ -7,6 +7,7 @@ the same in all is one template, and its other places are fields; a group that i
 at the place with the fewest different ones. No rule looks at how many lines a leaf or a group has. A line
 without a group is its own template. A template found in `min_docs` or more distinct texts is recurring, and
 its lines are dropped from every document. With `long_line` fewer texts do for longer templates.
+With `near` near copies count as one text, so that they do not make each other's prose recurring.
 
 Every step is an aggregate on hashes: lines of equal texts are merged first, a leaf is a count and not a
 list, and only tokens of lines that share a leaf are looked at one by one. Texts move once, to meet their flags.
@@ -20,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import cut, union_all
+from . import jaccard_join
 from .lines import without
 
 WILDCARD = "<*>"
 #: How the query and the pipeline drop lines.
-RULE = {"long_line": 20}
+RULE = {"long_line": 20, "near": 0.8}
 
 
 def _lines(docs: DataFrame, depth: int) -> DataFrame:
@@ -88,20 +90,32 @@ def line_templates(docs: DataFrame, depth: int = 3, min_constant: float = 0.5, m
         "k1", "k2", "number", F.coalesce("general", "exact").alias("template"), F.coalesce("fixed", "size").alias("size")), "templates")
 
 
-def recurring(templates: DataFrame, min_docs: int = 6, long_line: int | None = None) -> DataFrame:
-    """(template, n_docs) of templates in at least `min_docs` distinct texts. With `long_line` that number falls
-    with the constant tokens of the template, down to two texts at `long_line` tokens."""
+def recurring(templates: DataFrame, min_docs: int = 6, long_line: int | None = None, of: tuple[str, ...] = ("k1", "k2")) -> DataFrame:
+    """(template, n_docs) of templates in at least `min_docs` distinct texts (or other values of the columns `of`).
+    With `long_line` that number falls with the constant tokens of the template, down to two at `long_line`."""
     least = F.lit(min_docs)
     if long_line is not None:
         least = F.greatest(F.lit(2), F.lit(min_docs) - F.floor(F.col("size") * (min_docs - 2) / long_line))
-    return templates.select("template", "size", "k1", "k2").distinct().groupBy("template", "size").agg(
+    return templates.select("template", "size", *of).distinct().groupBy("template", "size").agg(
         F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") >= least).drop("size")
 
 
-def drop_recurring(docs: DataFrame, min_docs: int = 6, long_line: int | None = None, **tree) -> DataFrame:
+def _near_classes(docs: DataFrame, holders: DataFrame, near: float) -> DataFrame:
+    """(k1, class) of the texts in `holders`: texts linked by chains of similarity `near` or more are one class."""
+    texts = docs.filter("text is not null").select(F.xxhash64("text").alias("k1"), "text")
+    texts = cut(texts.join(holders.select("k1").distinct(), "k1", "left_semi"), "holders")
+    return jaccard_join.similar_documents(texts, "k1", near).select("k1", F.col("class_id").alias("class")).distinct()
+
+
+def drop_recurring(docs: DataFrame, min_docs: int = 6, long_line: int | None = None, near: float | None = None, **tree) -> DataFrame:
     """`docs` with the recurring lines taken out of `text`; adds `n_dropped_lines` if no column has that name."""
     templates = line_templates(docs, **tree)
     gone = templates.join(recurring(templates, min_docs, long_line).select("template"), "template", "left_semi")
+    if near is not None:
+        # only a template that recurs in distinct texts can recur in classes of them
+        gone = cut(gone, "held")
+        classed = gone.join(_near_classes(docs, gone, near), "k1")
+        gone = gone.join(recurring(classed, min_docs, long_line, ("class",)).select("template"), "template", "left_semi")
     flags = gone.groupBy("k1", "k2").agg(F.array_sort(F.collect_list("number")).alias("_gone"))
     keyed = docs.withColumns({"_k1": F.xxhash64("text"), "_k2": F.hash("text")})
     out = keyed.join(flags.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "_gone"), ["_k1", "_k2"], "left")

@@ -1,5 +1,6 @@
 """The pipeline against plain versions of its stages, and its stages on awkward rows."""
 
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -62,3 +63,23 @@ def test_stages_on_awkward_rows(spark):
                 assert set(seen) <= {r.doc_id for r in frame.collect()}
                 if frame is docs:
                     assert seen[50] == 1 and seen[51] == 1  # clean documents stay
+
+
+def test_large_group_of_near_copies_becomes_one_whole_document(spark):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(7))
+    page = lambda: [[word() for _ in range(40)] for _ in range(7)]
+    shared, passage = "all rights reserved by the owners of this site", " ".join(word() for _ in range(60))
+    first, texts = page(), []
+    for _ in range(20):
+        lines = [list(x) for x in first]
+        for _ in range(3):
+            lines[rnd.randrange(7)][rnd.randrange(40)] = word()
+        texts.append("\n".join(" ".join(x) for x in lines))
+    texts += ["\n".join(" ".join(x) for x in page()) for _ in range(10)]
+    whole = [f"{t}\n{shared}" + (f"\n{passage}" if i in (25, 26) else "") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([(i, t, "en", "h", len(t)) for i, t in enumerate(whole)], "doc_id long, text string, lang string, source string, n_chars long")
+    lines = corpus_pipeline.line_stage(spark, docs, SF)
+    assert {r.doc_id: r.text for r in lines.collect()} == dict(enumerate(texts))
+    kept = corpus_pipeline.near_duplicate_stage(spark, lines, SF)
+    assert {r.doc_id: r.text for r in kept.collect()} == {i: t for i, t in enumerate(texts) if i == 0 or i >= 20}
