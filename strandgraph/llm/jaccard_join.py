@@ -11,8 +11,9 @@
 4. Survivors are verified exactly. They are grouped by connected component, again in blocks, where shingle
    sets meet once per pair of blocks and the links of one text to a block are counted in one sweep.
 
-Links are summed per text inside the tasks, weighted by copies, and tasks report spanning trees, so nothing
-that leaves a task grows with the square of a group. Results: a row per document with its class (documents
+Links are summed per text inside the tasks, weighted by copies, and tasks report spanning trees. The surviving
+candidates, however, leave their task as lists of partners and are written twice before they are verified: a
+group of n different near copies has n(n-1)/2 entries there, so one very large group does not finish. Results: a row per document with its class (documents
 linked by chains of links) and its exact number of links.
 
 Edge cases: words are runs of characters other than ASCII white space; a text of one to four words is one
