@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lineage import checkpoint_root
-from . import jaccard_join, log_templates, metric_tree, packing, plane_store, quality, suffix_pieces, token_counts, toxicity, warc_revisits
+from . import (
+    alignment, jaccard_join, lexical_search, log_templates, metric_tree, packing, plane_store, quality, suffix_pieces, token_counts, toxicity, url_filters,
+    warc_revisits,
+)
 
 BASE_VOCABULARY = "word_bpe_49k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
+BYTES = "byte_bpe_50k.json"
 
 _TOP_PRODUCTS = """
 WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS x FROM embeddings
@@ -64,6 +68,42 @@ SELECT record_id, url, seconds, resolution, CASE WHEN resolution = 'resolved' TH
 FROM judged
 """
 
+_LEXICAL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+size AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+asked AS (SELECT item_id, term, count(*) AS times FROM (
+            SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+held AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) SEMI JOIN asked USING (term) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+            FROM (SELECT term, count(*) AS df FROM held GROUP BY term), size),
+impacts AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))) AS impact
+            FROM held JOIN weights USING (term), size),
+scores AS (SELECT item_id, doc_id, sum(impact * times)::BIGINT AS score FROM impacts JOIN asked USING (term) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+_HITS = ", ".join(f"('{t}', {k})" for k, terms in (("true", url_filters.STRICT), ("false", url_filters.SOFT)) for t in terms)
+_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filters.RULES)
+_URLS = rf"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS u FROM pages),
+parts AS (SELECT page_id, u, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM p),
+rules(h, s, v) AS (VALUES {_RULES}),
+fits AS (SELECT page_id, h || s AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h || s) DESC) AS k
+         FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s)),
+vocabulary(term, strict) AS (VALUES {_HITS}),
+hits AS (SELECT page_id, count(*) FILTER (WHERE strict)::INTEGER AS n_strict, count(*) FILTER (WHERE NOT strict)::INTEGER AS n_soft
+         FROM p JOIN vocabulary ON regexp_matches(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '(^|[\x00-\x60\x7B-\x7F])' || term || '([\x00-\x60\x7B-\x7F]|$)') GROUP BY page_id)
+SELECT page_id, host, path, rule,
+       coalesce(v, CASE WHEN coalesce(n_strict, 0) > 0 OR coalesce(n_soft, 0) > 1 THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(n_strict, 0) AS n_strict, coalesce(n_soft, 0) AS n_soft
+FROM parts LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (page_id) LEFT JOIN hits USING (page_id)
+"""
+
 _LINE_FREQUENCY = r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
 b AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
@@ -193,7 +233,19 @@ def op7_metric_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_tree.top_inner_products(vectors, F.col("id") % 50 == 0, 5)
 
 
+def op11_impact_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"), _vocabulary(BYTES), _vocabulary(PIECES))
+
+
+def op13_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(_table(spark, sf_dir, "pages").select("page_id", "url")).drop("url", "terms")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc_revisits, op2_jaccard_join, op3_best_fit_packing, op4_suffix_pieces, op5_line_frequency, op6_noisy_or_toxicity,
-    op7_metric_tree, op8_token_counts, op9_plane_store, op10_log_templates)}
-ORACLES = {"op1_warc_revisits": _REVISITS, "op5_line_frequency": _LINE_FREQUENCY, "op7_metric_tree": _TOP_PRODUCTS}
+    op7_metric_tree, op8_token_counts, op9_plane_store, op10_log_templates, op11_impact_lists, op12_token_alignment, op13_url_vocabulary)}
+ORACLES = {"op1_warc_revisits": _REVISITS, "op5_line_frequency": _LINE_FREQUENCY, "op7_metric_tree": _TOP_PRODUCTS, "op11_impact_lists": _LEXICAL, "op13_url_vocabulary": _URLS}
