@@ -66,7 +66,9 @@ class WordEncoder(Memo):
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words one after the other and their counts."""
         core = pc.utf8_rtrim(words, _TAIL)
-        letters = pc.and_not(pc.utf8_is_alpha(core), pc.match_substring(core, "\u0130"))  # its lower case is two characters
+        # whole, if its lower case is two characters or NFC, which the library applies first, takes it apart
+        letters = pc.and_not(pc.utf8_is_alpha(core), pc.match_substring(core, "\u0130"))
+        letters = pc.and_(letters, pc.equal(pc.utf8_normalize(core, "NFC"), core))
         tails = pc.struct_field(pc.extract_regex(words, f"(?P<tail>[{_TAIL}]*)$"), 0)
         tails = pc.if_else(letters, tails, "").dictionary_encode()
         cores = pc.if_else(letters, pc.utf8_lower(core), words).dictionary_encode()

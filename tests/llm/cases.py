@@ -9,5 +9,5 @@ def rows(df):
 
 TRICKY = [
     (1, "plain words, and more words."), (2, None), (3, ""), (4, "  \n\n\t "), (None, "null id"), (5, "repeat"), (5, "repeat"),
-    (6, "İstanbul ΣΑΣ naïve don't 12,5% x_y <|endoftext|> ---... !!! é   z\x0bq"), (7, "word " * 9000), (8, "a" * 5000),
+    (6, "İstanbul ΣΑΣ naïve don't 12,5% x_y <|endoftext|> ---... !!! é   z\x0bq"), (9, "क़. שׁ! ड़, ÀÉ; ﬁ? ﬀ."), (7, "word " * 9000), (8, "a" * 5000),
 ]
