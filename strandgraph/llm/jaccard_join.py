@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from ..lineage import cut
 from .components import components
 from .hashing import mix, run_hashes
+from .lines import hide
 from .word_bpe import slices
 
 SHINGLE = 5
@@ -129,7 +130,7 @@ def least_matches(threshold: float, tolerance: float) -> list[int]:
     return least
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], at_least: int) -> Iterator[tuple[dict, np.ndarray]]:
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str], at_least: int) -> Iterator[tuple[dict, np.ndarray]]:
     """Columns of runs of whole groups (consecutive rows with equal keys) and where each group starts."""
     held = None
     for batch in batches:
@@ -193,7 +194,7 @@ def candidates(classes: DataFrame, threshold: float, tolerance: float) -> DataFr
     least = least_matches(threshold, tolerance)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, starts in _groups(batches, ["bucket", "lo", "hi"], 4096):
+        for rows, starts in groups(batches, ["bucket", "lo", "hi"], 4096):
             ids, side = rows.column("id").to_numpy(), rows.column("side").to_numpy()
             lo, hi, band = (rows.column(c).to_numpy() for c in ("lo", "hi", "band"))
             sig = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint16).reshape(len(ids), -1)
@@ -257,7 +258,7 @@ def _shingle_sets(texts: DataFrame) -> DataFrame:
 
 def _verify(threshold: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, starts in _groups(batches, ["comp", "lo", "hi"], 1024):
+        for rows, starts in groups(batches, ["comp", "lo", "hi"], 1024):
             columns = [rows.column(c).to_pylist() for c in ("id", "copies", "shingles", "partners")]
             stops = np.append(starts[1:], rows.num_rows)
             for s, e in zip(starts.tolist(), stops.tolist()):
@@ -358,9 +359,10 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", threshold: float = 0
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", threshold: float = 0.8) -> DataFrame:
-    """One document of each class, the one with the least key; texts without words all stay."""
-    found = similar_documents(docs, key, threshold)
+    """One document of each class, the one with the least key; texts without words all stay, once a key and text."""
+    own, (key,), back = hide(docs, key)
+    found = similar_documents(own, key, threshold)
     heads = found.select(F.col("class_id").alias("_key"), F.col("rep_text_hash").alias("_hash")).distinct()
-    own = docs.withColumn("_own", F.xxhash64("text"))
-    kept = own.join(heads, (F.col("_own") == F.col("_hash")) & F.col(key).eqNullSafe(F.col("_key")), "left_semi")
-    return kept.dropDuplicates([key, "_own"]).drop("_own")
+    hashed = own.withColumn("_own", F.xxhash64("text"))
+    kept = hashed.join(heads, (F.col("_own") == F.col("_hash")) & F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+    return kept.dropDuplicates([key, "_own"]).drop("_own").withColumnsRenamed(back)

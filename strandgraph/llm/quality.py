@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import cut
-from .lines import without
+from .lines import hide, without
 
 _SPACE = " \t\n\x0b\f\r"
 _SPACES = "[ \\t\\n\\x0B\\f\\r]+"
@@ -91,7 +91,8 @@ def boilerplate(lines: DataFrame, share: float, least_docs: int) -> DataFrame:
 def score(
     docs: DataFrame, host: str = "source", share: float = 0.05, least_docs: int = 10, min_words: int = 20, min_left: float = 0.5
 ) -> DataFrame:
-    """`docs` without text, with the base measures, `n_removed_words` and `kept`."""
+    """`docs` without text, with the base measures, `n_removed_words` and `kept`; these replace columns of their names."""
+    docs, (host,), back = hide(docs, host)
     lines = cut(host_lines(docs, host), "lines")
     removed = lines.join(boilerplate(lines, share, least_docs), ["_host", "line"]).groupBy("_host", "_k1", "_k2").agg(
         F.sum("words").alias("_removed"))
@@ -99,7 +100,7 @@ def score(
     out = measured.join(removed, ["_host", "_k1", "_k2"], "left").withColumn("n_removed_words", F.coalesce("_removed", F.lit(0)).cast("long"))
     left = F.col("n_words") - F.col("n_removed_words")
     depleted = (F.col("n_removed_words") > 0) & ((left < min_words) | (left < min_left * F.col("n_words")))
-    return out.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("_host", "_k1", "_k2", "_removed")
+    return out.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("_host", "_k1", "_k2", "_removed").withColumnsRenamed(back)
 
 
 def keep(
@@ -109,6 +110,7 @@ def keep(
 
     Verdicts are written first, one row per text and host, so that no filter reaches into the measures.
     """
+    docs, (host,), back = hide(docs, host)
     keys = ["_host", "_k1", "_k2"]
     lines = cut(host_lines(docs, host), "lines")
     gone = lines.join(boilerplate(lines, share, least_docs), ["_host", "line"]).groupBy(*keys).agg(
@@ -121,4 +123,4 @@ def keep(
     out = _keyed(docs, host).join(verdicts.filter(~F.col("_failed") & ~depleted), keys)
     out = out.withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split("text", "\n")))
     text = F.array_join(without(F.col("_lines"), F.col("_gone")), "\n")
-    return out.withColumn("text", F.when(F.col("_gone").isNotNull(), text).otherwise(F.col("text"))).select(docs.columns)
+    return out.withColumn("text", F.when(F.col("_gone").isNotNull(), text).otherwise(F.col("text"))).select(docs.columns).withColumnsRenamed(back)
