@@ -18,6 +18,7 @@ like all else; repeated rows count as documents; an empty table gives no rows. O
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,9 @@ from .memo import Memo, gather
 from .word_bpe import slices
 
 HOT_PAIRS = 250_000
-_SLICE = 4 << 20
-_KEEP = 32 << 20
+_SLICE = 1 << 20
+_KEEP = 16 << 20
+_LARGE = 1_024
 _STOP = 0xFFFF
 _ALIGNERS: dict[tuple[str, str], "Aligner"] = {}
 
@@ -71,7 +73,7 @@ class _ByteLevel(Memo):
         for name, i in names.items():
             tokens[i] = bytes(letters[c] for c in name) if all(c in letters for c in name) else name.encode()
         self.spelling = Spelling(tokens)
-        super().__init__(np.dtype(np.int32))
+        super().__init__(np.dtype(np.int32), _KEEP)
 
     def fresh(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(strings.to_pylist(), add_special_tokens=False)]
@@ -88,7 +90,7 @@ class _Pieces(Memo):
         self.spelling = Spelling([
             bytes([int(name[3:5], 16)]) if self.model.IsByte(i) else name.replace("▁", " ").encode()
             for i in range(self.model.vocab_size()) for name in [self.model.id_to_piece(i)]])
-        super().__init__(np.dtype(np.int32))
+        super().__init__(np.dtype(np.int32), _KEEP)
 
     def fresh(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return _joined(self.model.encode([s[1:] for s in strings.to_pylist()], num_threads=1))
@@ -96,7 +98,7 @@ class _Pieces(Memo):
 
 def _joined(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(ids) for ids in found], np.int64)
-    return np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum())), sizes
+    return np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes
 
 
 def unit_starts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -112,27 +114,63 @@ def unit_starts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut_here)
 
 
-def align_window(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[str, int, int, np.ndarray, np.ndarray]:
-    """Groups of one window: their text, number and links, and the distinct id pairs with their links."""
+class Windows:
+    """Alignments of windows: groups' texts, numbers of groups and links, and runs of id pairs with their links."""
+
+    def __init__(self):
+        self.texts = pa.array([], pa.large_string())
+        self.groups = self.links = self.sizes = np.zeros(0, np.int64)
+        self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.groups)
+
+    @property
+    def nbytes(self) -> int:
+        return self.texts.nbytes + 24 * len(self) + self.pairs.nbytes + self.times.nbytes
+
+    def append(self, other: "Windows") -> None:
+        self.texts = pa.concat_arrays([self.texts, other.texts])
+        for name in ("groups", "links", "sizes", "pairs", "times"):
+            setattr(self, name, np.concatenate([getattr(self, name), getattr(other, name)]))
+
+
+def _join_runs(parts: pa.Array, bounds: np.ndarray, mark: str) -> pa.Array:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), parts), pa.scalar(mark, pa.large_string()))
+
+
+def align_windows(a: np.ndarray, a_stops: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_stops: np.ndarray, b_sizes: np.ndarray) -> Windows:
+    """All windows at once: `a` and `b` are their ids one after the other, `a_stops` and `b_stops` where each window
+    ends (both sides have the same bytes), and the sizes are the bytes of each token."""
     a_ends, b_ends = np.cumsum(a_sizes), np.cumsum(b_sizes)
-    shared = np.intersect1d(a_ends, b_ends, assume_unique=True)
-    a_cuts, b_cuts = np.searchsorted(a_ends, shared, "right"), np.searchsorted(b_ends, shared, "right")
-    texts, links, pairs, times, i, j = [], 0, [], [], 0, 0
-    a_names, b_names = a.tolist(), b.tolist()
-    for p, q in zip(a_cuts.tolist(), b_cuts.tolist()):
-        texts.append(f"{','.join(map(str, a_names[i:p]))}|{','.join(map(str, b_names[j:q]))}")
-        links += (p - i) * (q - j)
-        if p - i == 1 and q - j == 1:
-            pairs.append([a_names[i] << 32 | b_names[j]])
-            times.append([1])
-        else:
-            x, n = np.unique(a[i:p].astype(np.int64), return_counts=True)
-            y, m = np.unique(b[j:q].astype(np.int64), return_counts=True)
-            pairs.append(((x << 32)[:, None] | y[None]).ravel())
-            times.append((n[:, None] * m[None]).ravel())
-        i, j = p, q
-    found, inverse = np.unique(np.concatenate(pairs).astype(np.int64), return_inverse=True)
-    return ";".join(texts), len(texts), links, found, np.bincount(inverse, np.concatenate(times)).astype(np.int64)
+    at = np.searchsorted(b_ends, a_ends)
+    last = np.flatnonzero(b_ends[at] == a_ends)  # the A tokens that end a group
+    a_bounds, b_bounds = np.append(0, last + 1), np.append(0, at[last] + 1)
+    n_a, n_b = np.diff(a_bounds), np.diff(b_bounds)
+    owner = np.searchsorted(a_stops, last, "right")
+    per_window = np.bincount(owner, minlength=len(a_stops))
+    out, spelled = Windows(), []
+    for ids, bounds in ((a, a_bounds), (b, b_bounds)):
+        names = pa.array(ids.astype(np.int64)).dictionary_encode()
+        spelled.append(_join_runs(names.dictionary.cast(pa.large_string()).take(names.indices), bounds, ","))
+    groups = pc.binary_join_element_wise(*spelled, pa.scalar("|", pa.large_string()))
+    out.texts = _join_runs(groups, np.concatenate([[0], np.cumsum(per_window)]), ";")
+    out.groups, many = per_window, n_a * n_b
+    out.links = np.bincount(owner, many, len(a_stops)).astype(np.int64)
+    small = np.where(many <= _LARGE, many, 0)
+    g = np.repeat(np.arange(len(many)), small)
+    place = np.arange(len(g)) - np.repeat(np.cumsum(small) - small, small)
+    pairs = a[a_bounds[g] + place // n_b[g]].astype(np.int64) << 32 | b[b_bounds[g] + place % n_b[g]].astype(np.int64)
+    times, whose = np.ones(len(pairs), np.int64), owner[g]
+    for i in np.flatnonzero(many > _LARGE).tolist():  # a long group: its distinct ids and how often they occur
+        x, n = np.unique(a[a_bounds[i] : a_bounds[i + 1]].astype(np.int64), return_counts=True)
+        y, m = np.unique(b[b_bounds[i] : b_bounds[i + 1]].astype(np.int64), return_counts=True)
+        more = ((x << 32)[:, None] | y[None]).ravel()
+        pairs, times = np.concatenate([pairs, more]), np.concatenate([times, (n[:, None] * m[None]).ravel()])
+        whose = np.concatenate([whose, np.full(len(more), owner[i])])
+    order = np.argsort(whose, kind="stable")
+    out.pairs, out.times, out.sizes = pairs[order], times[order], np.bincount(whose, minlength=len(a_stops))
+    return out
 
 
 class Aligner:
@@ -140,7 +178,7 @@ class Aligner:
 
     def __init__(self, first: str, second: str, keep: int = _KEEP):
         self.a, self.b, self.keep = _ByteLevel(first), _Pieces(second), keep
-        self.windows, self.held, self.asked, self.solved = {}, 0, 0, 0
+        self.known, self.windows, self.held, self.asked, self.solved = {}, Windows(), 0, 0, 0
         self.kind = np.uint16 if max(len(self.a.spelling.lengths), len(self.b.spelling.lengths)) < _STOP else np.uint32
 
     def tokens(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -189,25 +227,32 @@ class Aligner:
         marked[:-1] &= self.a.spelling.spaced[a[1:]]
         inner = np.flatnonzero(marked[:-1])
         inner = inner[self.b.spelling.spaced[b[at[inner] + 1]]]
-        places = np.union1d(inner + 1, a_bounds[1:][np.diff(a_bounds) > 0])
+        stops = np.zeros(len(a) + 1, bool)
+        stops[inner + 1] = stops[a_bounds[1:][np.diff(a_bounds) > 0]] = True
+        places = np.flatnonzero(stops)
         return places, at[places - 1] + 1
 
-    def _window(self, key: bytes) -> tuple[str, int, int, np.ndarray, np.ndarray]:
-        found = self.windows.get(key)
-        if found is None:
-            ids = np.frombuffer(key, self.kind)
-            border = int(np.flatnonzero(ids == np.iinfo(self.kind).max)[0])
-            a, b = ids[:border], ids[border + 1 :]
-            found = align_window(a, b, self.a.spelling.lengths[a], self.b.spelling.lengths[b])
-            self.windows[key] = found
-            self.held += 400 + len(key) + len(found[0]) + 16 * len(found[3])
-            self.solved += 1
-        return found
+    def _numbers(self, keys: list[bytes]) -> np.ndarray:
+        """Places of windows among the remembered ones; those not met before are aligned together."""
+        fresh = [k for k in keys if k not in self.known]
+        if fresh:
+            ids = np.frombuffer(b"".join(fresh), self.kind)
+            ends = np.cumsum([len(k) // ids.itemsize for k in fresh])
+            marks = np.flatnonzero(ids == np.iinfo(self.kind).max)
+            of_a, of_b = marks - np.append(0, ends[:-1]), ends - marks - 1
+            side = np.repeat(np.tile([0, 2, 1], len(fresh)), np.stack([of_a, np.ones(len(fresh), np.int64), of_b], axis=1).ravel())
+            a, b = ids[side == 0], ids[side == 1]
+            found = align_windows(a, np.cumsum(of_a), self.a.spelling.lengths[a], b, np.cumsum(of_b), self.b.spelling.lengths[b])
+            self.known.update(zip(fresh, range(len(self.windows), len(self.windows) + len(fresh))))
+            self.windows.append(found)
+            self.held += ids.nbytes + 120 * len(fresh)
+            self.solved += len(fresh)
+        return np.fromiter((self.known[k] for k in keys), np.int64, len(keys))
 
     def align(self, texts: pa.Array) -> dict[str, pa.Array]:
         """Per text: n_a, n_b, n_groups, n_links, groups_sha256, distinct `pairs` (A id << 32 | B id) and `times`."""
-        if self.held > self.keep:
-            self.windows, self.held = {}, 0
+        if self.held + self.windows.nbytes > self.keep:
+            self.known, self.windows, self.held = {}, Windows(), 0
         (a, a_bounds), (b, b_bounds) = self.tokens(texts)
         n_a, n_b, n = np.diff(a_bounds), np.diff(b_bounds), len(texts)
         if not len(a):
@@ -222,25 +267,23 @@ class Aligner:
         keys = gather(flat, runs, sizes.ravel())
         ends = np.concatenate([[0], np.cumsum(sizes.sum(axis=1))]) * flat.itemsize
         coded = pa.Array.from_buffers(pa.large_binary(), len(a_stops), [None, pa.py_buffer(ends), pa.py_buffer(keys)]).dictionary_encode()
-        known, index = [self._window(k) for k in coded.dictionary.to_pylist()], coded.indices.to_numpy()
+        index = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
         self.asked += len(index)
-        bounds = np.searchsorted(a_stops, a_bounds, "right")
+        bounds, known = np.searchsorted(a_stops, a_bounds, "right"), self.windows
         per = lambda v: np.diff(np.concatenate([[0], np.cumsum(v)])[bounds])
-        groups, links = (np.array([w[i] for w in known], np.int64)[index] for i in (1, 2))
-        spelled = pa.array([w[0] for w in known], pa.large_string()).take(pa.array(index))
-        texts_of = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), spelled), pa.scalar(";", pa.large_string())).cast(pa.large_binary())
+        texts_of = _join_runs(known.texts.take(pa.array(index)), bounds, ";").cast(pa.large_binary())
         digests = [hashlib.sha256(t.as_py()).hexdigest() if k else "" for t, k in zip(texts_of, n_a.tolist())]
-        pair_sizes = np.array([len(w[3]) for w in known], np.int64)
-        flat_pairs, flat_times = (np.concatenate([w[i] for w in known]) for i in (3, 4))
-        first = np.cumsum(pair_sizes) - pair_sizes
-        own = gather(flat_pairs, first[index], pair_sizes[index])
-        owner = np.repeat(np.repeat(np.arange(n), np.diff(bounds)), pair_sizes[index])
-        order = np.lexsort((own, owner))
-        own, owner, times = own[order], owner[order], gather(flat_times, first[index], pair_sizes[index])[order]
+        pair_sizes = known.sizes[index]
+        first = (np.cumsum(known.sizes) - known.sizes)[index]
+        own, times = gather(known.pairs, first, pair_sizes), gather(known.times, first, pair_sizes)
+        owner = np.repeat(np.repeat(np.arange(n), np.diff(bounds)), pair_sizes)
+        order = np.lexsort((own, owner)) if len(self.b.spelling.lengths) > _STOP or n > 1 << 15 else np.argsort(
+            owner << 48 | (own >> 32) << 16 | own & _STOP, kind="stable")
+        own, owner, times = own[order], owner[order], times[order]
         new = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (owner[1:] != owner[:-1])))
         lists = pa.array(np.searchsorted(owner[new], np.arange(n + 1)), pa.int32())
         return {
-            "n_a": pa.array(n_a), "n_b": pa.array(n_b), "n_groups": pa.array(per(groups)), "n_links": pa.array(per(links)), "groups_sha256": pa.array(digests),
+            "n_a": pa.array(n_a), "n_b": pa.array(n_b), "n_groups": pa.array(per(known.groups[index])), "n_links": pa.array(per(known.links[index])), "groups_sha256": pa.array(digests),
             "pairs": pa.ListArray.from_arrays(lists, pa.array(own[new])), "times": pa.ListArray.from_arrays(lists, pa.array(np.add.reduceat(times, new)))}
 
 

@@ -188,9 +188,9 @@ def _block(key: Column, blocks: Column) -> Column:
     return F.pmod(F.hash(key), blocks)
 
 
-def candidates(classes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+def candidates(classes: DataFrame, threshold: float, tolerance: float, lists: bool = True) -> DataFrame:
     """(`id`, `root`, `partners`): classes with surviving candidates, larger id's list of them in one unit of
-    work, and a spanning tree of the unit's pairs. `classes` has `id` and `signature`."""
+    work (null without `lists`), and a spanning tree of the unit's pairs. `classes` has `id` and `signature`."""
     least = least_matches(threshold, tolerance)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +219,7 @@ def candidates(classes: DataFrame, threshold: float, tolerance: float) -> DataFr
                         live = (matches >= need) & ~earlier.any(axis=1)
                         a, b, matches = a[live], b[live], matches[live]
                     if len(a):
-                        yield _lists(np.maximum(ids[a], ids[b]), np.minimum(ids[a], ids[b]))
+                        yield _lists(np.maximum(ids[a], ids[b]), np.minimum(ids[a], ids[b]), lists)
 
     bands = classes.select("id", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("signature", b * 2 * ROWS + 1, F.lit(2 * ROWS))))).alias("band", "bucket"))
@@ -231,13 +231,14 @@ def candidates(classes: DataFrame, threshold: float, tolerance: float) -> DataFr
     return signed.mapInArrow(compare, "id long, root long, partners array<long>")
 
 
-def _lists(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+def _lists(a: np.ndarray, b: np.ndarray, partners: bool) -> pa.RecordBatch:
     """One row per id: its root in the spanning forest and its list of partners."""
-    roots = _forest(a, b)
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    heads, first = np.unique(a, return_index=True)
-    lists = dict(zip(heads.tolist(), np.split(b, first[1:])))
+    roots, lists = _forest(a, b), {}
+    if partners:
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        heads, first = np.unique(a, return_index=True)
+        lists = dict(zip(heads.tolist(), np.split(b, first[1:])))
     return pa.RecordBatch.from_arrays(
         [pa.array(list(roots), pa.int64()), pa.array(list(roots.values()), pa.int64()),
          pa.array([lists.get(x) for x in roots], pa.list_(pa.int64()))], ["id", "root", "partners"])
@@ -334,6 +335,19 @@ def _verified(docs: DataFrame, key: str, classes: DataFrame, pairs: DataFrame, t
     return spread.mapInArrow(_verify(threshold), "id long, links long, root long")
 
 
+def likely_classes(sketches: DataFrame, key: str, threshold: float = 0.8, tolerance: float = 1e-5) -> DataFrame:
+    """(`key`, `label`) of sketched texts with words: texts linked by chains of surviving candidates share a label.
+
+    No text is read and nothing is verified: a pair is linked if its signatures agree in a band and, value by
+    value, never so seldom that reaching `threshold` is less likely than `tolerance`.
+    """
+    filled = sketches.filter("signature is not null")
+    classes = cut(filled.groupBy(F.col("class").alias("id")).agg(F.first("signature").alias("signature")), "classes")
+    pairs = candidates(classes, threshold, tolerance, lists=False).select(F.col("id").alias("u"), F.col("root").alias("v"))
+    labels = components(pairs)
+    return filled.select(key, F.col("class").alias("id")).join(labels, "id", "left").select(key, F.coalesce("label", "id").alias("label"))
+
+
 def similar_documents(docs: DataFrame, key: str = "doc_id", threshold: float = 0.8, tolerance: float = 1e-5) -> DataFrame:
     """A row per document: `key`, `text_hash`, `class_id` (least key of its class), `n_links` (other documents
     with similarity `threshold` or more), `rep_text_hash` (text hash of the class's document with that key)."""

@@ -14,10 +14,10 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
 
 
 class Memo:
-    """Runs of ids by string, some 20 bytes a string. `keep` bounds the strings remembered (memory only):
+    """Runs of ids by string, some 20 bytes a string. `keep` bounds the bytes remembered (memory only):
     past it the memo starts anew. Subclasses encode what is new."""
 
-    def __init__(self, kind: np.dtype, keep: int = 4_000_000):
+    def __init__(self, kind: np.dtype, keep: int = 32 << 20):
         self.kind, self.keep = kind, keep
         self.clear()
 
@@ -32,7 +32,7 @@ class Memo:
     def entries(self, strings: pa.Array) -> np.ndarray:
         """Where the ids of distinct strings are remembered, as places in `starts` and `sizes`."""
         keys = string_hashes(strings)
-        if len(self.keys) > self.keep:
+        if self.flat.nbytes + self.keys.nbytes + self.starts.nbytes + self.sizes.nbytes > self.keep:
             self.clear()
         at = np.searchsorted(self.keys, keys)
         new = np.ones(len(keys), dtype=bool)

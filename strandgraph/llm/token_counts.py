@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 _ENCODINGS: dict[str, object] = {}
 _SPAN = 1024
 
@@ -42,8 +44,8 @@ def encoded_lengths(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame
 
 
 def histogram(lengths: DataFrame) -> DataFrame:
-    """(`length`, `n_docs`): counted on the map side first."""
-    return lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n_docs"))
+    """(`length`, `n_docs`): counted on the map side first and written, so that texts are encoded once."""
+    return cut(lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n_docs")), "lengths")
 
 
 def suffix_sums(hist: DataFrame) -> DataFrame:

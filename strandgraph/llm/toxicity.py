@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import cut
+from .word_bpe import slices
 
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 _STEM = 5
+_SLICE = 8 << 20
 
 
 def sentences(text: str) -> Iterator[tuple[int, int, set[str]]]:
@@ -149,8 +151,9 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [model.score(t or "") for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*kept, "score"])
+            for part in slices(batch, "text", _SLICE):
+                scores = [model.score(t.as_py() or "") for t in part.column(at)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], [*kept, "score"])
 
     schema = docs.select(kept).schema.add("score", "double")
     return docs.select(kept).mapInArrow(scored, schema)

@@ -4,8 +4,11 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
+
 from cases import SF, TRICKY, rows
-from strandgraph.llm import log_templates, quality, queries, toxicity
+from strandgraph.llm import jaccard_join, log_templates, quality, queries, toxicity
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -31,7 +34,7 @@ def test_base_measures(spark):
     texts = TRICKY + [(100 + i, " ".join(rnd.choice("ab") for _ in range(rnd.randrange(60)))) for i in range(60)]
     texts += [(200, "l one\nl one\n l one\n\n"), (201, "$5 <b>|x|</b> 100% ä😀 *&#\x0b\x0c\r y"), (202, ("q w e r t y u i " * 3 + "\n") * 5)]
     df = spark.createDataFrame([(d, t, "h", 1) for d, t in texts], "doc_id long, text string, source string, _lines int")
-    got = {(r["doc_id"], tuple(r[m] for m in MEASURES)) for r in rows(quality.base_measures(df.drop("_lines")))}
+    got = {(r["doc_id"], tuple(r[m] for m in MEASURES)) for r in rows(quality.score(df))}
     assert got == {(d, base(t)) for d, t in texts}
     assert quality.score(df.limit(0)).count() == 0 and quality.keep(df.limit(0)).count() == 0
 
@@ -92,7 +95,27 @@ def test_toxicity_held_out(spark):
     assert wins > 0.97 and right > 0.97
 
 
-def plain_drop(docs, min_docs=6, depth=3, max_children=100, min_constant=0.5):
+def plain_merge(own, depth=3, min_constant=0.5, min_evidence=3):
+    """Template and size of each line of a leaf that shares one with another line."""
+    found, waiting = {}, [sorted(own)]
+    while waiting:
+        group = waiting.pop()
+        if len(group) < 2:
+            continue
+        kinds = [len(set(column)) for column in zip(*group)]
+        same = [n == 1 and x != "<*>" for n, x in zip(kinds, group[0])]
+        if sum(same[depth:]) >= max(min_evidence, min_constant * (len(same) - depth)):
+            found |= {t: (("field", *group), sum(same)) for t in group}
+            continue
+        at = min((n, i) for i, n in enumerate(kinds) if n > 1)[1]
+        parts = defaultdict(list)
+        for t in group:
+            parts[t[at]].append(t)
+        waiting += parts.values()
+    return found
+
+
+def plain_lines(docs):
     lines = {}
     for _, text in docs:
         if text is not None:
@@ -101,20 +124,49 @@ def plain_drop(docs, min_docs=6, depth=3, max_children=100, min_constant=0.5):
                 tokens = tuple("<*>" if re.search("[0-9]", w) else w for w in words)
                 if tokens:
                     lines[text, n] = tokens
-    leaves = defaultdict(set)
+    return lines
+
+
+def plain_classes(texts, near):
+    hashes, bounds, whole = jaccard_join.shingles(pa.array(texts))
+    sig, up, names = jaccard_join.signatures(hashes, bounds), list(range(len(texts))), {}
+    assert len(sig) == len(texts)
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    least, step = jaccard_join.least_matches(near, 1e-5), jaccard_join.STEP
+    for i in range(len(texts)):
+        same = sig[:i] == sig[i]
+        enough = np.all([same[:, : (k + 1) * step].sum(axis=1) >= m for k, m in enumerate(least)], axis=0)
+        band = same.reshape(i, jaccard_join.BANDS, jaccard_join.ROWS).all(axis=2).any(axis=1)
+        for j in [*np.flatnonzero(enough & band).tolist(), names.setdefault(whole[i], i)]:
+            up[root(i)] = root(j)
+    return [root(i) for i in range(len(texts))]
+
+
+def plain_drop(docs, min_docs=6, depth=3, long_line=None, near=None):
+    """The rule of log_templates, recomputed; near copies by comparing all pairs of signatures."""
+    lines, leaves, merged = plain_lines(docs), defaultdict(set), {}
     for t in lines.values():
         leaves[len(t), t[:depth]].add(t)
-    general = {}
     for own in leaves.values():
-        columns = [len({t[i] for t in own}) > max_children for i in range(len(next(iter(own))))]
-        for t in own:
-            g = tuple("<*>" if v else x for v, x in zip(columns, t))
-            merge = any(columns) and sum(x != "<*>" for x in g) >= min_constant * len(g)
-            general[t] = ("field", *g) if merge else t
-    held = defaultdict(set)
-    for (text, _), t in lines.items():
-        held[general[t]].add(text)
-    gone = {k for k, t in lines.items() if len(held[general[t]]) >= min_docs}
+        merged |= plain_merge(own) if len(next(iter(own))) > depth + 3 else {}
+    template = {t: merged.get(t, (t, sum(x != "<*>" for x in t))) for t in lines.values()}
+
+    def dropped(keys, of):
+        held = defaultdict(set)
+        for text, n in keys:
+            held[template[lines[text, n]]].add(of[text])
+        least = lambda size: min_docs if long_line is None else max(2, min_docs - size * (min_docs - 2) // long_line)
+        return {k for k in keys if len(held[template[lines[k]]]) >= least(template[lines[k]][1])}
+
+    gone = dropped(set(lines), {text: text for text, _ in lines})
+    if near is not None:
+        texts = sorted({text for text, _ in gone})
+        gone = dropped(gone, {text: c for text, c in zip(texts, plain_classes(texts, near))})
     return [(d, t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (t, n) not in gone),
              0 if t is None else sum((t, n) in gone for n in range(len(t.split("\n"))))) for d, t in docs]
 
@@ -139,8 +191,28 @@ def test_line_templates(spark):
 
 def test_line_templates_table(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
-    out = log_templates.drop_recurring(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
-    assert as_text((r["doc_id"], r["text"], r["n_dropped_lines"]) for r in rows(out)) == as_text(plain_drop(docs))
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for leaf_lines in (log_templates.LEAF_LINES, 1):  # by tasks, and by aggregates
+        out = log_templates.drop_recurring(table, leaf_lines=leaf_lines)
+        assert as_text((r["doc_id"], r["text"], r["n_dropped_lines"]) for r in rows(out)) == as_text(plain_drop(docs))
+
+
+def test_registered_rule(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    want = plain_drop(docs, **log_templates.RULE)
+    got = log_templates.drop_recurring(spark.read.parquet(f"{SF}/documents.parquet"), **log_templates.RULE)
+    assert as_text((r["doc_id"], r["text"], r["n_dropped_lines"]) for r in rows(got)) == as_text(want)
+    assert any(n for _, _, n in want)
+
+
+def test_clashing_columns(spark):
+    names = ["_lines", "_gone", "_k1", "_k2", "_host", "_removed", "_key", "_hash", "_own", "own_gone"]
+    texts = [f"one line that all of them share, word for word\nown " + " ".join(chr(97 + i) * (j + 1) for j in range(30)) for i in range(12)] + [None, ""]
+    df = spark.createDataFrame([(i, t, "h", *range(i, i + len(names))) for i, t in enumerate(texts)], ["doc_id", "text", "source", *names])
+    for out in (quality.keep(df), quality.score(df), log_templates.drop_recurring(df), jaccard_join.keep_one(df, "_key")):
+        found = rows(out)
+        assert [c for c in out.columns if c in df.columns] == [c for c in df.columns if c in out.columns] and set(names) <= set(out.columns)
+        assert all(r[n] == r["doc_id"] + i for r in found for i, n in enumerate(names)) and len(found) >= 12
 
 
 def dropped(spark, texts, **rule):

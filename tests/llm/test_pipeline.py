@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 from cases import SF, TRICKY, rows
-from strandgraph.llm import toxicity
+from strandgraph.llm import log_templates, toxicity
 from test_filters import base, plain_drop
 from test_jaccard import brute, shingle_set
 from test_tokens import check_packing
@@ -41,7 +41,7 @@ def test_run_equals_plain_stages(spark, vocabulary):
     kept = corpus_pipeline.quality_stage(spark, table, SF)
     assert kept.columns == table.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == sorted(d[:2] for d in docs)
     model = toxicity.fit(toxicity.training_rows(kept, spark.read.parquet(f"{SF}/labels.parquet")))
-    docs = plain_drop([(d, t) for d, t, _ in docs if model.score(t) < 0.5])
+    docs = plain_drop([(d, t) for d, t, _ in docs if model.score(t) < 0.5], **log_templates.RULE)
     docs = [(d, t) for d, t, _ in docs]
     heads = {c for (_, c, _), (_, t) in zip(brute(docs), docs) if shingle_set(t)}
     docs = [(d, t) for d, t in docs if str(d) in heads or not shingle_set(t)]
