@@ -3,7 +3,7 @@
 A query is a handful of words, so matching is a filter over one scan with no shuffle except
 the top-k at the end. Word statistics come from one aggregation that yields a single row.
 For repeated queries, `SearchIndex` holds postings sorted by term, of which a query reads
-only the row groups around its words.
+only the row groups around its words; `segments.SegmentedIndex` keeps one in shared storage.
 """
 
 import re
@@ -37,13 +37,11 @@ def _bm25(tf: Column, length: Column, average: float, idf: float) -> Column:
     return F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(average)))
 
 
-def fts(nodes: DataFrame, text: str, kinds=None, languages=None, limit: int | None = 100, offset: int = 0,
-        ids_only: bool = False) -> DataFrame:
+def fts(nodes: DataFrame, text: str, kinds=None, languages=None, ids_only: bool = False) -> DataFrame:
     """BM25 full-text matches with prefix terms: node columns plus `score`.
 
     One scan reads the texts: it counts tokens and words over all rows and writes the counts of
-    the matching ones. `limit=None` ranks every match; otherwise five times the limit (at least
-    100) is kept for the rescoring that follows, and only those rows are fetched whole.
+    the matching ones. Every match is scored; the caller ranks them.
     """
     phrases = T.fts_phrases(text)
     empty = nodes.withColumn("score", F.lit(0.0)).limit(0)
@@ -77,33 +75,38 @@ def fts(nodes: DataFrame, text: str, kinds=None, languages=None, limit: int | No
     average = stat["len"] / stat["n"]
     score = sum((_bm25(F.col(f"_tf{i}"), F.col("_len"), average, _idf(stat["n"], stat[f"h{i}"])) for i in each), F.lit(0.0))
     ranked = hits.filter(_kept(kinds, languages)).select("id", score.alias("score"))
-    if limit is not None:
-        ranked = ranked.orderBy(F.desc("score"), "id").offset(offset).limit(max(5 * limit, 100))
     return ranked if ids_only else nodes.join(ranked, "id").select(*nodes.columns, "score")
 
 
 @dataclass
 class SearchIndex:
-    """Postings (term, id, col, pos), token counts per node, and the two totals."""
+    """Postings (term, id, col, len, pos), where len is the node's token count, and the totals of the corpus.
+    A query reads the postings of its words and nothing else."""
 
     postings: DataFrame
-    lengths: DataFrame
+    total: int
+    length: int
 
     @staticmethod
-    def tokens(nodes: DataFrame) -> DataFrame:
-        cols = F.array(*[F.struct(F.lit(i).alias("col"), T.fold(c).alias("text")) for i, (c, _) in enumerate(COLUMNS)])
-        rows = nodes.select("id", F.explode(cols).alias("c")).filter("c.text is not null")
-        return rows.select("id", "c.col", F.regexp_extract_all("c.text", F.lit(f"({T.TOKEN}+)"), 1).alias("words"))
+    def words(nodes: DataFrame) -> DataFrame:
+        """(id, len, words): the words of each column, and the number of all of them."""
+        none = F.array().cast("array<string>")
+        each = F.array(*[F.coalesce(F.regexp_extract_all(T.fold(c), F.lit(f"({T.TOKEN}+)"), 1), none) for c, _ in COLUMNS])
+        count = F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + F.size(w))
+        return nodes.select("id", each.alias("words")).select("id", count.alias("len"), "words")
+
+    @staticmethod
+    def sorted_postings(words: DataFrame) -> DataFrame:
+        """Positions are grouped within each row before anything moves, then sorted by term."""
+        flat = words.select("id", "len", F.posexplode("words").alias("col", "own")).select("id", "len", "col", F.posexplode("own").alias("pos", "term"))
+        postings = flat.groupBy("term", "id", "col", "len").agg(F.collect_list("pos").alias("pos"))
+        return postings.repartitionByRange("term", "id").sortWithinPartitions("term")
 
     @classmethod
     def build(cls, nodes: DataFrame) -> "SearchIndex":
-        """Positions are grouped within each row before anything moves, then sorted by term."""
-        words = cut(cls.tokens(nodes), "tokens")
-        flat = words.select("id", "col", F.posexplode("words").alias("pos", "term"))
-        postings = flat.groupBy("term", "id", "col").agg(F.collect_list("pos").alias("pos"))
-        lengths = words.groupBy("id").agg(F.sum(F.size("words")).alias("len"))
-        return cls(cut(postings.repartitionByRange("term", "id").sortWithinPartitions("term"), "postings"),
-                   cut(lengths, "lengths"))
+        words = cut(cls.words(nodes), "tokens")
+        size = words.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("len")).first()
+        return cls(cut(cls.sorted_postings(words), "postings"), size.n, size.len)
 
     def _term(self, token: str, prefix: bool) -> DataFrame:
         term = F.col("term")
@@ -112,32 +115,30 @@ class SearchIndex:
         return self.postings.filter(term == token)
 
     def _phrase(self, tokens: list[str]) -> DataFrame:
-        """(id, col, hits) of one phrase; consecutive words are joined on their position."""
+        """(id, col, len, hits) of one phrase; consecutive words are joined on their position."""
         last = len(tokens) - 1
         at = None
         for i, token in enumerate(tokens):
-            here = self._term(token, i == last).select("id", "col", F.explode("pos").alias("p"))
-            here = here.select("id", "col", (F.col("p") - i).alias("p"))
-            at = here if at is None else at.join(here, ["id", "col", "p"])
-        return at.groupBy("id", "col").agg(F.count("*").alias("hits"))
+            here = self._term(token, i == last).select("id", "col", "len", F.explode("pos").alias("p"))
+            here = here.select("id", "col", "len", (F.col("p") - i).alias("p"))
+            at = here if at is None else at.join(here.drop("len"), ["id", "col", "p"])
+        return at.groupBy("id", "col", "len").agg(F.count("*").alias("hits"))
 
     def search(self, text: str) -> DataFrame:
         """(id, score) of all matches."""
         phrases = T.fts_phrases(text)
-        if not phrases:
-            return self.lengths.select("id", F.lit(0.0).alias("score")).limit(0)
-        stat = self.lengths.agg(F.count("*").alias("n"), F.sum("len").alias("len")).first()
+        if not phrases or not self.total:
+            return self.postings.select("id", F.lit(0.0).alias("score")).limit(0)
         weight = F.element_at(F.array(*[F.lit(w) for _, w in COLUMNS]), F.col("col") + 1)
         parts = []
         for phrase in phrases:
-            tf = cut(self._phrase(phrase).groupBy("id").agg(F.sum(weight * F.col("hits")).alias("tf")), "tf")
-            idf = _idf(stat["n"], tf.count())
-            parts.append(tf.join(self.lengths, "id").select(
-                "id", _bm25(F.col("tf"), F.col("len"), stat["len"] / stat["n"], idf).alias("s")))
+            tf = cut(self._phrase(phrase).groupBy("id", "len").agg(F.sum(weight * F.col("hits")).alias("tf")), "tf")
+            idf = _idf(self.total, tf.count())
+            parts.append(tf.select("id", _bm25(F.col("tf"), F.col("len"), self.length / self.total, idf).alias("s")))
         return union_all(parts).groupBy("id").agg(F.sum("s").alias("score"))
 
 
-def like(nodes: DataFrame, text: str, kinds=None, languages=None, limit: int = 100, offset: int = 0) -> DataFrame:
+def like(nodes: DataFrame, text: str, kinds=None, languages=None, limit: int | None = 100, offset: int = 0) -> DataFrame:
     """Substring matches; `%` and `_` in the text act as wildcards."""
     pattern = text.replace("\\", "\\\\")
     name, qn = F.col("name"), F.col("qualified_name")
@@ -145,25 +146,23 @@ def like(nodes: DataFrame, text: str, kinds=None, languages=None, limit: int = 1
     score = (F.when(name == text, 1.0).when(name.ilike(f"{pattern}%"), 0.9).when(name.ilike(inside), 0.8)
              .when(qn.ilike(inside), 0.7).otherwise(0.5))
     hits = nodes.filter((name.ilike(inside) | qn.ilike(inside)) & _kept(kinds, languages))
-    return hits.withColumn("score", score).orderBy(F.desc("score"), F.length("name"), "id").offset(offset).limit(limit)
+    hits = hits.withColumn("score", score)
+    return hits if limit is None else hits.orderBy(F.desc("score"), F.length("name"), "id").offset(offset).limit(limit)
 
 
-def fuzzy(nodes: DataFrame, text: str, kinds=None, languages=None, limit: int = 100) -> DataFrame:
-    """Names within edit distance 1 (up to four letters) or 2, at most five nodes per name."""
+def fuzzy(nodes: DataFrame, text: str, kinds=None, languages=None, limit: int | None = 100) -> DataFrame:
+    """Nodes with names within edit distance 1 (up to four letters) or 2, nearest first."""
     query = text.lower()
     reach = 1 if len(query) <= 4 else 2
     dist = F.levenshtein(F.lower("name"), F.lit(query), reach)
-    near = nodes.filter((F.abs(F.length("name") - len(query)) <= reach) & (dist >= 0)).withColumn("_d", dist)
-    names = near.select("name", "_d").distinct().orderBy("_d", "name").limit(max(2 * limit, 50))
-    rank = Window.partitionBy("name").orderBy("id")
-    rows = near.filter(_kept(kinds, languages)).join(names.select("name"), "name", "left_semi")
-    rows = rows.withColumn("_rn", F.row_number().over(rank)).filter("_rn <= 5")
-    return rows.select(*nodes.columns, (1 / (1 + F.col("_d"))).alias("score"), "_d").orderBy(
-        "_d", "name", "id").limit(limit).drop("_d")
+    near = nodes.filter((F.abs(F.length("name") - len(query)) <= reach) & _kept(kinds, languages)).withColumn("_d", dist).filter("_d >= 0")
+    near = near.select(*nodes.columns, (1 / (1 + F.col("_d"))).alias("score"))
+    return near if limit is None else near.orderBy(F.desc("score"), "name", "id").limit(limit)
 
 
-def by_filters(nodes: DataFrame, kinds=None, languages=None, limit: int = 500) -> DataFrame:
-    return nodes.filter(_kept(kinds, languages)).withColumn("score", F.lit(1.0)).orderBy("name", "id").limit(limit)
+def by_filters(nodes: DataFrame, kinds=None, languages=None, limit: int | None = 500) -> DataFrame:
+    found = nodes.filter(_kept(kinds, languages)).withColumn("score", F.lit(1.0))
+    return found if limit is None else found.orderBy("name", "id").limit(limit)
 
 
 def rescored(results: DataFrame, query: str, project: set[str] = frozenset()) -> DataFrame:
@@ -171,23 +170,35 @@ def rescored(results: DataFrame, query: str, project: set[str] = frozenset()) ->
     return results.withColumn("score", F.col("score") + bonus)
 
 
-def _candidates(nodes: DataFrame, text: str, kinds, languages, limit: int, offset: int) -> DataFrame:
+_SLIM = ["id", "kind", "language", "name", "file_path"]
+
+
+def _candidates(nodes: DataFrame, text: str, kinds, languages, index: "SearchIndex | None" = None) -> DataFrame:
+    """All matches of the first of the three searches that has any: what ranking reads of a node, and `score`.
+    With an index only the postings of the query's words are read for the first."""
+    slim = nodes.select(_SLIM)
     if not text:
-        return by_filters(nodes, kinds, languages, limit * 5)
-    found = cut(fts(nodes, text, kinds, languages, limit, offset), "fts")
+        return by_filters(slim, kinds, languages, None)
+    if index is None:
+        found = slim.join(fts(nodes, text, kinds, languages, ids_only=True), "id")
+    else:
+        found = slim.filter(_kept(kinds, languages)).join(index.search(text), "id")
+    found = cut(found.select(*_SLIM, "score"), "fts")
     if found.isEmpty() and len(text) >= 2:
-        found = cut(like(nodes, text, kinds, languages, limit, offset), "like")
+        found = cut(like(nodes.select(*_SLIM, "qualified_name"), text, kinds, languages, None).select(*_SLIM, "score"), "like")
     if found.isEmpty() and len(text) >= 3:
-        found = cut(fuzzy(nodes, text, kinds, languages, limit), "fuzzy")
+        found = cut(fuzzy(slim, text, kinds, languages, None), "fuzzy")
     return found
 
 
 def search(g: Graph, query: str, kinds=None, languages=None, limit: int = 100, offset: int = 0,
-           project: set[str] = frozenset(), strict_filters: bool = False) -> DataFrame:
-    """The search cascade: full text, then substring, then fuzzy; rescored top `limit`.
+           project: set[str] = frozenset(), strict_filters: bool = False, index: "SearchIndex | None" = None) -> DataFrame:
+    """The search cascade: full text, then substring, then fuzzy; every match is rescored, and the top `limit`
+    (behind `offset`) are fetched whole.
 
     Kinds and languages named in the query add to those in the arguments. `path:` and `name:`
-    filters act on the ranked rows, after the limit; `strict_filters` applies them first.
+    filters act on the ranked rows, after the limit; `strict_filters` applies them first. `index` answers the
+    full-text search from its postings instead of a scan; it must cover the graph's nodes.
     """
     parsed = T.parse_query(query)
     kinds = list(dict.fromkeys((kinds or []) + parsed.kinds)) if parsed.kinds else kinds
@@ -200,37 +211,33 @@ def search(g: Graph, query: str, kinds=None, languages=None, limit: int = 100, o
         return df
 
     nodes = hard(g.nodes) if strict_filters else g.nodes
-    found = cut(_candidates(nodes, parsed.text, kinds, languages, limit, offset), "found")
-    top = found.agg(F.max("score").alias("top")).first()["top"]
-    if top is None:
-        return found
-    # Exact names always compete, however deep full-text ranking buried them: 20 per query word.
-    words = [w for w in query.split() if len(w) >= 2]
+    found = _candidates(nodes, parsed.text, kinds, languages, index)
+    words = list(dict.fromkeys(w.lower() for w in query.split() if len(w) >= 2))
     if words:
-        lowered = list(dict.fromkeys(w.lower() for w in words))
-        rank = Window.partitionBy(F.lower("name")).orderBy("id")
-        exact = nodes.filter(F.lower("name").isin(lowered) & _kept(kinds, languages)).withColumn(
-            "_rn", F.row_number().over(rank)).filter("_rn <= 20").drop("_rn")
-        extra = exact.join(found.select("id"), "id", "left_anti").withColumn("score", F.lit(float(top)))
-        found = found.unionByName(extra.select(*found.columns))
-    ranked = rescored(found, parsed.text or query, project).orderBy(F.desc("score"), "id").limit(limit)
-    return hard(ranked)
-
-
-def exact_names(nodes: DataFrame, names: list[str], kinds=None, languages=None, limit: int = 50) -> DataFrame:
-    """Exact (case-folded) names; those in files of rarely used names among them score 20 more."""
+        # Exact names always compete, with the best score, if the search itself did not find them.
+        exact = nodes.filter(F.lower("name").isin(words) & _kept(kinds, languages)).select(*_SLIM, F.lit(None).cast("double").alias("score"))
+        best = F.broadcast(found.agg(F.max("score").alias("_best")).filter("_best is not null"))  # one row or none
+        extra = exact.join(found.select("id"), "id", "left_anti").crossJoin(best)
+        found = found.unionByName(extra.select(*_SLIM, F.col("_best").cast("double").alias("score")))
+    top = rescored(found, parsed.text or query, project).orderBy(F.desc("score"), "id").offset(offset).limit(limit).select("id", "score")
+    whole = nodes.join(F.broadcast(top), "id").select(*nodes.columns, "score")  # `limit` rows
+    return hard(whole).orderBy(F.desc("score"), "id")
+
+
+def exact_names(nodes: DataFrame, names: list[str], kinds=None, languages=None, limit: int | None = 50) -> DataFrame:
+    """Exact (case-folded) names; those in files of rarely used names among them score 20 more. Of a name
+    all rows are scored; with a limit its best ones stay, a like number for each name."""
     lowered = list(dict.fromkeys(n.lower() for n in names))
-    per_name = max(8, -(-limit // len(names)))
     hits = nodes.filter(F.lower("name").isin(lowered)).withColumn("_n", F.lower("name"))
     of_kind = hits.filter(any_kind("kind", kinds))
     files = of_kind.select("_n", "file_path").distinct()
     rare = files.groupBy("_n").agg(F.count("*").alias("k")).filter("k < 10").select("_n")
     near = files.join(rare, "_n", "left_semi").select("file_path").distinct().withColumn("_near", F.lit(20.0))
-    # Rows beyond the reach of one name are cut by id, the order the rows are stored in.
-    stored = Window.partitionBy("_n").orderBy("id")
-    rows = of_kind.filter(any_kind("language", languages)).withColumn("_rn", F.row_number().over(stored))
-    rows = rows.filter(F.col("_rn") <= max(per_name * 3, 50)).join(near, "file_path", "left")
+    rows = of_kind.filter(any_kind("language", languages)).join(near, "file_path", "left")
     rows = rows.withColumn("score", 1.0 + F.coalesce("_near", F.lit(0.0)))
+    if limit is None:
+        return rows.select(*nodes.columns, "score")
+    per_name = max(8, -(-limit // len(names)))
     best = Window.partitionBy("_n").orderBy(F.desc("score"), "id")
     rows = rows.withColumn("_rn", F.row_number().over(best)).filter(F.col("_rn") <= per_name)
     return rows.select(*nodes.columns, "score").orderBy(F.desc("score"), "id").limit(limit)
@@ -247,19 +254,19 @@ def name_substring(nodes: DataFrame, part: str, kinds=None, languages=None, limi
     return hits if limit is None else hits.orderBy(F.length("name"), "id").limit(limit)
 
 
-def symbol_matches(g: Graph, symbol: str) -> DataFrame:
+def symbol_matches(g: Graph, symbol: str, index: SearchIndex | None = None) -> DataFrame:
     """All definitions a symbol may mean, generated files last."""
     qualified = re.search(r"[./]|::", symbol)
     if not qualified:
         exact = cut(g.nodes.filter(F.col("name") == symbol), "symbol")
         if not exact.isEmpty():
             return exact.orderBy(is_generated_file("file_path"), "id")
-        return search(g, symbol, limit=10).orderBy(F.desc("score"), "id").limit(1).drop("score")
-    found = cut(search(g, symbol, limit=50), "symbol")
+        return search(g, symbol, limit=10, index=index).orderBy(F.desc("score"), "id").limit(1).drop("score")
+    found = cut(search(g, symbol, limit=50, index=index), "symbol")
     if found.isEmpty():
         tail = [p for p in re.split(r"::|[./]", symbol) if p][-1:]
         if tail and tail[0] != symbol:
-            found = cut(search(g, tail[0], limit=50), "symbol")
+            found = cut(search(g, tail[0], limit=50, index=index), "symbol")
     return found.filter(T.matches_symbol(symbol)).orderBy(
         is_generated_file("file_path"), F.desc("score"), "id").drop("score")
 
@@ -268,7 +275,7 @@ def definitions(nodes: DataFrame, file: str | None = None) -> DataFrame:
     """Same-named nodes with the key of the definition they belong to; `file` narrows if it can."""
     if file:
         wanted = file.removeprefix("./")
-        narrowed = cut(nodes.filter(F.col("file_path").endswith(wanted)), "narrowed")
+        narrowed = cut(nodes.filter((F.col("file_path") == wanted) | F.col("file_path").endswith(f"/{wanted.removeprefix('/')}")), "narrowed")
         if not narrowed.isEmpty():
             nodes = narrowed
     return nodes.withColumn("definition", F.concat_ws("|", "file_path", "qualified_name"))

@@ -136,18 +136,18 @@ def _ends(pairs: DataFrame) -> DataFrame:
         pairs, n = kept, m
 
 
-def _spread(labels: DataFrame, pairs: DataFrame, cap: int = 10_000) -> DataFrame:
-    """Largest label of any predecessor, to a fixpoint: labels(id, color), pairs(src, dst)."""
-    for _ in range(cap):
-        pushed = pairs.join(labels, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(
-            F.max("color").alias("pushed"))
+def _spread(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Largest label of any predecessor, to a fixpoint: labels(id, color), pairs(src, dst). Only labels that
+    changed in a round are pushed in the next one."""
+    changed = labels
+    while True:
+        pushed = pairs.join(changed, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.max("color").alias("pushed"))
         nxt = cut(labels.join(pushed, "id", "left").select(
             "id", F.greatest("color", F.coalesce("pushed", "color")).alias("color"),
             (F.coalesce("pushed", "color") > F.col("color")).alias("changed")), "color")
-        labels = nxt.select("id", "color")
-        if nxt.filter("changed").isEmpty():
+        labels, changed = nxt.select("id", "color"), nxt.filter("changed").select("id", "color")
+        if changed.isEmpty():
             return labels
-    raise RuntimeError("colouring did not settle")
 
 
 def cycles(pairs: DataFrame) -> DataFrame:

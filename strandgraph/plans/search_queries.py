@@ -1,13 +1,16 @@
 """Registered search queries over documents and star nodes, with oracle SQL."""
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
 from ..graph import Graph
+from ..lineage import checkpoint_root
 from ..operators import search
+from ..operators.segments import SegmentedIndex
 from . import views as V
 from .graph_queries import TEST_SQL
 from .projections import document_nodes, star
@@ -57,7 +60,7 @@ _CTES, _BODY = bm25_sql(T.fts_phrases(FTS_TEXT))
 
 @query("search_fts_bm25", V.with_ctes(V.DOC_NODES, _CTES, body=_BODY))
 def _(spark, sf):
-    hits = search.fts(document_nodes(spark, sf), FTS_TEXT, limit=None, ids_only=True)
+    hits = search.fts(document_nodes(spark, sf), FTS_TEXT, ids_only=True)
     return hits.select("id", F.round("score", 6).alias("score"))
 
 
@@ -67,6 +70,25 @@ def _(spark, sf):
     return index.search(FTS_TEXT).select("id", F.round("score", 6).alias("score"))
 
 
+@query("search_segments", V.with_ctes(V.DOC_NODES, _CTES, body=_BODY))
+def _(spark, sf):
+    """The index after three changes: stale texts and nodes that go later, new nodes, then corrections."""
+    docs, part = document_nodes(spark, sf), F.pmod(F.crc32("id"), F.lit(3))
+    index = SegmentedIndex(spark, f"{checkpoint_root(spark)}/strandgraph/index-{uuid.uuid4().hex}", most=2)
+    later = docs.filter(part == 2).withColumn("id", F.concat(F.lit("old:"), "id"))
+    index.add(docs.filter(part < 2).withColumn("docstring", F.when(part == 0, F.reverse("docstring")).otherwise(F.col("docstring"))).unionByName(later))
+    index.add(docs.filter(part == 2))
+    index.add(docs.filter(part == 0), gone=later)
+    return index.read().search(FTS_TEXT).select("id", F.round("score", 6).alias("score"))
+
+
+@query("search_cascade_indexed", None)
+def _(spark, sf):
+    g = Graph(document_nodes(spark, sf), star(spark, sf).edges)
+    index = search.SearchIndex.build(g.nodes)
+    return search.search(g, FTS_TEXT, limit=20, index=index).select("id", "name", F.round("score", 6).alias("score"))
+
+
 def _path_sql(words: list[str], test_query: bool = False) -> str:
     file, folder = "lower(regexp_extract(file_path, '[^/]*$'))", "lower(regexp_extract(file_path, '^(.*)/[^/]*$', 1))"
     parts = [f"CASE WHEN contains({file}, '{w}') THEN 10 ELSE 0 END + CASE WHEN contains({folder}, '{w}') THEN 5 "
@@ -87,11 +109,9 @@ def _name_sql(query_text: str) -> str:
 
 
 @query("search_cascade", V.with_ctes(V.DOC_NODES, _CTES, f"""
-  fetched AS (SELECT id, score FROM hits ORDER BY score DESC, id LIMIT 100),
-  exact AS (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY lower(name) ORDER BY id) AS rn FROM docs
-            WHERE lower(name) IN ('thanedble', 'tionly', 'anea')) WHERE rn <= 20),
-  pool AS (SELECT id, score FROM fetched UNION ALL
-           SELECT id, (SELECT max(score) FROM fetched) FROM exact WHERE id NOT IN (SELECT id FROM fetched))""",
+  exact AS (SELECT id FROM docs WHERE lower(name) IN ('thanedble', 'tionly', 'anea')),
+  pool AS (SELECT id, score FROM hits UNION ALL
+           SELECT id, (SELECT max(score) FROM hits) FROM exact WHERE id NOT IN (SELECT id FROM hits))""",
     body=f"""
   SELECT id, name, round(pool.score + 10 + {_path_sql(['thanedble', 'tionly', 'anea'])}
          + {_name_sql(FTS_TEXT)}, 6) AS score
@@ -102,6 +122,9 @@ def _(spark, sf):
     return search.search(g, FTS_TEXT, limit=20).select("id", "name", F.round("score", 6).alias("score"))
 
 
+ORACLES["search_cascade_indexed"] = ORACLES["search_cascade"]
+
+
 @query("search_filters", V.star("""
   SELECT id, name, 1.0::DOUBLE AS score FROM nodes WHERE kind IN ('function') AND language IN ('go')
   ORDER BY name, id LIMIT 500"""))
@@ -111,8 +134,8 @@ def _(spark, sf):
 
 @query("search_filters_ranked", V.star(f"""
   SELECT id, name, (1 + 10 + {_path_sql(['function', 'kotlin', 'catalog'])} )::DOUBLE AS score
-  FROM (SELECT * FROM nodes WHERE kind = 'function' AND language = 'kotlin' ORDER BY name, id LIMIT 1000)
-  ORDER BY score DESC, id LIMIT 200""".replace("'function'))", "'function'))")))
+  FROM nodes WHERE kind = 'function' AND language = 'kotlin'
+  ORDER BY score DESC, id LIMIT 200"""))
 def _(spark, sf):
     hits = search.search(star(spark, sf), "kind:function lang:kotlin path:catalog", limit=200)
     return hits.select("id", "name", "score")
@@ -128,13 +151,9 @@ def _(spark, sf):
 
 
 @query("search_fuzzy", V.star("""
-  SELECT id, name, score FROM (
-    SELECT id, name, (1.0 / (1 + d))::DOUBLE AS score, d, row_number() OVER (PARTITION BY name ORDER BY id) AS rn
-    FROM (SELECT id, name, levenshtein(lower(name), 'cold wigdet') AS d FROM nodes)
-    WHERE d <= 2 AND name IN (SELECT name FROM (
-      SELECT DISTINCT name, levenshtein(lower(name), 'cold wigdet') AS d FROM nodes)
-      WHERE d <= 2 ORDER BY d, name LIMIT 200))
-  WHERE rn <= 5 ORDER BY d, name, id LIMIT 100"""))
+  SELECT id, name, (1.0 / (1 + d))::DOUBLE AS score
+  FROM (SELECT id, name, levenshtein(lower(name), 'cold wigdet') AS d FROM nodes)
+  WHERE d <= 2 ORDER BY d, name, id LIMIT 100"""))
 def _(spark, sf):
     return search.fuzzy(star(spark, sf).nodes, "cold wigdet").select("id", "name", "score")
 
@@ -145,10 +164,8 @@ def _(spark, sf):
       SELECT n.*, 1.0 + CASE WHEN file_path IN (
           SELECT file_path FROM nodes WHERE lower(name) IN (
             SELECT lower(name) FROM nodes WHERE lower(name) IN ('nation_3', 'nation_4', 'cold widget')
-            GROUP BY 1 HAVING count(DISTINCT file_path) < 10)) THEN 20.0 ELSE 0.0 END::DOUBLE AS score,
-        row_number() OVER (PARTITION BY lower(name) ORDER BY id) AS rn
-      FROM nodes n WHERE lower(name) IN ('nation_3', 'nation_4', 'cold widget'))
-    WHERE rn <= 51)
+            GROUP BY 1 HAVING count(DISTINCT file_path) < 10)) THEN 20.0 ELSE 0.0 END::DOUBLE AS score
+      FROM nodes n WHERE lower(name) IN ('nation_3', 'nation_4', 'cold widget')))
   WHERE best <= 17 ORDER BY score DESC, id LIMIT 50"""))
 def _(spark, sf):
     return search.exact_names(star(spark, sf).nodes, ["NATION_3", "NATION_4", "cold widget"]).select("id", "name", "score")

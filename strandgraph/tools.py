@@ -104,19 +104,24 @@ class Tools:
         if line is not None:
             defs = at_line(defs, line)
         coded = S.snippet(defs, self.sources)
-        # Whole definitions while the size lasts: the matches of one symbol, a top-50 list at most.
-        so_far = Window.orderBy(is_generated_file("file_path"), "file_path", "start_line").rowsBetween(Window.unboundedPreceding, 0)
-        coded = coded.limit(1000).withColumn("used", F.sum(F.length("code")).over(so_far))
-        return coded.withColumn("code", F.when(F.col("used") <= budget, F.col("code"))).drop("used")
+        # Whole definitions while the size lasts: every code has a character, so `budget` rows are enough to fill it.
+        first = [is_generated_file("file_path"), F.col("file_path"), F.col("start_line"), F.col("id")]
+        lead = coded.filter(F.length("code") > 0).select("id", F.length("code").alias("size"), *[c.alias(f"_o{i}") for i, c in enumerate(first)])
+        lead = lead.orderBy("_o0", "_o1", "_o2", "_o3").limit(budget)
+        so_far = Window.orderBy("_o0", "_o1", "_o2", "_o3").rowsBetween(Window.unboundedPreceding, 0)
+        fits = lead.withColumn("used", F.sum("size").over(so_far)).filter(F.col("used") <= budget).select("id", F.lit(True).alias("_fits"))
+        return coded.join(F.broadcast(fits), "id", "left").withColumn(  # at most `budget` rows
+            "code", F.when(F.col("_fits") | (F.length("code") == 0), F.col("code"))).select(coded.columns)
 
     def trail(self, symbol: str, k: int = 5) -> DataFrame:
         return traversal.trail(self.g, self._definitions(symbol, None), k)
 
-    def file_view(self, path: str, offset: int = 1, limit: int = 2000) -> DataFrame:
-        """Numbered lines of the file that answers to a path, if just one does, else the candidates."""
+    def file_view(self, path: str, offset: int = 1, limit: int = 2000, candidates: int | None = None) -> DataFrame:
+        """Numbered lines of the file that answers to a path, if just one does, else all (or some) candidates."""
         hits = cut(S.find_file(self.sources, path), "file")
         if hits.limit(2).count() != 1:
-            return hits.select("path").orderBy("path").limit(25)
+            found = hits.select("path").orderBy("path")
+            return found if candidates is None else found.limit(candidates)
         return S.numbered(hits, offset, limit).orderBy("line")
 
     def files(self, path: str | None = None, pattern: str | None = None, max_depth: int | None = None) -> DataFrame:

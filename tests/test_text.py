@@ -66,7 +66,7 @@ def test_bm25_equals_sqlite(spark, query):
     match = " OR ".join(f'"{w}"*' for w in words)
     want = {r[0]: round(-r[1], 6) for r in con.execute("select id, bm25(t,0,20,5,1,2) from t where t match ?", (match,))}
     df = nodes(spark, ROWS)
-    got = {r["id"]: round(r["score"], 6) for r in search.fts(df, query, limit=None).collect()}
+    got = {r["id"]: round(r["score"], 6) for r in search.fts(df, query).collect()}
     assert got == want
     indexed = {r["id"]: round(r["score"], 6) for r in search.SearchIndex.build(df).search(query).collect()}
     assert indexed == want
@@ -97,7 +97,50 @@ def test_many_terms_equal_single_searches(spark):
     from strandgraph.operators import context
 
     df = nodes(spark, ROWS)
-    many = context.search_many(df, ["user", "loop", "scrape"], None, 4).collect()
+    many = context.search_many(df, ["user", "loop", "scrape"], None).collect()
     for term in ("user", "loop", "scrape"):
-        one = {(r["id"], round(r["score"], 6)) for r in search.search(Graph(df, None), term, limit=4).collect()}
+        one = {(r["id"], round(r["score"], 6)) for r in search.search(Graph(df, None), term).collect()}
         assert {(r["id"], round(r["score"], 6)) for r in many if r["term"] == term} == one
+
+
+def test_every_match_is_ranked(spark):
+    """An exact name behind many better full-text hits, rare names behind many namesakes, kinds in a fuzzy search."""
+    many = [(f"n{i:04}", "function", "walker", f"walker walker {i}", f"src/{i}.py") for i in range(700)]
+    many += [("z1", "function", "walk", None, "lib/z.py"), ("z2", "class", "Walkerr", None, "lib/z.py"), ("z3", "function", "helper", None, "lib/z.py")]
+    df = as_nodes(spark.createDataFrame([(i, k, n, n, d, p, "python") for i, k, n, d, p in many],
+                                        "id string, kind string, name string, qualified_name string, docstring string, file_path string, language string"))
+    g = Graph(df, None)
+    assert [r.id for r in search.search(g, "walk", limit=1).collect()] == ["z1"]
+    assert {r.id for r in search.search(g, "kind:class walkerx", limit=5).collect()} == {"z2"}
+    named = df.withColumn("file_path", F.when(F.col("id") == "n0699", "lib/z.py").otherwise(F.col("file_path")))
+    best = search.exact_names(named, ["walker", "helper"], limit=2).collect()
+    assert {r.id for r in best} == {"n0699", "z3"} and {r.score for r in best} == {21.0}
+
+
+def test_segments_follow_changes(spark, tmp_path):
+    import random
+
+    from strandgraph.operators.segments import SegmentedIndex
+
+    rnd, live = random.Random(4), {}
+    index = SegmentedIndex(spark, f"{tmp_path}/index", most=3)
+    assert index.read().search("user").count() == 0
+    words = ["user", "loop", "scrape", "fetch", "userName", "école", "x9"]
+    for turn in range(6):
+        changed = {f"n{rnd.randrange(14)}": " ".join(rnd.choices(words, k=rnd.randrange(6))) or None for _ in range(6)}
+        gone = rnd.sample(sorted(live), min(len(live), 2)) if turn else []
+        live = {k: v for k, v in live.items() if k not in gone} | changed
+        frame = lambda rows: as_nodes(spark.createDataFrame([(i, "function", i, i, d, "a.py", "python") for i, d in rows.items()],
+                                                            "id string, kind string, name string, qualified_name string, docstring string, file_path string, language string"))
+        index.add(frame(changed), spark.createDataFrame([(i,) for i in gone if i not in changed], "id string"))
+        index = SegmentedIndex(spark, f"{tmp_path}/index", most=3)  # as after a restart
+        assert index.state()["total"] == len(live) and len(index.state()["segments"]) <= 3
+        for query in ("user", "fetch loop", "ecole:scrape"):
+            want = {(r.id, round(r.score, 6)) for r in search.fts(frame(live), query).collect()}
+            assert {(r.id, round(r.score, 6)) for r in index.read().search(query).collect()} == want
+    old = index.read()
+    before = old.search("user").count()
+    index.merge()
+    assert old.search("user").count() == before == index.read().search("user").count() and len(index.state()["segments"]) == 1
+    plan = index.read()._term("user", True)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "GreaterThanOrEqual(term,user)" in plan
