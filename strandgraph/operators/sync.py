@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..graph import Graph
 from ..lineage import cut, union_all
 
+VERSION_KEY = "extraction_version"
+
 
 def diff(stored: DataFrame, current: DataFrame, trust_stat: bool = False) -> DataFrame:
     """(path, change) with change added, removed or modified: files(path, content_hash, ...).
@@ -116,5 +118,5 @@ def stale_results(results: DataFrame, pending: DataFrame) -> DataFrame:
 
 def is_stale(metadata: DataFrame, version: str) -> bool:
     """True when the stored graph was extracted by another version."""
-    row = metadata.filter("key = 'extraction_version'").select("value").first()
+    row = metadata.filter(F.col("key") == VERSION_KEY).select("value").first()
     return row is None or row["value"] != version

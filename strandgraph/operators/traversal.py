@@ -4,6 +4,9 @@ Every level is one join of the frontier with the adjacency table, a combine per
 node (pre-aggregated before the shuffle, so hubs stay cheap) and an anti-join against the
 nodes already seen. Each level is written once; "seen" is the union of the level tables,
 so nothing is written twice. Nodes get their minimum depth, whatever the row order.
+
+Channel nodes (an event between its emitters and handlers) are looked through: a step to a channel goes on
+to its members at the same depth, and the channel itself is no result.
 """
 
 from pyspark.sql import DataFrame, Window
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import is_affected_test
 from ..graph import Graph, edge_priority
 from ..lineage import cut, union_all
-from ..schema import CALLER_KINDS, CONTAINER_KINDS
+from ..schema import CALLER_KINDS, CHANNEL, CONTAINER_KINDS
 
 REACHED = ["id", "depth", "parent", "via_kind", "via_line"]
 _COMPACT_EVERY = 12
@@ -48,11 +51,15 @@ def frontier(
     are reached but not expanded.
     """
     level = cut(_start(seeds), "level")
-    levels, depth = [level], 0
+    levels, hubs, depth = [level], [], 0
     while max_depth is None or depth < max_depth:
         depth += 1
         source = level if stop is None else level.join(stop, "id", "left_anti")
-        level = cut(_expand(source, adj, depth).join(_seen(levels), "id", "left_anti"), "level")
+        level = cut(_expand(source, adj, depth).join(_seen(levels + hubs), "id", "left_anti"), "level")
+        hub = level.filter(F.col("id").startswith(CHANNEL))
+        if not hub.isEmpty():
+            hubs.append(hub)
+            level = cut(_beyond(level, hub, adj, depth).join(_seen(levels), "id", "left_anti"), "level")
         if level.isEmpty():
             break
         levels.append(level)
@@ -61,25 +68,45 @@ def frontier(
     return union_all(levels)
 
 
+def _beyond(level: DataFrame, hub: DataFrame, adj: DataFrame, depth: int) -> DataFrame:
+    """A level without its channels, with what they lead to; a member's parent is the node before the channel."""
+    before = hub.select(F.col("id").alias("hub"), F.col("parent").alias("from"), F.col("via_line").alias("at"))
+    past = _expand(hub, adj, depth).join(before, F.col("parent") == F.col("hub")).select(
+        "id", "depth", F.col("from").alias("parent"), "via_kind", F.col("at").alias("via_line"))
+    past = past.filter(~F.col("id").startswith(CHANNEL))
+    plain = level.filter(~F.col("id").startswith(CHANNEL))
+    return plain.unionByName(past.join(plain.select("id"), "id", "left_anti"))
+
+
 def _stored(adj: DataFrame) -> DataFrame:
     return cut(adj, "adjacency")
 
 
 # -- one hop ----------------------------------------------------------------
 
+def _neighbours(g: Graph, ids: DataFrame | None, near: str, far: str, kinds: list[str]) -> DataFrame:
+    """(near, far, kind, line) of edges between different nodes. For given ids on the near side, a channel on
+    the far side gives way to its members; without ids the channels stay, so that members are not paired."""
+    edges = g.edges.filter(F.col("kind").isin(kinds) & (F.col("source") != F.col("target"))).select(near, far, "kind", "line")
+    if ids is None:
+        return edges
+    asked = edges.join(ids.select(F.col("id").alias(near)).distinct(), near, "left_semi")
+    channel = F.col(far).startswith(CHANNEL)
+    hubs = asked.filter(channel).select(F.col(near).alias("_asked"), F.col(far).alias("_hub"))
+    inner = edges.filter(F.col(near).startswith(CHANNEL)).withColumnRenamed(near, "_hub")
+    through = hubs.join(inner, "_hub").select(F.col("_asked").alias(near), far, "kind", "line").filter(F.col(near) != F.col(far))
+    return asked.filter(~channel).unionByName(through)
+
+
 def callers(g: Graph, ids: DataFrame | None = None, kinds: list[str] = CALLER_KINDS) -> DataFrame:
     """Direct callers as a bag of edges; a node calling itself is not its own caller."""
-    edges = g.edges.filter(F.col("kind").isin(kinds) & (F.col("source") != F.col("target")))
-    if ids is not None:
-        edges = edges.join(ids.select(F.col("id").alias("target")).distinct(), "target", "left_semi")
-    return edges.select(F.col("target").alias("id"), F.col("source").alias("caller"), "kind", "line")
+    return _neighbours(g, ids, "target", "source", kinds).select(
+        F.col("target").alias("id"), F.col("source").alias("caller"), "kind", "line")
 
 
 def callees(g: Graph, ids: DataFrame | None = None, kinds: list[str] = CALLER_KINDS) -> DataFrame:
-    edges = g.edges.filter(F.col("kind").isin(kinds) & (F.col("source") != F.col("target")))
-    if ids is not None:
-        edges = edges.join(ids.select(F.col("id").alias("source")).distinct(), "source", "left_semi")
-    return edges.select(F.col("source").alias("id"), F.col("target").alias("callee"), "kind", "line")
+    return _neighbours(g, ids, "source", "target", kinds).select(
+        F.col("source").alias("id"), F.col("target").alias("callee"), "kind", "line")
 
 
 def usages(g: Graph, ids: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..lineage import union_all
-from ..operators import ordered, rank, synth, sync
+from ..operators import ordered, rank, synth, sync, traversal
 from ..schema import as_edges, as_nodes
 from ..streaming import watch
 from . import views as V
@@ -157,6 +157,40 @@ def _(spark, sf):
     return out.select("event_id", "before")
 
 
+_CHANNEL_SQL = """
+  WITH e AS (SELECT props||' '||date_trunc('day', ts)::DATE AS channel, event_type, 'user:'||user_id AS id, event_id % 1000 AS line FROM events),
+  d AS (SELECT channel, id, min(line)::INTEGER AS line FROM e WHERE event_type = 'click' GROUP BY ALL),
+  h AS (SELECT DISTINCT channel, id FROM e WHERE event_type = 'purchase')
+"""
+
+
+def _event_graph(spark, sf) -> Graph:
+    """Users who click emit, users who purchase handle, through a channel for each payload and day."""
+    e = table(spark, sf, "events").selectExpr(
+        "concat(props, ' ', cast(ts as date)) as channel", "event_type", "concat('user:', user_id) as id",
+        "cast(event_id % 1000 as int) as line", "cast(null as string) as at")
+    edges = synth._through(e.filter("event_type = 'click'"), e.filter("event_type = 'purchase'").withColumn("line", F.lit(None).cast("int")), "event-emitter")
+    users = e.select("id").distinct().withColumn("kind", F.lit("function"))
+    return Graph(users, edges)
+
+
+@query("callers_through_channel", _CHANNEL_SQL + """
+  SELECT h.id, d.id AS caller, d.line FROM h JOIN d USING (channel) WHERE h.id <> d.id""")
+def _(spark, sf):
+    g = _event_graph(spark, sf)
+    return traversal.callers(g, g.nodes).select("id", "caller", "line")
+
+
+@query("impact_through_channel", _CHANNEL_SQL + """
+  , hop AS (SELECT DISTINCT d.id AS a, h.id AS b FROM h JOIN d USING (channel) WHERE h.id <> d.id),
+  one AS (SELECT DISTINCT b AS id FROM hop WHERE a = 'user:7' AND b <> 'user:7'),
+  two AS (SELECT DISTINCT b AS id FROM hop WHERE a IN (SELECT id FROM one))
+  SELECT id, 1 AS depth FROM one UNION ALL SELECT id, 2 FROM two WHERE id <> 'user:7' AND id NOT IN (SELECT id FROM one)""")
+def _(spark, sf):
+    g = _event_graph(spark, sf)
+    return traversal.callees_within(g, g.seeds(F.col("id") == "user:7"), 2).select("id", "depth")
+
+
 # -- relevance --------------------------------------------------------------------
 
 def _ppr_sql(rounds: int = 25) -> list[str]:

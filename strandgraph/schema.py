@@ -107,3 +107,11 @@ def any_kind(column: str | Column, values: list[str] | None) -> Column:
     """Membership predicate; no restriction when `values` is empty or None."""
     col = F.col(column) if isinstance(column, str) else column
     return col.isin(list(values)) if values else F.lit(True)
+
+
+#: Ids of nodes that stand for an event, a collection or a handler chain. Members are linked through them, so
+#: that they are never paired; walks and one-hop lookups look through them.
+CHANNEL = "channel:"
+
+#: Written with every stored graph; another value means that it should be extracted anew.
+EXTRACTION_VERSION = "1"

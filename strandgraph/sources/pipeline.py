@@ -12,8 +12,6 @@ from ..schema import as_edges
 from . import extract as X
 from . import frameworks as FW
 
-EXTRACTION_VERSION = "1"
-
 
 def build(files: DataFrame, aliases: dict[str, str] | None = None) -> Graph:
     """Graph of a source tree: files(path, language, content, ...) as `read_contents` gives them.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..operators import sync
-from ..schema import EDGES, FILES, METADATA, NODES, REFS, as_edges, as_nodes, as_refs, conform
+from ..schema import EDGES, EXTRACTION_VERSION, FILES, METADATA, NODES, REFS, as_edges, as_nodes, as_refs, conform
 
 
 class GraphStore:
@@ -47,7 +47,8 @@ class GraphStore:
         refs = g.refs if g.refs is not None else self.spark.createDataFrame([], REFS)
         as_refs(refs).write.parquet(self._path(version, "refs"))
         meta = metadata if metadata is not None else self.spark.createDataFrame([], METADATA)
-        meta.write.parquet(self._path(version, "metadata"))
+        written = self.spark.sql(f"select '{sync.VERSION_KEY}' as key, '{EXTRACTION_VERSION}' as value, unix_millis(current_timestamp()) as updated_at")
+        sync.upsert(meta, conform(written, METADATA), "key").write.parquet(self._path(version, "metadata"))
         self.spark.sql("select current_timestamp() as at").selectExpr(f"'{version}' as version", "at").write.mode(
             "append").json(f"{self.root}/versions")
         return version
@@ -65,12 +66,15 @@ class GraphStore:
         return self._read(version or self.version(), "edges_in", EDGES)
 
     def metadata(self, version: str | None = None) -> DataFrame:
-        return self._read(version or self.version(), "metadata", METADATA)
-
-    def set_metadata(self, metadata: DataFrame, key: str, value: str) -> DataFrame:
-        row = self.spark.sql("select unix_millis(current_timestamp()) as updated_at").selectExpr(
-            f"'{key}' as key", f"'{value}' as value", "updated_at")
-        return sync.upsert(metadata, conform(row, METADATA), "key")
+        stored = self._read(version or self.version(), "metadata", METADATA)
+        last = F.max_by(F.struct("value", "updated_at"), "updated_at").alias("m")
+        return conform(stored.groupBy("key").agg(last).select("key", "m.*"), METADATA)
+
+    def set_metadata(self, key: str, value: str) -> None:
+        """Stores one entry for the present version; the latest entry of a key counts."""
+        row = self.spark.sql("select unix_millis(current_timestamp()) as updated_at").select(
+            F.lit(key).alias("key"), F.lit(value).alias("value"), "updated_at")
+        conform(row, METADATA).write.mode("append").parquet(self._path(self.version(), "metadata"))
 
     def replace_files(self, fresh: Graph, paths: DataFrame) -> str:
         """Drop the given files, add what was extracted anew, write the next version. Edges from

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import sources
 from strandgraph.graph import Graph
-from strandgraph.operators import imports, resolve, sync, synth
+from strandgraph.operators import imports, resolve, sync, synth, traversal
 from strandgraph.schema import as_edges, as_nodes, as_refs
 from strandgraph.sources import files as S
 from strandgraph.sources import frameworks as FW
@@ -51,8 +51,12 @@ def test_store_round_trip(spark, project, tmp_path):
     store.write(g)
     back = store.read()
     assert back.nodes.count() == g.nodes.count() and back.edges.count() == g.edges.count()
+    assert not sync.is_stale(store.metadata(), "1") and sync.is_stale(store.metadata(), "2")
+    store.set_metadata("branch", "main")
+    store.set_metadata("branch", "topic")
     gone = spark.createDataFrame([("src/utils.ts",)], "path string")
     store.replace_files(Graph(g.nodes.limit(0), g.edges.limit(0)), gone)
+    assert {r.key: r.value for r in store.metadata().collect()} == {"branch": "topic", "extraction_version": "1"}
     left = store.read()
     assert left.nodes.filter("file_path = 'src/utils.ts'").count() == 0
     assert sync.with_valid_ends(left.edges, left.nodes).count() == left.edges.count()
@@ -171,7 +175,15 @@ def test_text_rules(spark):
         "app.go": 'package a\n\nfunc (c *Ctx) Next() {\n\tc.handlers[c.index](c)\n}\n\nfunc auth() {\n}\n\nfunc setup(r *E) {\n\tr.Use(auth)\n}\n',
         "view.jsx": "function Child() {\n  return null;\n}\nfunction Page() {\n  return <Child />;\n}\n",
         "list.swift": "func run() {\n  validators.forEach { $0() }\n}\nfunc add(v: V) {\n  validators.append(v)\n}\n"})
-    rules = {(r["metadata"]["synthesizedBy"]) for r in build(files).edges.filter("provenance = 'heuristic'").select("metadata").collect()}
+    g = build(files)
+    rules = {(r["metadata"]["synthesizedBy"]) for r in g.edges.filter("provenance = 'heuristic'").select("metadata").collect()}
+    names = {r.id: r.name for r in g.nodes.collect()}
+    seed = lambda name: g.seeds(F.col("name") == name)
+    assert "save" in {names[r.caller] for r in traversal.callers(g, seed("onSaved")).collect()}
+    assert "onSaved" in {names[r.callee] for r in traversal.callees(g, seed("save")).collect()}
+    reached = {names[r.id]: (r.depth, names[r.parent]) for r in traversal.callers_within(g, seed("onSaved"), 1).collect()}
+    assert reached["save"] == (1, "onSaved") and not any(i.startswith("channel:") for i in reached)
+    assert not traversal.frontier(g.adjacency("both"), seed("save")).filter("id like 'channel:%'").count()
     assert {"event-emitter", "gin-middleware-chain", "jsx-render", "closure-collection"} <= rules
 
 
@@ -209,3 +221,15 @@ def test_routes_of_frameworks(spark):
     got = {r["name"] for r in build(files).nodes.filter("kind = 'route'").select("name").collect()}
     assert {"GET /a/:id", "GET /cats/all", "GET /api/u", "GET /ping", "/blog/:slug"} <= got
     assert set(FW.detect(files)) >= {"express", "nestjs", "spring", "go-http"}
+
+
+def test_call_chains_give_way_to_longer_ones_only(spark):
+    from strandgraph.operators import context
+
+    edges = [(a, b) for chain in ("abcde", "pqr", "xyz") for a, b in zip(chain, chain[1:])] + [("a", "q")]
+    nodes = as_nodes(spark.createDataFrame([(i, "function", i, "a.py", "python") for i in "abcdepqrxyz"], "id string, kind string, name string, file_path string, language string")).withColumn(
+        "is_root", F.col("id").isin(*"acepqrxz"))
+    ctx = context.Context(nodes, spark.createDataFrame([(a, b, "calls") for a, b in edges], "source string, target string, kind string"), "high")
+    found = ["".join(r.path) for r in context.call_paths(ctx, keep=10).collect()]
+    assert found == ["abcde", "pqr", "aqr", "xyz"] or sorted(found) == ["abcde", "aqr", "pqr", "xyz"]
+    assert ["".join(r.path) for r in context.call_paths(ctx, keep=1).collect()][0] in ("abcde", "aqr", "pqr")
