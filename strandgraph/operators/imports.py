@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import dirname
 from ..lineage import cut, union_all
+from .packages import package_paths
 from .synth import matches
 
 # Endings tried for an import path, in order, by language of the importing file.
@@ -171,12 +172,24 @@ def chase(wanted: DataFrame, nodes: DataFrame, forwards: DataFrame) -> DataFrame
     return union_all(found)
 
 
-def via_import(nodes: DataFrame, files: DataFrame, refs: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+def import_targets(imports: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None, roots: DataFrame | None = None) -> DataFrame:
+    """(file_path, source, target_path): by package where module roots are given, else by path."""
+    paths = resolve_paths(imports, files, aliases)
+    if roots is None:
+        return paths
+    packaged = cut(package_paths(imports, roots, files).drop("prefix"), "package-paths")
+    return packaged.unionByName(paths.join(packaged, ["file_path", "source"], "left_anti"))
+
+
+def via_import(nodes: DataFrame, files: DataFrame, refs: DataFrame, aliases: dict[str, str] | None = None,
+               roots: DataFrame | None = None) -> DataFrame:
     """References to imported names: (ref_id, target, confidence, resolved_by)."""
     binds = cut(mappings(files), "mappings")
     forwards = cut(reexports(files), "reexports")
-    paths = cut(resolve_paths(binds.select("file_path", "language", "source").unionByName(
-        forwards.select("file_path", "language", "source")), files, aliases), "import-paths")
+    # A Rust name is asked for by its whole path, the statement binds nothing else.
+    used = refs.filter("reference_kind = 'imports' and language = 'rust'").selectExpr("file_path", "language", "reference_name as source")
+    asked = union_all([d.select("file_path", "language", "source") for d in (binds, forwards, used)])
+    paths = cut(import_targets(asked, files, aliases, roots), "import-paths")
     inner = forwards.join(paths, ["file_path", "source"]).selectExpr(
         "file_path as path", "exported_name", "target_path as inner_path", "inner_name")
     binds = binds.join(paths, ["file_path", "source"])

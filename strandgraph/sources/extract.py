@@ -18,6 +18,7 @@ from ..schema import as_edges, as_nodes, as_refs
 from . import rules as R
 
 FN = ["function", "method", "component"]
+COMPONENT_FILES = ["vue", "svelte", "astro"]
 TYPES = ["class", "interface", "struct", "trait", "protocol", "enum", "module", "namespace"]
 
 
@@ -140,9 +141,28 @@ def _comments(lines: DataFrame) -> DataFrame:
         F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "t"))), lambda x: x["t"]), "\n")).alias("docstring")).drop("run")
 
 
+def component_files(lines: DataFrame) -> DataFrame:
+    """Definition rows for files that are one component each, over all their lines and named like them."""
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.\w+$", "")
+    return lines.filter(F.col("language").isin(COMPONENT_FILES)).groupBy("path", "language").agg(F.max("line").alias("end_line")).select(
+        "path", "language", F.lit(1).alias("line"), F.lit("").alias("raw"), F.lit("export").alias("text"), F.lit(0).alias("after"),
+        F.lit(0).alias("step"), F.lit(0).alias("indent"), F.lit("component").alias("kind"), stem.alias("name"), F.lit("").alias("supers"), "end_line")
+
+
+def mapper_namespaces(lines: DataFrame) -> DataFrame:
+    """(file_path, namespace): what the root of an XML mapper puts before its statements."""
+    pattern = r"\bnamespace\s*=\s*[\"']([^\"']+)[\"']"
+    xml = lines.filter(F.col("language") == "xml")
+    roots = xml.filter(F.col("text").rlike(r"<mapper\b")).groupBy("path").agg(F.min("line").alias("root"))
+    # The attribute may stand on a later line of the tag.
+    named = xml.filter(F.col("text").rlike(pattern)).join(roots, "path").filter("line >= root")
+    return named.groupBy(F.col("path").alias("file_path")).agg(F.min_by(F.regexp_extract("text", pattern, 1), "line").alias("namespace"))
+
+
 def symbols(files: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes of files and definitions, and the `contains` edges among them."""
-    defs = cut(_with_ends(_definitions(lines), lines), "defs")
+    ended = _with_ends(_definitions(lines), lines)
+    defs = cut(ended.select(component_files(lines).columns).unionByName(component_files(lines)), "defs")
     text = F.col("text")
     receiver = F.regexp_extract("text", r"^func\s+\(\s*\w*\s*\*?(\w+)", 1)
     sig = F.regexp_extract("raw", r"(\([^)]*\)[^{=;]*)", 1)
@@ -184,9 +204,9 @@ def symbols(files: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     scopes = up.groupBy("id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct((-F.col("level")).alias("o"), F.col("up_name")))), lambda s: s["up_name"]).alias("scopes"),
         F.max_by("up_kind", -F.col("level")).alias("parent_kind"))
-    nodes = nodes.join(scopes, "id", "left")
+    nodes = nodes.join(scopes, "id", "left").join(mapper_namespaces(lines), "file_path", "left")
     qualified = F.concat_ws("::", F.array_compact(F.concat(
-        F.coalesce("scopes", F.array().cast("array<string>")),
+        F.array("namespace"), F.coalesce("scopes", F.array().cast("array<string>")),
         F.array(F.when(F.coalesce("receiver", F.lit("")) != "", F.col("receiver")), F.col("name")))))
     member = F.col("parent_kind").isin(TYPES[:6]) & (F.col("kind") == "function")
     nodes = cut(nodes.withColumn("qualified_name", qualified).withColumn(

@@ -5,6 +5,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.packages import MANIFESTS
+
 # File ending to language.
 EXTENSIONS = {
     ".ts": "typescript", ".tsx": "tsx", ".mts": "typescript", ".cts": "typescript", ".js": "javascript",
@@ -144,6 +146,15 @@ def read_contents(spark: SparkSession, root: str, wanted: DataFrame | None = Non
                                      F.col("content").cast("string").alias("content")))
 
 
+def read_manifests(spark: SparkSession, root: str, gitignore: str = "") -> DataFrame:
+    """(path, content) of the files that name the packages of a project."""
+    root = root.rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    rel = F.regexp_replace("path", f"^(file:)?/*{re.escape(root.lstrip('/'))}/", "")
+    return files.withColumn("path", rel).filter(F.col("path").rlike(MANIFESTS) & ~is_ignored("path", ignore_rules(gitignore))).select(
+        "path", F.col("content").cast("string").alias("content"))
+
+
 def size_error(path: str = "path", size: str = "size", limit: int = MAX_FILE_BYTES) -> Column:
     """Array with a `size_exceeded` warning for files above the limit, else null; nothing is left out for it."""
     error = F.struct(F.format_string("large source file: %d bytes", F.col(size)).alias("message"),

@@ -167,17 +167,31 @@ def file_routes(files: DataFrame) -> DataFrame:
         F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.col("framework").alias("docstring")))
 
 
+def expo_modules(lines: DataFrame) -> DataFrame:
+    """(path, module): name an Expo module file gives itself, else the name of its class."""
+    native = lines.filter(F.col("language").isin("kotlin", "swift"))
+    given, cls = r"\bName\s*\(\s*[\"'](\w+)[\"']", r"\bclass\s+(\w+)\s*:\s*Module\b"
+    marks = native.filter(F.col("text").rlike(f"{given}|{cls}"))
+    first = [F.min_by(F.regexp_extract("text", p, 1), F.when(F.col("text").rlike(p), F.col("line"))) for p in (given, cls)]
+    return marks.groupBy("path").agg(F.coalesce(*first).alias("module"))
+
+
 def bridge_nodes(lines: DataFrame) -> DataFrame:
-    """Components and native bridge methods, with the id prefixes the inference rules look for."""
+    """Components and native bridge methods, with the id prefixes the inference rules look for.
+
+    Methods of an Expo module are qualified by its name, all others by their folder.
+    """
     out = []
     for prefix, kind, languages, pattern in BRIDGES:
         name = F.regexp_extract("text", pattern, 1)
         hit = lines.filter(F.col("language").isin(list(languages)) & F.col("text").rlike(pattern))
         out.append(hit.select(
             F.concat(F.lit(f"{prefix}:"), F.substring(F.sha2(F.concat_ws(":", "path", name, "line"), 256), 1, 32)).alias("id"),
-            F.lit(kind).alias("kind"), name.alias("name"), F.concat(dirname("path"), F.lit("::"), name).alias("qualified_name"),
+            F.lit(kind).alias("kind"), name.alias("name"), F.lit(prefix).alias("bridge"),
             F.col("path").alias("file_path"), "language", F.col("line").alias("start_line"), F.col("line").alias("end_line")))
-    return as_nodes(union_all(out))
+    module = expo_modules(lines).withColumnRenamed("path", "file_path").withColumn("bridge", F.lit("expo-module"))
+    rows = union_all(out).join(module, ["file_path", "bridge"], "left")
+    return as_nodes(rows.withColumn("qualified_name", F.concat_ws("::", F.coalesce("module", dirname("file_path")), "name")))
 
 
 def resolve_handlers(nodes: DataFrame, refs: DataFrame) -> DataFrame:
