@@ -6,6 +6,7 @@ from ..graph import Graph
 from ..lineage import cut, union_all
 from ..operators import mounts, packages, resolve, scopes
 from ..schema import as_edges, as_nodes, as_refs
+from ..sources import ignores
 from .projections import table
 
 QUERIES, ORACLES = {}, {}
@@ -147,3 +148,26 @@ def _(spark, sf):
     return sites.join(mounts.compose(part), "id").select(
         F.col("id").alias("part"), "depth",
         F.concat_ws(" ", verb, mounts.joined(F.col("path"), F.lower("o_orderpriority"))).alias("name"))
+
+
+# -- ignore rules of many folders -----------------------------------------------------
+# Every source has rules for its documents, every language below it brings some back, the root leaves
+# out one language's folders but for those it names.
+
+@query("ignored_nested", """
+  WITH d AS (SELECT doc_id::VARCHAR AS n, source||'/'||lang||'/doc_'||doc_id||'.txt' AS path, source, lang FROM documents)
+  SELECT path, coalesce(lang = 'es' OR CASE
+           WHEN n LIKE '%11' THEN FALSE
+           WHEN n LIKE '_3%' THEN lang = 'de'
+           WHEN n LIKE '%1' OR n LIKE '%5' OR n LIKE '%6' THEN TRUE
+           ELSE FALSE END, FALSE) AS ignored
+  FROM d""")
+def _(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "source", "lang")
+    paths = d.selectExpr("concat(source, '/', lang, '/doc_', doc_id, '.txt') as path")
+    files = union_all([
+        d.selectExpr("concat(source, '/.gitignore') as path", "'# by number\n*1.txt\n**/doc_*[56].txt\nen/doc_?3*.txt\n' as content").distinct(),
+        d.selectExpr("concat(source, '/', lang, '/.gitignore') as path",
+                     "concat('!doc_?3*.txt\n', if(lang = 'de', '/doc_?3*.txt\n', ''), '!*11.txt') as content").distinct(),
+        d.limit(1).selectExpr("'.gitignore' as path", "'/*/es/\n!doc_1.txt' as content")])
+    return ignores.ignored(paths, ignores.rules(files))

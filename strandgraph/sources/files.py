@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.packages import MANIFESTS
+from . import ignores
 
 # File ending to language.
 EXTENSIONS = {
@@ -115,11 +116,21 @@ def is_ignored(path: Column | str, rules: list[tuple[str, bool]] = ()) -> Column
     return out | F.coalesce(told, F.lit(False))
 
 
+def _below(root: str) -> Column:
+    return F.regexp_replace("path", f"^(file:)?/*{re.escape(root.lstrip('/'))}/", "")
+
+
+def kept_by_ignore_files(root: str, files: DataFrame) -> DataFrame:
+    """Files(path) that no .gitignore of their own or an upper folder below the root leaves out."""
+    return ignores.ignored(files, ignores.rules(ignores.read_rule_files(files, root))).filter("not ignored").drop("ignored")
+
+
 def scan(spark: SparkSession, root: str, gitignore: str = "", paths: DataFrame | None = None) -> DataFrame:
     """Source files below a root without their contents: path, size, modified_at, language.
 
     The content column is not selected, so the file source does not read it. `paths` (for
-    example the listing of a version control system) narrows the scan.
+    example the listing of a version control system) narrows the scan. The .gitignore files of all
+    folders hold; `gitignore` is the text of further rules of the root.
     """
     rules = ignore_rules(gitignore)
     root = root.rstrip("/")
@@ -130,7 +141,7 @@ def scan(spark: SparkSession, root: str, gitignore: str = "", paths: DataFrame |
     files = files.filter(is_source_file("path") & ~is_ignored("path", rules))
     if paths is not None:
         files = files.join(paths.select("path").distinct(), "path", "left_semi")
-    return files.withColumn("language", language_of("path"))
+    return kept_by_ignore_files(root, files).withColumn("language", language_of("path"))
 
 
 def read_contents(spark: SparkSession, root: str, wanted: DataFrame | None = None, gitignore: str = "") -> DataFrame:
@@ -142,7 +153,8 @@ def read_contents(spark: SparkSession, root: str, wanted: DataFrame | None = Non
     files = files.withColumn("path", rel).filter(is_source_file("path") & ~is_ignored("path", rules))
     if wanted is not None:
         files = files.join(wanted.select("path").distinct(), "path", "left_semi")
-    return with_content(files.select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified_at"),
+    kept = kept_by_ignore_files(root, files.select("path"))
+    return with_content(files.join(kept, "path", "left_semi").select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified_at"),
                                      F.col("content").cast("string").alias("content")))
 
 

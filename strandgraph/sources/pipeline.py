@@ -24,14 +24,16 @@ def build(files: DataFrame, aliases: dict[str, str] | None = None, manifests: Da
     nodes, contains, raw = X.symbols(files, lines)
     refs = X.references(lines, nodes, raw)
     refs = cut(refs.unionByName(X.functions_as_values(lines, nodes, refs)).dropDuplicates(["ref_id"]), "refs")
-    route_nodes, route_refs = FW.routes(lines, nodes, FW.detect(files))
+    roots = None if manifests is None else cut(packages.manifest_roots(manifests), "roots")
+    mounted = cut(FW.mounted_prefixes(lines, nodes, FW.mount_table(lines, nodes, files, aliases, roots)), "mounted")
+    route_nodes, route_refs = FW.routes(lines, nodes, FW.detect(files), mounted, FW.module_prefixes(files, nodes))
     route_refs = cut(route_refs, "route-refs")
     nodes = nodes.unionByName(FW.with_module_prefixes(route_nodes, lines)).unionByName(FW.file_routes(files)).unionByName(FW.bridge_nodes(lines))
     nodes = cut(nodes.dropDuplicates(["id"]), "nodes")
     base = Graph(nodes, as_edges(contains), files, refs)
 
-    handled = FW.resolve_handlers(nodes, route_refs)
-    roots = None if manifests is None else cut(packages.manifest_roots(manifests), "roots")
+    handled = FW.resolve_handlers(nodes, route_refs.filter("reference_kind != 'imports'")).unionByName(
+        FW.resolve_includes(nodes, files, route_refs, aliases, roots))
     declared = cut(scopes.declarations(lines, nodes), "declarations")
     chains = cut(scopes.scope_chains(base), "chains")
     strong = imports.via_import(nodes, files, refs, aliases, roots).unionByName(imports.jvm_import(nodes, refs)).unionByName(

@@ -31,11 +31,11 @@ def test_symbols_and_edges(spark, project):
     g, files = project
     names = {(r["kind"], r["qualified_name"]) for r in g.nodes.filter("kind != 'file'").select("kind", "qualified_name").collect()}
     assert {("class", "Derived"), ("method", "Derived::format"), ("method", "Service::save"), ("method", "Server::Get"),
-            ("struct", "Server"), ("route", "app/service.py::ANY /users/<id>"), ("method", "User::getName")} <= names
+            ("struct", "Server"), ("route", "app/service.py::GET /users/<id>"), ("method", "User::getName")} <= names
     assert {("main", "processValue"), ("processValue", "formatValue"), ("run", "format")} <= linked(g, "calls")
     assert ("Derived", "Base") in linked(g, "extends") and ("Derived", "Formatter") in linked(g, "implements")
     assert ("Server", "Store") in linked(g, "implements") and ("main", "Derived") in linked(g, "instantiates")
-    assert ("ANY /users/<id>", "get_user") in linked(g, "references")
+    assert ("GET /users/<id>", "get_user") in linked(g, "references")
     assert ("main.ts", "utils.ts") in linked(g, "imports") and ("Service", "save") in linked(g, "contains")
     tools = Tools(g, files)
     assert {r["name"] for r in tools.callers("formatValue").collect()} == {"processValue", "format"}
