@@ -46,7 +46,7 @@ def strip_comments(content: Column) -> Column:
         found = F.regexp_extract_all(content, F.lit(f"({pattern})"), 1)
         gaps = F.split(content, pattern, -1)
         kept = F.transform(found, lambda t: F.when(
-            t.rlike("^[\"'`]") & ~t.rlike("^(\"\"\"|\'\'\')"), t).otherwise(F.regexp_replace(t, r"[^\n]", "")))
+            t.rlike("^(?:r#*)?[\"'`]") & ~((F.col("language") == "python") & t.rlike("^(\"\"\"|\'\'\')")), t).otherwise(F.regexp_replace(t, r"[^\n]", "")))
         return F.array_join(F.zip_with(gaps, kept, lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))), "")
 
     patterns = {lang: "|".join(f"(?:{t})" for t in tokens) for lang, tokens in R.TOKENS.items()}

@@ -174,6 +174,9 @@ TOKENS = {
     "ruby": [r"(?m)^=begin\b[\s\S]*?(?:^=end[^\n]*|\z)", _DOUBLE, _SINGLE, _HASH],
     "php": [_BLOCK, _DOUBLE, _SINGLE, _SLASH, r"#(?!\[)[^\n]*"], "lua": [_DOUBLE, _SINGLE, r"--\[\[[\s\S]*?(?:\]\]|\z)|--[^\n]*"],
     "luau": [_DOUBLE, _SINGLE, r"--\[\[[\s\S]*?(?:\]\]|\z)|--[^\n]*"], "pascal": [r"'[^'\n]*'", r"\{[\s\S]*?(?:\}|\z)", r"\(\*[\s\S]*?(?:\*\)|\z)", _SLASH],
-    "rust": [_BLOCK, _DOUBLE, r"'(?:\\.|[^'\\\n])'", _SLASH], "xml": [r"<!--[\s\S]*?(?:-->|\z)"],
+    "rust": [_BLOCK, r'r#"[\s\S]*?(?:"#|\z)', r'r"[^"]*(?:"|\z)', _DOUBLE, r"'(?:\\.|[^'\\\n])'", _SLASH], "xml": [r"<!--[\s\S]*?(?:-->|\z)"],
 }
+# Languages with text blocks, which are strings here; only Python's count as documentation.
+TEXT_BLOCKS = ["java", "kotlin", "scala", "swift", "csharp", "dart"]
 DEFAULT_TOKENS = [_BLOCK, _DOUBLE, _SINGLE, _TICK, r"(?<!:)" + _SLASH]
+TOKENS |= {lang: [_BLOCK, r'"""[\s\S]*?(?:"""|\z)', *DEFAULT_TOKENS[1:]] for lang in TEXT_BLOCKS}

@@ -80,11 +80,13 @@ def test_changed_file_keeps_its_callers(spark, tmp_path):
 def test_comments_and_strings(spark):
     from strandgraph.sources import extract as X
     texts = {"javascript": 'const s = "http // no"; f(); // gone\n/* a\nb */ const t = \'/* kept */\';\nx = `// ${y}`', "python": 's = "# kept" # gone\n"""doc\nmore"""\nt = 1',
-             "ruby": "=begin\nnot code\n=end\nx = '#a' # gone", "lua": "--[[ a\nb ]] x = 1 -- gone", "go": "a := 'x' // gone\nb()"}
+             "ruby": "=begin\nnot code\n=end\nx = '#a' # gone", "lua": "--[[ a\nb ]] x = 1 -- gone", "go": "a := 'x' // gone\nb()",
+             "kotlin": 'val s = """a // kept\n"b" /* kept */""" // gone\nf()', "rust": 'let s = r#"a " // kept"#; g(); // gone', "java": "char c = '\"'; // gone"}
     df = spark.createDataFrame(list(texts.items()), "language string, content string")
     got = {r["language"]: r["c"] for r in df.select("language", X.strip_comments(F.col("content")).alias("c")).collect()}
     assert got == {"javascript": 'const s = "http // no"; f(); \n\n const t = \'/* kept */\';\nx = `// ${y}`', "python": 's = "# kept" \n\n\nt = 1',
-                   "ruby": "\n\n\nx = '#a' ", "lua": "\n x = 1 ", "go": "a := 'x' \nb()"}
+                   "ruby": "\n\n\nx = '#a' ", "lua": "\n x = 1 ", "go": "a := 'x' \nb()",
+                   "kotlin": 'val s = """a // kept\n"b" /* kept */""" \nf()', "rust": 'let s = r#"a " // kept"#; g(); ', "java": "char c = '\"'; "}
 
 
 def test_ignore_rules(spark):
