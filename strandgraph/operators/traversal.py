@@ -16,6 +16,7 @@ from ..functions.paths import is_affected_test
 from ..graph import Graph, edge_priority
 from ..lineage import cut, union_all
 from ..schema import CALLER_KINDS, CHANNEL, CONTAINER_KINDS
+from .links import Links
 
 REACHED = ["id", "depth", "parent", "via_kind", "via_line"]
 _COMPACT_EVERY = 12
@@ -27,11 +28,11 @@ def _start(seeds: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("via_kind"), F.lit(None).cast("int").alias("via_line"))
 
 
-def _expand(level: DataFrame, adj: DataFrame, depth: int) -> DataFrame:
+def _expand(level: DataFrame, links: Links, depth: int) -> DataFrame:
     """Nodes one hop from `level`, each with its preferred edge."""
     best = F.min(F.struct("prio", "src", "kind", "line"))
     return (
-        adj.join(level.select(F.col("id").alias("src")), "src")
+        links.leaving(level)
         .groupBy(F.col("dst").alias("id")).agg(best.alias("via"))
         .select("id", F.lit(depth).alias("depth"), F.col("via.src").alias("parent"),
                 F.col("via.kind").alias("via_kind"), F.col("via.line").alias("via_line"))
@@ -43,23 +44,24 @@ def _seen(levels: list[DataFrame]) -> DataFrame:
 
 
 def frontier(
-    adj: DataFrame, seeds: DataFrame, max_depth: int | None = None, stop: DataFrame | None = None,
+    adj: DataFrame | Links, seeds: DataFrame, max_depth: int | None = None, stop: DataFrame | None = None,
 ) -> DataFrame:
     """Nodes reachable from `seeds` with minimum depth and the edge that reached them.
 
-    `adj` should be a stored table, it is scanned once per level. Nodes listed in `stop`
-    are reached but not expanded.
+    `adj` is asked once per level: links of a graph, or any stored table of (src, dst, kind, line, prio).
+    Nodes listed in `stop` are reached but not expanded.
     """
+    links = adj if isinstance(adj, Links) else Links.of(adj)
     level = cut(_start(seeds), "level")
     levels, hubs, depth = [level], [], 0
     while max_depth is None or depth < max_depth:
         depth += 1
         source = level if stop is None else level.join(stop, "id", "left_anti")
-        level = cut(_expand(source, adj, depth).join(_seen(levels + hubs), "id", "left_anti"), "level")
+        level = cut(_expand(source, links, depth).join(_seen(levels + hubs), "id", "left_anti"), "level")
         hub = level.filter(F.col("id").startswith(CHANNEL))
         if not hub.isEmpty():
             hubs.append(hub)
-            level = cut(_beyond(level, hub, adj, depth).join(_seen(levels), "id", "left_anti"), "level")
+            level = cut(_beyond(level, hub, links, depth).join(_seen(levels), "id", "left_anti"), "level")
         if level.isEmpty():
             break
         levels.append(level)
@@ -68,20 +70,16 @@ def frontier(
     return union_all(levels)
 
 
-def _beyond(level: DataFrame, hub: DataFrame, adj: DataFrame, depth: int) -> DataFrame:
+def _beyond(level: DataFrame, hub: DataFrame, links: Links, depth: int) -> DataFrame:
     """A level without its channels, with what they lead to; a member's parent is the node before the channel."""
     before = hub.select(F.col("id").alias("hub"), F.col("parent").alias("from"), F.col("via_line").alias("at"))
-    past = _expand(hub, adj, depth).join(before, F.col("parent") == F.col("hub")).select(
+    past = _expand(hub, links, depth).join(before, F.col("parent") == F.col("hub")).select(
         "id", "depth", F.col("from").alias("parent"), "via_kind", F.col("at").alias("via_line"))
     past = past.filter(~F.col("id").startswith(CHANNEL))
     plain = level.filter(~F.col("id").startswith(CHANNEL))
     return plain.unionByName(past.join(plain.select("id"), "id", "left_anti"))
 
 
-def _stored(adj: DataFrame) -> DataFrame:
-    return cut(adj, "adjacency")
-
-
 # -- one hop ----------------------------------------------------------------
 
 def _neighbours(g: Graph, ids: DataFrame | None, near: str, far: str, kinds: list[str]) -> DataFrame:
@@ -142,20 +140,18 @@ def bfs(g: Graph, seeds: DataFrame, direction: str = "outgoing", kinds: list[str
         node_kinds: list[str] | None = None, max_depth: int | None = None,
         limit: int | None = None) -> DataFrame:
     """Breadth-first traversal; `limit` keeps the first nodes by (depth, edge priority, id)."""
-    reached = frontier(_stored(g.adjacency(direction, kinds, node_kinds)), seeds, max_depth)
+    reached = frontier(g.links(direction, kinds, node_kinds).written(), seeds, max_depth)
     if limit is not None:
         reached = reached.orderBy("depth", edge_priority("via_kind"), "id").limit(limit)
     return reached
 
 
 def callers_within(g: Graph, seeds: DataFrame, max_depth: int) -> DataFrame:
-    adj = _stored(g.adjacency("incoming", CALLER_KINDS))
-    return frontier(adj, seeds, max_depth).filter("depth > 0")
+    return frontier(g.links("incoming", CALLER_KINDS).written(), seeds, max_depth).filter("depth > 0")
 
 
 def callees_within(g: Graph, seeds: DataFrame, max_depth: int) -> DataFrame:
-    adj = _stored(g.adjacency("outgoing", CALLER_KINDS))
-    return frontier(adj, seeds, max_depth).filter("depth > 0")
+    return frontier(g.links("outgoing", CALLER_KINDS).written(), seeds, max_depth).filter("depth > 0")
 
 
 def call_graph(g: Graph, seeds: DataFrame, max_depth: int = 2) -> DataFrame:
@@ -172,7 +168,7 @@ def type_hierarchy(g: Graph, seeds: DataFrame, directions: tuple[str, ...] = ("u
     out = []
     for name, travel in (("up", "outgoing"), ("down", "incoming")):
         if name in directions:
-            reached = frontier(_stored(g.adjacency(travel, kinds)), seeds)
+            reached = frontier(g.links(travel, kinds).written(), seeds)
             out.append(reached.filter("depth > 0").select("id", F.lit(name).alias("side"), "depth"))
     return union_all(out)
 
@@ -208,20 +204,25 @@ def impact(g: Graph, seeds: DataFrame, max_depth: int = 3) -> DataFrame:
     Users of a node lie one step further out; the children of a container lie at the depth
     of the container, so containment is closed before each step.
     """
-    adj = _stored(g.adjacency("incoming", exclude=["contains"]))
-    containers = g.nodes.filter(F.col("kind").isin(CONTAINER_KINDS)).select(F.col("id").alias("src"))
-    inner = _stored(g.adjacency("outgoing", ["contains"]).join(containers, "src", "left_semi"))
+    users = g.links("incoming", exclude=["contains"]).written()
+    containers = g.nodes.filter(F.col("kind").isin(CONTAINER_KINDS)).select("id")
+    inner = g.links("outgoing", ["contains"])
+    if not inner.resting:
+        within = g.adjacency("outgoing", ["contains"]).join(containers.withColumnRenamed("id", "src"), "src", "left_semi")
+        inner = Links.of(within).written()
     level = cut(_start(seeds), "level")
     levels = [level]
     for depth in range(max_depth):
         ring = [level]
         while True:
+            if inner.resting:
+                level = cut(containers.join(level.select("id"), "id"), "containers")
             level = cut(_expand(level, inner, depth).join(_seen(levels), "id", "left_anti"), "level")
             if level.isEmpty():
                 break
             ring.append(level)
             levels.append(level)
-        level = cut(_expand(union_all(ring), adj, depth + 1).join(_seen(levels), "id", "left_anti"), "level")
+        level = cut(_expand(union_all(ring), users, depth + 1).join(_seen(levels), "id", "left_anti"), "level")
         if level.isEmpty():
             break
         levels.append(level)
@@ -234,7 +235,7 @@ def shortest_path(g: Graph, source: DataFrame, target: DataFrame, kinds: list[st
     Ties go to the smallest id: the target is the smallest among the nearest ones and each
     predecessor the smallest on the level before.
     """
-    adj = _stored(g.adjacency("outgoing", kinds))
+    links = g.links("outgoing", kinds).written()
     target = cut(target.select("id").distinct(), "target")
     level = cut(_start(source), "level")
     levels = [level]
@@ -242,7 +243,7 @@ def shortest_path(g: Graph, source: DataFrame, target: DataFrame, kinds: list[st
         hit = level.join(target, "id", "left_semi").agg(F.min("id").alias("id")).first()["id"]
         if hit is not None:
             break
-        nxt = adj.join(level.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(
+        nxt = links.leaving(level).groupBy(F.col("dst").alias("id")).agg(
             F.min("src").alias("parent"))
         nxt = nxt.select("id", F.lit(len(levels)).alias("depth"), "parent",
                          F.lit(None).cast("string").alias("via_kind"), F.lit(None).cast("int").alias("via_line"))
@@ -263,7 +264,7 @@ def shortest_path(g: Graph, source: DataFrame, target: DataFrame, kinds: list[st
 def shortest_distance(g: Graph, source: DataFrame, kinds: list[str] | None = None,
                       max_depth: int | None = None) -> DataFrame:
     """Hop count from the source set to every node it reaches."""
-    return frontier(_stored(g.adjacency("outgoing", kinds)), source, max_depth).select("id", "depth")
+    return frontier(g.links("outgoing", kinds).written(), source, max_depth).select("id", "depth")
 
 
 # -- files ------------------------------------------------------------------
@@ -290,9 +291,9 @@ def file_dependents(g: Graph, files: DataFrame) -> DataFrame:
 
 def affected_tests(g: Graph, changed: DataFrame, max_depth: int = 5, test_regex: str | None = None) -> DataFrame:
     """Test files that depend on the changed ones; the search does not go past a test."""
-    adj = _stored(file_edges(g).select(
+    adj = cut(file_edges(g).select(
         F.col("depends_on").alias("src"), F.col("file").alias("dst"), F.lit("depends").alias("kind"),
-        F.lit(None).cast("int").alias("line"), F.lit(0).alias("prio")))
+        F.lit(None).cast("int").alias("line"), F.lit(0).alias("prio")), "file-links")
     changed = changed.select(F.col("path").alias("id"))
     paths = union_all([changed, adj.select(F.col("dst").alias("id"))]).distinct()
     tests = paths.filter(is_affected_test("id", test_regex))
