@@ -1,8 +1,8 @@
 """All registered queries with their oracle SQL."""
 
-from . import derived_queries, graph_queries, project_queries, resolve_queries, search_queries, text_queries
+from . import derived_queries, graph_queries, project_queries, resolve_queries, search_queries, stored_queries, text_queries
 
-_MODULES = [graph_queries, search_queries, resolve_queries, derived_queries, text_queries, project_queries]
+_MODULES = [graph_queries, search_queries, resolve_queries, derived_queries, text_queries, project_queries, stored_queries]
 
 
 def queries() -> dict:
