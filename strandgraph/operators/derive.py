@@ -7,7 +7,7 @@ edge. An edge whose support falls to zero is gone, one whose support rises from
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import basename
@@ -19,7 +19,7 @@ EDGE = ["source", "target", "kind", "line"]
 Resolver = Callable[[Graph, DataFrame], DataFrame]
 
 
-def _words(name: str) -> F.Column:
+def _words(name: str) -> Column:
     """Parts of a name or path, lower-cased, each also without its ending."""
     parts = F.split(F.lower(name), r"::|[./()#\\]+")
     return F.array_distinct(F.filter(parts, lambda w: w != ""))
