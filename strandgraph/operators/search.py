@@ -7,8 +7,12 @@ only the row groups around its words; `segments.SegmentedIndex` keeps one in sha
 """
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +25,7 @@ from ..schema import any_kind
 # Full-text columns with their weights, and the BM25 constants.
 COLUMNS = [("id", 0.0), ("name", 20.0), ("qualified_name", 5.0), ("docstring", 1.0), ("signature", 2.0)]
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+_SLICE = 1 << 20  # words grouped at a time
 
 
 def _kept(kinds, languages) -> Column:
@@ -78,6 +83,28 @@ def fts(nodes: DataFrame, text: str, kinds=None, languages=None, ids_only: bool
     return ranked if ids_only else nodes.join(ranked, "id").select(*nodes.columns, "score")
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of rows (id, len, col, own): each word of a row once, with its places, `_SLICE` words at a time."""
+    for batch in batches:
+        ends, start = np.cumsum(pc.list_value_length(batch.column("own")).to_numpy(zero_copy_only=False)), 0
+        while start < len(ends):
+            done = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, done + _SLICE, "right")))
+            part, start = batch.slice(start, stop - start), stop
+            count = pc.list_value_length(part.column("own")).to_numpy(zero_copy_only=False)
+            spelled = pc.list_flatten(part.column("own")).dictionary_encode()
+            codes, row = spelled.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(count)), count)
+            place = np.arange(len(codes)) - np.repeat(np.cumsum(count) - count, count)
+            key = row * max(len(spelled.dictionary), 1) + codes
+            order = np.argsort(key, kind="stable")  # places stay in order
+            first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])[: len(order)])
+            at = pa.array(row[order][first])
+            pos = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(place[order], pa.int32()))
+            term = spelled.dictionary.take(pa.array(codes[order][first]))
+            yield pa.RecordBatch.from_arrays([term, part.column("id").take(at), part.column("col").take(at), part.column("len").take(at), pos],
+                                             ["term", "id", "col", "len", "pos"])
+
+
 @dataclass
 class SearchIndex:
     """Postings (term, id, col, len, pos), where len is the node's token count, and the totals of the corpus.
@@ -97,10 +124,10 @@ class SearchIndex:
 
     @staticmethod
     def sorted_postings(words: DataFrame) -> DataFrame:
-        """Positions are grouped within each row before anything moves, then sorted by term."""
-        flat = words.select("id", "len", F.posexplode("words").alias("col", "own")).select("id", "len", "col", F.posexplode("own").alias("pos", "term"))
-        postings = flat.groupBy("term", "id", "col", "len").agg(F.collect_list("pos").alias("pos"))
-        return postings.repartitionByRange("term", "id").sortWithinPartitions("term")
+        """Positions are grouped within each row before anything moves, then dealt by ranges of (term, id) and sorted."""
+        columns = words.select("id", "len", F.posexplode("words").alias("col", "own")).filter(F.size("own") > 0)
+        return columns.mapInArrow(_grouped, "term string, id string, col int, len long, pos array<int>").repartitionByRange(
+            "term", "id").sortWithinPartitions("term")
 
     @classmethod
     def build(cls, nodes: DataFrame) -> "SearchIndex":

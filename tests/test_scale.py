@@ -1,10 +1,14 @@
 """Steps whose cost must not grow faster than the input: their results, and what their plans shuffle."""
 
 import re
+from unittest.mock import patch
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from strandgraph.operators import synth
+from strandgraph.operators import search, synth
+from strandgraph.operators.search import SearchIndex
+from strandgraph.schema import as_nodes
 
 
 def plan_of(df) -> str:
@@ -23,3 +27,18 @@ def test_pairs_are_opened_behind_all_shuffles(spark):
     assert sorted(tuple(r) for r in pairs.select("owner", "name", "line").collect()) == expected
     plan = plan_of(pairs)
     assert plan.index("Generate explode(filter") < re.search(r"\bExchange", plan).start()
+
+
+def test_postings_are_dealt_once(spark):
+    nodes = as_nodes(spark.createDataFrame([("a", "x", "one two one"), ("b", "y", "two"), ("b", "y", "two one")], "id string, name string, docstring string").selectExpr(
+        "*", "'function' as kind", "'f' as file_path", "'go' as language"))
+    postings = SearchIndex.sorted_postings(SearchIndex.words(nodes))
+    got = {(r.term, r.id, r.len, tuple(r.pos)) for r in postings.filter("col = 3").collect()}
+    assert got == {("one", "a", 6, (0, 2)), ("two", "a", 6, (1,)), ("two", "b", 4, (0,)), ("two", "b", 5, (0,)), ("one", "b", 5, (1,))}
+    plan = plan_of(postings)
+    assert len(re.findall(r"\bExchange", plan)) == 1 and "Aggregate" not in plan
+    for size in (1, 3):  # words are grouped a slice at a time
+        words = pa.RecordBatch.from_pydict({"id": ["a", "b", None], "len": [3, 2, 1], "col": [0, 1, 2], "own": [["x", "y", "x"], ["y", "x"], ["z"]]})
+        with patch.object(search, "_SLICE", size):
+            rows = [tuple(r.values()) for b in search._grouped(iter([words])) for r in b.to_pylist()]
+        assert sorted(rows, key=str) == sorted([("x", "a", 0, 3, [0, 2]), ("y", "a", 0, 3, [1]), ("y", "b", 1, 2, [0]), ("x", "b", 1, 2, [1]), ("z", None, 2, 1, [0])], key=str)
