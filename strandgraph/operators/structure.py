@@ -90,19 +90,51 @@ def node_metrics(g: Graph, with_depth: bool = True) -> DataFrame:
     def one(kind: str) -> Column:
         return (F.col("kind") == kind).cast("long")
 
-    zero = F.lit(0).cast("long")
-    out = g.edges.select(F.col("source").alias("id"), zero.alias("i"), F.lit(1).cast("long").alias("o"),
-                         one("calls").alias("c"), zero.alias("r"), one("contains").alias("k"))
-    inc = g.edges.select(F.col("target").alias("id"), F.lit(1).cast("long").alias("i"), zero.alias("o"),
-                         zero.alias("c"), one("calls").alias("r"), zero.alias("k"))
-    base = g.nodes.select("id", zero.alias("i"), zero.alias("o"), zero.alias("c"), zero.alias("r"), zero.alias("k"))
-    sums = union_all([base, out, inc]).groupBy("id").agg(
+    zero, single = F.lit(0).cast("long"), F.lit(1).cast("long")
+    columns = ["i", "o", "c", "r", "k", "d", "node"]
+
+    def rows(df: DataFrame, **values: Column) -> DataFrame:
+        return df.select("id", *[values.get(c, zero).alias(c) for c in columns])
+
+    parts = [rows(g.nodes.select("id"), node=single),
+             rows(g.edges.select(F.col("source").alias("id"), "kind"), o=single, c=one("calls"), k=one("contains")),
+             rows(g.edges.select(F.col("target").alias("id"), "kind"), i=single, r=one("calls"))]
+    if with_depth:
+        parts.append(rows(containment_depth(g), d=F.col("depth")))
+    sums = union_all(parts).groupBy("id").agg(
         F.sum("i").alias("incoming_edge_count"), F.sum("o").alias("outgoing_edge_count"),
-        F.sum("c").alias("call_count"), F.sum("r").alias("caller_count"), F.sum("k").alias("child_count"))
+        F.sum("c").alias("call_count"), F.sum("r").alias("caller_count"), F.sum("k").alias("child_count"),
+        F.max("d").alias("depth"), F.max("node").alias("_node"))
     if not with_depth:
-        return sums
-    depth = traversal.ancestors(g).groupBy("id").agg(F.max("level").cast("long").alias("depth"))
-    return sums.join(depth, "id", "left").withColumn("depth", F.coalesce("depth", F.lit(0).cast("long")))
+        return sums.drop("depth", "_node")
+    return sums.withColumn("depth", F.when(F.col("_node") == 1, F.col("depth")).otherwise(zero)).drop("_node")
+
+
+def containment_depth(g: Graph) -> DataFrame:
+    """(id, depth) of everything inside something else: the length of its chain of first parents.
+
+    Depths go down from the outermost containers, so a node is written once and not once for each of its
+    ancestors. Only what hangs on a cycle follows its own chain, which stops where it would repeat.
+    """
+    edges = g.edges.filter("kind = 'contains'")
+    parent = edges.groupBy(F.col("target").alias("id")).agg(F.min("source").alias("up"))
+    parent = cut(parent.filter("id != up"), "parent")  # a node that is its own parent is an outermost one
+    top = parent.select(F.col("up").alias("id")).distinct().join(parent.select("id"), "id", "left_anti")
+    level, levels, n = cut(top, "top"), [], 0
+    while True:
+        n += 1
+        level = cut(parent.join(level.select(F.col("id").alias("up")), "up").select("id"), "depth")
+        if level.isEmpty():
+            break
+        levels.append(level.withColumn("depth", F.lit(n).cast("long")))
+    if not levels:
+        levels = [parent.select("id").limit(0).withColumn("depth", F.lit(0).cast("long"))]
+    found = union_all(levels)
+    circling = cut(parent.join(found.select("id"), "id", "left_anti").select("id"), "circling")
+    if circling.isEmpty():
+        return found
+    chains = traversal.ancestors(g, circling).groupBy("id").agg(F.max("level").cast("long").alias("depth"))
+    return found.unionByName(chains)
 
 
 def dead_code(g: Graph, kinds: list[str] | None = None) -> DataFrame:

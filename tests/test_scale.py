@@ -6,9 +6,10 @@ from unittest.mock import patch
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from strandgraph.operators import search, synth
+from strandgraph.graph import Graph
+from strandgraph.operators import search, structure, synth, traversal
 from strandgraph.operators.search import SearchIndex
-from strandgraph.schema import as_nodes
+from strandgraph.schema import as_edges, as_nodes
 
 
 def plan_of(df) -> str:
@@ -42,3 +43,16 @@ def test_postings_are_dealt_once(spark):
         with patch.object(search, "_SLICE", size):
             rows = [tuple(r.values()) for b in search._grouped(iter([words])) for r in b.to_pylist()]
         assert sorted(rows, key=str) == sorted([("x", "a", 0, 3, [0, 2]), ("y", "a", 0, 3, [1]), ("y", "b", 1, 2, [0]), ("x", "b", 1, 2, [1]), ("z", None, 2, 1, [0])], key=str)
+
+
+def test_depth_of_nodes_in_and_below_cycles(spark):
+    pairs = [("r", "n"), ("n", "c"), ("a", "b"), ("b", "a"), ("a", "low"), ("self", "self"), ("self", "kid"), ("gone", "orphan"), ("r", "out")]
+    edges = as_edges(spark.createDataFrame(pairs, "source string, target string").withColumn("kind", F.lit("contains")))
+    ids = spark.createDataFrame([(x,) for x in "r n c a b low self kid orphan lone".split()], "id string")
+    nodes = as_nodes(ids.selectExpr("id", "'class' as kind", "id as name", "'f' as file_path", "'go' as language"))
+    g = Graph(nodes, edges)
+    depth = {r["id"]: r["depth"] for r in structure.node_metrics(g).collect()}
+    assert depth == {"r": 0, "n": 1, "c": 2, "a": 1, "b": 1, "low": 2, "self": 0, "kid": 1, "orphan": 1, "lone": 0, "gone": 0, "out": 0}
+    chains = {r["id"]: r["d"] for r in traversal.ancestors(g).groupBy("id").agg(F.max("level").alias("d")).collect()}
+    assert {k: v for k, v in depth.items() if v} == chains
+    assert "Join" not in plan_of(structure.node_metrics(Graph(nodes, edges.filter("source != 'a' and source != 'b'"))))
