@@ -63,14 +63,17 @@ def line_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     ends[offsets[1:] - 1] = True
     stops = np.flatnonzero(ink & ends) + 1
     hashes = run_hashes(data, starts, stops)
-    digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
+    digits = np.zeros(len(data) + 1, np.int32)  # a slice of texts is far below 2 GB
+    np.cumsum((data >= 48) & (data <= 57), out=digits[1:])
     hashes = np.where(digits[stops] > digits[starts], np.uint64(_WILD), np.maximum(hashes, np.uint64(1)))
     feeds = np.flatnonzero(data == 10) + 1
-    line = np.searchsorted(feeds, starts, "right")  # over all texts; a text's first line has the number of feeds before it
-    text = np.searchsorted(offsets, starts, "right") - 1
-    first = np.flatnonzero(np.append(True, (line[1:] != line[:-1]) | (text[1:] != text[:-1]))[: len(starts)])
-    number = line[first] - np.searchsorted(feeds, offsets[:-1], "right")[text[first]]
-    return text[first], number, first, hashes
+    # The first token behind a border of lines or texts; borders are fewer than tokens, so they look for them.
+    first = np.unique(np.searchsorted(starts, np.concatenate([offsets[:-1], feeds])))
+    first = first[first < len(starts)]
+    line = np.searchsorted(feeds, starts[first], "right")  # over all texts; a text's first line has the number of feeds before it
+    text = np.searchsorted(offsets, starts[first], "right") - 1
+    number = line - np.searchsorted(feeds, offsets[:-1], "right")[text]
+    return text, number, first, hashes
 
 
 def _keys(first: np.ndarray, hashes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from strandgraph.graph import Graph
+from strandgraph.llm.log_templates import line_tokens
 from strandgraph.operators import search, structure, synth, traversal
 from strandgraph.operators.search import SearchIndex
 from strandgraph.schema import as_edges, as_nodes
@@ -56,3 +57,16 @@ def test_depth_of_nodes_in_and_below_cycles(spark):
     chains = {r["id"]: r["d"] for r in traversal.ancestors(g).groupBy("id").agg(F.max("level").alias("d")).collect()}
     assert {k: v for k, v in depth.items() if v} == chains
     assert "Join" not in plan_of(structure.node_metrics(Graph(nodes, edges.filter("source != 'a' and source != 'b'"))))
+
+
+def test_lines_and_their_first_tokens():
+    texts = ["a b\n\n c1 \n", None, "", "\n\nx", " \t\n ", "y\nz z", "a b"]
+    text, number, first, hashes = line_tokens(pa.array(texts))
+    want, tokens = [], 0
+    for i, t in enumerate(texts):
+        for n, line in enumerate((t or "").split("\n")):
+            if line.split():
+                want.append((i, n, tokens))
+                tokens += len(line.split())
+    assert list(zip(text.tolist(), number.tolist(), first.tolist())) == want and len(hashes) == tokens
+    assert hashes[2] == 0 and hashes[0] == hashes[-2] and (hashes[[0, 1, 3]] != 0).all()
