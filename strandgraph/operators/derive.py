@@ -56,7 +56,11 @@ def affected(refs: DataFrame, paths: DataFrame, words: DataFrame) -> DataFrame:
     return inside.unionByName(outside.join(met, "reference_name", "left_semi"))
 
 
-def supports(g: Graph, refs: DataFrame, resolver: Resolver = resolve.resolve) -> DataFrame:
+def _whole(g: Graph, refs: DataFrame) -> DataFrame:
+    return resolve.resolve(g, refs, keep=resolve.EDGE_OF)
+
+
+def supports(g: Graph, refs: DataFrame, resolver: Resolver = _whole) -> DataFrame:
     """(source, target, kind, line, n): edges with the number of references that give them."""
     refs = cut(refs, "refs")
     edges = resolve.edges_from(g, refs, resolver(g, refs))
@@ -72,7 +76,7 @@ def structure(g: Graph, paths: DataFrame | None = None) -> DataFrame:
     return edges.groupBy(*EDGE).agg(F.count("*").alias("n"))
 
 
-def change(old: Graph, new: Graph, paths: DataFrame, resolver: Resolver = resolve.resolve) -> DataFrame:
+def change(old: Graph, new: Graph, paths: DataFrame, resolver: Resolver = _whole) -> DataFrame:
     """Signed supports between two states that differ in the files `paths`: (source, target, kind, line, n), n not 0.
 
     Both graphs hold nodes, references and the edges that extraction itself gives; resolved ones are derived here.

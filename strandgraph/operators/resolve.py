@@ -2,7 +2,7 @@
 
 References carry (ref_id, from_node_id, reference_name, reference_kind, line, file_path,
 language). A strategy returns (ref_id, target, confidence, resolved_by), at most one row per
-reference.
+reference; with `keep` it brings further columns of the reference along, which saves a join by ref_id.
 
 A frequent name may have millions of references and millions of definitions, so no strategy
 pairs the two. References shrink to the distinct values a decision depends on, definitions
@@ -10,6 +10,8 @@ shrink to one row per (name, directory prefix, language, kind, exported); both m
 Where the rules say "first match", the smallest node id wins.
 """
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +21,10 @@ from ..graph import Graph
 from ..lineage import cut, union_all
 
 OUT = ["ref_id", "target", "confidence", "resolved_by"]
+EDGE_OF = ["from_node_id", "reference_kind", "line", "col"]  # what an edge takes from its reference
 TYPE_KINDS = ["class", "struct", "interface"]
 CALLABLE = ["function", "method"]
+CLASS = ["reference_name", "reference_kind", "language", "file_path"]  # what decides a reference by name besides its line
 NEAR = 200  # lines beyond which two positions in one file are equally far
 
 
@@ -31,9 +35,9 @@ def with_ref_id(refs: DataFrame) -> DataFrame:
         F.coalesce("line", F.lit(0)).cast("string"), F.coalesce("col", F.lit(0)).cast("string")))
 
 
-def _answer(df: DataFrame, confidence: Column | float, by: str) -> DataFrame:
+def _answer(df: DataFrame, confidence: Column | float, by: str, keep: Sequence[str] = ()) -> DataFrame:
     conf = F.lit(float(confidence)) if isinstance(confidence, (int, float)) else confidence
-    return df.select("ref_id", "target", conf.cast("double").alias("confidence"), F.lit(by).alias("resolved_by"))
+    return df.select("ref_id", "target", conf.cast("double").alias("confidence"), F.lit(by).alias("resolved_by"), *keep)
 
 
 def _kind_bias(ref_kind: Column, kind: Column) -> Column:
@@ -45,8 +49,8 @@ def _kind_bias(ref_kind: Column, kind: Column) -> Column:
     )
 
 
-def _static_score(ref_kind: Column, ref_lang: Column, prefix: str = "") -> Column:
-    lang, kind, exported = (F.col(f"{prefix}{c}") for c in ("cand_lang", "cand_kind", "exported"))
+def _static_score(ref_kind: Column, ref_lang: Column, cand: Column | None = None) -> Column:
+    lang, kind, exported = (F.col(c) if cand is None else cand[c] for c in ("cand_lang", "cand_kind", "exported"))
     return (F.when(lang == ref_lang, 50).otherwise(-80) + _kind_bias(ref_kind, kind)
             + F.when(exported, 10).otherwise(0))
 
@@ -69,57 +73,78 @@ def _named(nodes: DataFrame, refs: DataFrame, ref_col: str = "reference_name") -
     ).join(wanted, "name", "left_semi")
 
 
-def exact_name(nodes: DataFrame, refs: DataFrame) -> DataFrame:
-    """By exact name: a sole candidate, else the best by file, directory, language, kind, export."""
-    cand = _named(nodes, refs)
+def _by_class(cand: DataFrame, classes: DataFrame) -> DataFrame:
+    """What the class of a reference settles without its line: number of candidates, best one, best one in the own file."""
     groups = cut(prefix_groups(cand, ["name", "cand_lang", "cand_kind", "exported"]), "groups")
-    cls_cols = ["reference_name", "reference_kind", "language", "file_path"]
-    classes = refs.select(*cls_cols).distinct()
-    levels = classes.select(*cls_cols, F.explode(dir_prefixes("file_path")).alias("d")).select(
-        *cls_cols, F.col("reference_name").alias("name"), "d.level", "d.prefix")
-    met = levels.join(groups, ["name", "level", "prefix"]).filter(
-        gate(F.col("reference_kind"), F.col("cand_lang"), F.col("language")))
+    levels = classes.select(*CLASS, F.explode(dir_prefixes("file_path")).alias("d")).select(
+        *CLASS, F.col("reference_name").alias("name"), "d.level", "d.prefix")
+    open_gate = gate(F.col("reference_kind"), F.col("cand_lang"), F.col("language"))
+    met = levels.join(groups, ["name", "level", "prefix"]).filter(open_gate)
     proximity = F.least(F.col("level") * 15, F.lit(80))
     score = (proximity + _static_score(F.col("reference_kind"), F.col("language"))).cast("double")
     # Level 0 holds every candidate, so its counts tell how many there are in all.
-    best = met.groupBy(*cls_cols).agg(
+    best = met.groupBy(*CLASS).agg(
         F.sum(F.when(F.col("level") == 0, F.col("n")).otherwise(0)).alias("n"),
         F.min(F.struct((-score).alias("neg"), F.col("first").alias("target"), proximity.alias("near"),
                        F.col("cand_lang"))).alias("best"))
-    out = refs.join(cut(best, "best"), cls_cols)
-
-    # Definitions in the same file also score by distance in lines.
-    local = cand.join(refs.select(F.col("reference_name").alias("name"), "file_path").distinct(),
-                      ["name", "file_path"], "left_semi")
-    key = ["name", "file_path", "cand_lang", "cand_kind", "exported"]
-    everywhere = local.groupBy(*key).agg(F.min("id").alias("target")).withColumn("closeness", F.lit(0.0))
-    by_line = local.groupBy(*key, "cand_line").agg(F.min("id").alias("target")).withColumn(
-        "bin", F.floor(F.col("cand_line") / NEAR))
-    at = refs.select(*cls_cols, "line").distinct().withColumn("name", F.col("reference_name"))
-    # Bins as wide as the reach: only the own bin and its neighbours can hold a close line.
-    around = at.withColumn("bin", F.explode(F.array(*[F.floor(F.col("line") / NEAR) + d for d in (-1, 0, 1)])))
-    near = around.join(by_line.filter("cand_line > 0"), ["name", "file_path", "bin"]).withColumn(
-        "closeness", F.greatest(F.lit(0.0), 20 - F.abs(F.col("cand_line") - F.col("line")) / 10))
-    far = at.join(everywhere, ["name", "file_path"])
-    cols = [*cls_cols, "line", "cand_lang", "cand_kind", "exported", "target", "closeness"]
-    both = near.select(*cols).unionByName(far.select(*cols)).filter(
-        gate(F.col("reference_kind"), F.col("cand_lang"), F.col("language")))
+    everywhere = cand.groupBy("name", "file_path", "cand_lang", "cand_kind", "exported").agg(F.min("id").alias("target"))
+    far = classes.withColumn("name", F.col("reference_name")).join(everywhere, ["name", "file_path"]).filter(open_gate)
+    far = far.groupBy(*CLASS).agg(F.min(_here(F.lit(0.0))).alias("far"))
+    return best.join(far, CLASS, "left")
+
+
+def _here(closeness: Column, cand: Column | None = None) -> Column:
+    """A candidate in the reference's own file, in the order the best one comes first."""
     depth = F.least(F.size(dir_parts("file_path")) * 15, F.lit(80))
-    local_score = 100 + depth + F.col("closeness") + _static_score(F.col("reference_kind"), F.col("language"))
-    local_best = both.groupBy(*cls_cols, "line").agg(
-        F.min(F.struct((-local_score).cast("double").alias("neg"), F.col("target"), depth.alias("near"),
-                       F.col("cand_lang"))).alias("here"))
-    out = out.join(cut(local_best, "local"), [*cls_cols, "line"], "left")
-    best = F.least("best", F.coalesce("here", "best"))
-    out = out.withColumn("win", best).filter((F.col("n") == 1) | (F.col("win.neg") < 1))
+    score = 100 + depth + closeness + _static_score(F.col("reference_kind"), F.col("language"), cand)
+    target, lang = (F.col(c) if cand is None else cand[c] for c in ("target", "cand_lang"))
+    return F.struct((-score).cast("double").alias("neg"), target.alias("target"), depth.alias("near"), lang.alias("cand_lang"))
+
+
+def _exact(nodes: DataFrame, refs: DataFrame) -> DataFrame:
+    """Stored references with the number of their candidates `n`, the `best` by class and the winner `win`, null without any."""
+    classes = cut(refs.select(*CLASS).distinct(), "classes")
+    cand = _named(nodes, classes)
+    out = refs.join(cut(_by_class(cand, classes), "best"), CLASS, "left")
+
+    # Definitions in the same file also score by distance in lines. They lie in bins as wide as the reach and in
+    # both neighbours, so a reference looks into its own bin only, which holds few of them.
+    local = cand.filter("cand_line > 0").join(
+        classes.select(F.col("reference_name").alias("name"), "file_path").distinct(), ["name", "file_path"], "left_semi")
+    by_line = local.groupBy("name", "file_path", "cand_lang", "cand_kind", "exported", "cand_line").agg(F.min("id").alias("target"))
+    around = by_line.withColumn("bin", F.explode(F.array(*[F.floor(F.col("cand_line") / NEAR) + d for d in (-1, 0, 1)]))).groupBy(
+        F.col("name").alias("reference_name"), "file_path", "bin").agg(
+        F.collect_list(F.struct("cand_line", "cand_lang", "cand_kind", "exported", "target")).alias("around"))
+    out = out.withColumn("bin", F.floor(F.col("line") / NEAR)).join(around, ["reference_name", "file_path", "bin"], "left")
+
+    def apart(c: Column) -> Column:
+        return F.abs(c["cand_line"] - F.col("line"))
+
+    close = F.filter("around", lambda c: (apart(c) < NEAR) & gate(F.col("reference_kind"), c["cand_lang"], F.col("language")))
+    near = F.array_min(F.transform(close, lambda c: _here(F.greatest(F.lit(0.0), 20 - apart(c) / 10), c)))
+    far = F.when(F.col("line").isNotNull(), F.col("far"))
+    return out.withColumn("win", F.least("best", far, near)).drop("bin", "around", "far")
+
+
+def exact_name(nodes: DataFrame, refs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """By exact name: a sole candidate, else the best by file, directory, language, kind, export."""
+    return _exact_answers(_exact(nodes, refs), keep)
+
+
+def _answered() -> Column:
+    return F.coalesce((F.col("n") == 1) | (F.col("win.neg") < 1), F.lit(False))
+
+
+def _exact_answers(scored: DataFrame, keep: Sequence[str]) -> DataFrame:
     confidence = F.when(
         F.col("n") == 1, F.when(F.col("best.cand_lang") == F.col("language"), 0.9).otherwise(0.5)
     ).when(F.col("win.near") >= 30, 0.7).otherwise(0.4)
-    return _answer(out.withColumn("target", F.col("win.target")), confidence, "exact-match")
+    out = scored.filter(_answered()).withColumn("target", F.col("win.target"))
+    return _answer(out, confidence, "exact-match", keep)
 
 
-def qualified_name(nodes: DataFrame, refs: DataFrame) -> DataFrame:
-    """By qualified name: a sole exact match, else the first whose qualified name ends with it."""
+def _qualified(nodes: DataFrame, refs: DataFrame) -> DataFrame:
+    """(reference_name, target, c) for every qualified name some reference uses."""
     refs = refs.filter(F.col("reference_name").contains("::") | F.col("reference_name").contains("."))
     wanted = refs.select("reference_name").distinct()
     exact = nodes.groupBy(F.col("qualified_name").alias("reference_name")).agg(
@@ -129,13 +154,17 @@ def qualified_name(nodes: DataFrame, refs: DataFrame) -> DataFrame:
     suffix = nodes.select("id", F.explode(F.transform(
         F.sequence(F.lit(1), F.size(segments)), lambda i: F.array_join(F.slice(segments, i, F.size(segments)), "::"),
     )).alias("reference_name")).groupBy("reference_name").agg(F.min("id").alias("first"))
-    found = wanted.join(exact, "reference_name", "left").join(suffix, "reference_name", "left").select(
+    return wanted.join(exact, "reference_name", "left").join(suffix, "reference_name", "left").select(
         "reference_name", F.when(F.col("n") == 1, F.col("one")).otherwise(F.col("first")).alias("target"),
         F.when(F.col("n") == 1, 0.95).otherwise(0.85).alias("c")).filter("target is not null")
-    return _answer(refs.join(found, "reference_name"), F.col("c"), "qualified-name")
 
 
-def file_path(nodes: DataFrame, refs: DataFrame) -> DataFrame:
+def qualified_name(nodes: DataFrame, refs: DataFrame) -> DataFrame:
+    """By qualified name: a sole exact match, else the first whose qualified name ends with it."""
+    return _answer(refs.join(_qualified(nodes, refs), "reference_name"), F.col("c"), "qualified-name")
+
+
+def file_path(nodes: DataFrame, refs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Path-like names against file nodes: exact, then closest by suffix, then sole base name."""
     refs = refs.filter(F.col("reference_name").contains("/")
                        | F.col("reference_name").rlike(r"\.[A-Za-z][A-Za-z0-9]{0,3}$"))
@@ -167,10 +196,10 @@ def file_path(nodes: DataFrame, refs: DataFrame) -> DataFrame:
         .withColumn("target", F.coalesce("exact", "closest", "sole")).filter("target is not null")
     )
     confidence = F.when(F.col("exact").isNotNull(), 0.95).when(F.col("closest").isNotNull(), 0.85).otherwise(0.7)
-    return _answer(out, confidence, "file-path")
+    return _answer(out, confidence, "file-path", keep)
 
 
-def fuzzy(nodes: DataFrame, refs: DataFrame) -> DataFrame:
+def fuzzy(nodes: DataFrame, refs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Case-folded name of a sole callable, in the own language if that has any."""
     cand = nodes.filter(F.col("kind").isin("function", "method", "class")).groupBy(
         F.lower("name").alias("lower"), F.col("language").alias("cand_lang")).agg(
@@ -185,7 +214,7 @@ def fuzzy(nodes: DataFrame, refs: DataFrame) -> DataFrame:
         F.sum("n").alias("all_n"), F.min("one").alias("one"))
     found = found.filter("own_n = 1 or (own_n = 0 and all_n = 1)").select(
         *cls, F.coalesce("own", "one").alias("target"), F.when(F.col("own_n") == 1, 0.5).otherwise(0.3).alias("c"))
-    return _answer(refs.join(found, cls), F.col("c"), "fuzzy")
+    return _answer(refs.join(found, cls), F.col("c"), "fuzzy", keep)
 
 
 # -- methods --------------------------------------------------------------------
@@ -196,11 +225,11 @@ def _camel_words(col: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) > 1), F.lower)))
 
 
-def method_call(nodes: DataFrame, refs: DataFrame) -> DataFrame:
+def method_call(nodes: DataFrame, refs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """`receiver.method` and `Type::method`: by class name, capitalised receiver, sole method, shared words."""
     pattern = r"^([\w.]+)\.(\w+:?(?:\w+:)*)$|^(\w+)::(\w+)$"
     parsed = refs.filter(F.col("reference_name").rlike(pattern)).select(
-        "*", F.coalesce(F.nullif(F.regexp_extract("reference_name", pattern, 1), F.lit("")),
+        *dict.fromkeys(["ref_id", "language", *keep]), F.coalesce(F.nullif(F.regexp_extract("reference_name", pattern, 1), F.lit("")),
                         F.regexp_extract("reference_name", pattern, 3)).alias("receiver"),
         F.coalesce(F.nullif(F.regexp_extract("reference_name", pattern, 2), F.lit("")),
                    F.regexp_extract("reference_name", pattern, 4)).alias("method"))
@@ -252,7 +281,7 @@ def method_call(nodes: DataFrame, refs: DataFrame) -> DataFrame:
     stage = F.col("stage")
     confidence = F.when(stage == 1, 0.85).when(stage == 2, 0.8).when(stage == 3, 0.7).otherwise(0.65)
     by = F.when(stage == 1, "qualified-name").otherwise("instance-method")
-    return out.select("ref_id", "target", confidence.alias("confidence"), by.alias("resolved_by"))
+    return out.select("ref_id", "target", confidence.alias("confidence"), by.alias("resolved_by"), *keep)
 
 
 def supertypes(g: Graph) -> DataFrame:
@@ -422,40 +451,69 @@ def best_of(*answers: DataFrame) -> DataFrame:
         "ref_id", "b.target", (-F.col("b.neg")).alias("confidence"), "b.resolved_by")
 
 
-def by_name(g: Graph, refs: DataFrame) -> DataFrame:
-    """File path, qualified name, call chain, method call, exact name, fuzzy; the first that answers.
+def with_columns_of(answers: DataFrame, refs: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Answers with further columns of their references."""
+    return answers.join(refs.select("ref_id", *keep), "ref_id").select(*answers.columns, *keep) if keep else answers
+
+
+def by_name(g: Graph, refs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """File path, qualified name, call chain, method call, exact name, fuzzy; the first that answers."""
+    return _by_name(g, cut(refs.filter("reference_kind != 'function_ref'"), "refs"), keep)
+
 
-    Each stage sees only what earlier ones left over.
+def _by_name(g: Graph, left: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Each stage sees only what earlier ones left over of the stored references `left`.
+
+    Names settled by the qualified name and references scored by the exact one leave by what settled them;
+    only the rare answers of the other stages are taken out by ref_id.
     """
-    left, answers = cut(refs.filter("reference_kind != 'function_ref'"), "refs"), []
-    stages = [lambda r: file_path(g.nodes, r), lambda r: qualified_name(g.nodes, r), lambda r: call_chain(g, r),
-              lambda r: method_call(g.nodes, r), lambda r: exact_name(g.nodes, r), lambda r: fuzzy(g.nodes, r)]
-    for stage in stages:
-        answer = cut(stage(left), "answer")
-        answers.append(answer)
-        left = left.join(answer, "ref_id", "left_anti")
-        if len(answers) % 3 == 0:
-            left = cut(left, "refs")
-    return union_all(answers)
-
-
-def resolve(g: Graph, refs: DataFrame, via_import: DataFrame | None = None) -> DataFrame:
+    def rest(left: DataFrame, answer: DataFrame) -> DataFrame:
+        return left.join(answer.select("ref_id"), "ref_id", "left_anti")
+
+    paths = cut(file_path(g.nodes, left, keep), "answer")
+    left = rest(left, paths)
+    names = cut(_qualified(g.nodes, left), "qualified")
+    qualified = _answer(left.join(names, "reference_name"), F.col("c"), "qualified-name", keep)
+    left = left.join(names.select("reference_name"), "reference_name", "left_anti")
+    chains = cut(call_chain(g, left), "answer")
+    chains = with_columns_of(chains, left, keep)
+    left = rest(left, chains)
+    methods = cut(method_call(g.nodes, left, keep), "answer")
+    left = rest(left, methods)
+    columns = list(dict.fromkeys([*CLASS, "ref_id", *keep]))
+    scored = cut(_exact(g.nodes, left).select(*columns, "n", "best", "win"), "scored")
+    unsure = scored.filter(~_answered()).select(*columns)
+    return union_all([paths, qualified, chains, methods, _exact_answers(scored, keep), fuzzy(g.nodes, unsure, keep)])
+
+
+def resolve(g: Graph, refs: DataFrame, via_import: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Resolve all references: function values apart, imports at 0.9 first, then the best answer."""
     refs = cut(existing(g.nodes, refs), "refs")
-    values = union_all([function_value(g.nodes, refs), this_member(g, refs)])
+    functions = refs.filter("reference_kind = 'function_ref'")
+    values = with_columns_of(union_all([function_value(g.nodes, refs), this_member(g, refs)]), functions, keep)
     rest = refs.filter("reference_kind != 'function_ref'")
     if via_import is None:
-        return union_all([values, by_name(g, rest)])
-    strong = via_import.filter("confidence >= 0.9")
+        return union_all([values, _by_name(g, rest, keep)])
+    strong = via_import.filter("confidence >= 0.9").select(*OUT)
     named = by_name(g, rest.join(strong, "ref_id", "left_anti"))
-    return union_all([values, strong, best_of(via_import.filter("confidence < 0.9"), named)])
+    best = union_all([strong, best_of(via_import.filter("confidence < 0.9"), named)])
+    return union_all([values, with_columns_of(best, refs, keep)])
 
 
 def edges_from(g: Graph, refs: DataFrame, answers: DataFrame) -> DataFrame:
-    """Edges of resolved references with the promotions their ends imply."""
+    """Edges of resolved references with the promotions their ends imply.
+
+    Answers that carry the columns `EDGE_OF` are not joined with their references again.
+    """
     target = g.nodes.select(F.col("id").alias("target"), F.col("kind").alias("target_kind"))
-    source = g.nodes.select(F.col("id").alias("from_node_id"), F.col("kind").alias("source_kind"))
-    rows = refs.join(answers, "ref_id").join(target, "target").join(source, "from_node_id", "left")
+    rows = answers if set(EDGE_OF) <= set(answers.columns) else refs.join(answers, "ref_id")
+    rows = rows.join(target, "target")
+    # Only inheritance depends on the kind of its source.
+    if refs.filter("reference_kind = 'extends'").isEmpty():
+        rows = rows.withColumn("source_kind", F.lit(None).cast("string"))
+    else:
+        source = g.nodes.select(F.col("id").alias("from_node_id"), F.col("kind").alias("source_kind"))
+        rows = rows.join(source, "from_node_id", "left")
     contract = ["interface", "protocol"]
     kind = (
         F.when(F.col("reference_kind") == "function_ref", "references")

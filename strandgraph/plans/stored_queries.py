@@ -84,7 +84,7 @@ def _with_files(nodes, refs) -> Graph:
 
 
 def _exact(g: Graph, refs):
-    return resolve.exact_name(g.nodes, refs)
+    return resolve.exact_name(g.nodes, refs, resolve.EDGE_OF)
 
 
 def _synced(spark, sf) -> SupportLog:

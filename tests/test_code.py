@@ -235,3 +235,27 @@ def test_call_chains_give_way_to_longer_ones_only(spark):
     found = ["".join(r.path) for r in context.call_paths(ctx, keep=10).collect()]
     assert found == ["abcde", "pqr", "aqr", "xyz"] or sorted(found) == ["abcde", "aqr", "pqr", "xyz"]
     assert ["".join(r.path) for r in context.call_paths(ctx, keep=1).collect()][0] in ("abcde", "aqr", "pqr")
+
+
+def test_answers_carry_columns_of_their_references(spark):
+    """Ten lines apart counts more than a smaller id, equal distances go to the smaller id, beyond the reach the smallest wins."""
+    defs = [("f:a", "run", 100), ("f:b", "run", 120), ("f:c", "run", 900), ("f:d", "other::run", 901)]
+    nodes = as_nodes(spark.createDataFrame(
+        [(i, "function", "run" if n == "run" else "go", n, "src/a.ts", "typescript", at) for i, n, at in defs],
+        "id string, kind string, name string, qualified_name string, file_path string, language string, start_line int"))
+    lines = [("x", 119), ("y", 110), ("z", 895), ("far", 5000), ("edge", 399), ("none", None)]
+    refs = resolve.with_ref_id(as_refs(spark.createDataFrame(
+        [(i, "run", "calls", n, "src/a.ts", "typescript") for i, n in lines],
+        "from_node_id string, reference_name string, reference_kind string, line int, file_path string, language string")))
+    got = resolve.exact_name(nodes, refs, ["from_node_id", "line"])
+    want = {("x", 119): "f:b", ("y", 110): "f:a", ("z", 895): "f:c", ("far", 5000): "f:a", ("edge", 399): "f:a", ("none", None): "f:a"}
+    assert {(r["from_node_id"], r["line"]): r["target"] for r in got.collect()} == want
+    whole = resolve.resolve(Graph(nodes, as_edges(spark.createDataFrame([], "source string, target string, kind string"))), refs, keep=resolve.EDGE_OF)
+    assert {r["from_node_id"]: r["target"] for r in whole.collect()} == {k[0]: v for k, v in want.items()}
+    g = Graph(nodes, None)
+    bare = resolve.edges_from(g, refs, whole.select(*resolve.OUT))
+    carried = resolve.edges_from(g, refs, whole)
+    assert sorted(map(str, bare.collect())) == sorted(map(str, carried.collect()))
+    # Answers that carry their references' columns are not joined with them again.
+    plan = carried._jdf.queryExecution().analyzed().toString()
+    assert "ref_id" not in "".join(x for x in plan.split("\n") if "Join" in x)
