@@ -20,55 +20,54 @@ def relevance(g: Graph, seeds: DataFrame, rounds: int = 25, alpha: float = 0.25,
               rows_per_salt: int = _ROWS_PER_SALT) -> DataFrame:
     """Personalised PageRank over the undirected multigraph: (id, score) for every node.
 
-    The walk table is stored partitioned by (src, salt) once, so a round shuffles only the
-    scores. Nodes with very many neighbours are cut into salts, which keeps the partitions
-    even; their score row is repeated once per salt. Only nodes that hold mass travel.
+    Nodes are numbered. The walk table is kept dealt out and sorted by (src, salt) once, so a round moves only the
+    scores and sorts nothing but them. Nodes with very many neighbours are cut into salts, which keeps the
+    partitions even; their score row is repeated once per salt. Only nodes that hold mass travel.
     """
     spark = g.nodes.sparkSession
-    nodes = cut(g.nodes.select("id").distinct(), "walk-nodes")
-    edges = g.edges.filter(F.col("kind").isin(WALK_KINDS) & (F.col("source") != F.col("target")))
-    counted = edges.groupBy("source", "target").agg(F.count("*").alias("w"))
-    both = counted.select(F.col("source").alias("src"), F.col("target").alias("dst"), "w").unionByName(
-        counted.select(F.col("target").alias("src"), F.col("source").alias("dst"), "w"))
-    both = both.join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(
-        nodes.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    both = cut(both.groupBy("src", "dst").agg(F.sum("w").alias("w")), "walk")
+    nodes = cut(g.nodes.select("id").distinct().withColumn("no", F.monotonically_increasing_id()), "walk-nodes")
+    edges = g.edges.filter(F.col("kind").isin(WALK_KINDS) & (F.col("source") != F.col("target"))).select("source", "target")
+    ends = edges.join(nodes.select(F.col("id").alias("source"), F.col("no").alias("a")), "source").join(
+        nodes.select(F.col("id").alias("target"), F.col("no").alias("b")), "target")
+    both = ends.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")),
+                                         F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e")).select("e.*")
+    both = cut(both.groupBy("src", "dst").agg(F.count("*").alias("w")), "walk")
     degree = both.groupBy("src").agg(F.sum("w").alias("degree"), F.count("*").alias("rows"))
     degree = cut(degree.select(
         "src", "degree", F.ceil(F.col("rows") / rows_per_salt).cast("int").alias("salts")), "degree")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hubs = degree.filter("salts > 1").select(F.col("src").alias("no"), "salts")
+    any_hub = not hubs.isEmpty()
+    key = ["src", "salt"] if any_hub else ["src"]  # without hubs a round's scores already lie where the next one wants them
     walk = both.join(degree, "src").select(
         "src", F.pmod(F.xxhash64("dst"), F.col("salts")).cast("int").alias("salt"), "dst",
         (F.col("w") / F.col("degree")).alias("share"),
-    ).repartition(parts, "src", "salt").persist(StorageLevel.MEMORY_AND_DISK)
-    hubs = degree.filter("salts > 1").select(F.col("src").alias("id"), "salts")
-    any_hub = not hubs.isEmpty()
+    ).select(*key, "dst", "share").repartition(parts, *key).sortWithinPartitions(*key).persist(StorageLevel.MEMORY_AND_DISK)
 
-    start = cut(seeds.select("id").distinct().join(nodes, "id", "left_semi"), "restart")
+    start = cut(nodes.join(seeds.select("id").distinct(), "id", "left_semi").select("no"), "restart")
     count = start.count()
     if count == 0:
-        start, count = nodes, nodes.count()
+        start, count = nodes.select("no"), nodes.count()
     start = start.withColumn("r", F.lit(1.0 / max(count, 1)))
-    has_edges = degree.select(F.col("src").alias("id"))
-    isolated = start.join(has_edges, "id", "left_anti")  # keeps its mass in every round
-    restart = cut(start.join(has_edges, "id", "left_semi"), "restart")
-    score = restart.select("id", F.col("r").alias("s"))
+    has_edges = degree.select(F.col("src").alias("no"))
+    isolated = start.join(has_edges, "no", "left_anti")  # keeps its mass in every round
+    restart = cut(start.join(has_edges, "no", "left_semi"), "restart")
+    score = restart.select("no", F.col("r").alias("s"))
     for n in range(1, rounds + 1):
+        out = score.select(F.col("no").alias("src"), "s")
         if any_hub:
-            out = score.join(hubs, "id", "left").select(
-                F.col("id").alias("src"), "s",
+            out = score.join(hubs, "no", "left").select(
+                F.col("no").alias("src"), "s",
                 F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
-        else:
-            out = score.select(F.col("id").alias("src"), "s", F.lit(0).alias("salt"))
-        moved = walk.join(out, ["src", "salt"]).select(
-            F.col("dst").alias("id"), ((1 - alpha) * F.col("s") * F.col("share")).alias("s"))
-        back = restart.select("id", (alpha * F.col("r")).alias("s"))
-        score = moved.unionByName(back).groupBy("id").agg(F.sum("s").alias("s"))
+        moved = walk.join(out, key).select(
+            F.col("dst").alias("no"), ((1 - alpha) * F.col("s") * F.col("share")).alias("s"))
+        back = restart.select("no", (alpha * F.col("r")).alias("s"))
+        score = moved.unionByName(back).groupBy("no").agg(F.sum("s").alias("s"))
         if n % 5 == 0:
             score = cut(score, "score")
-    score = cut(score.unionByName(isolated.select("id", F.col("r").alias("s"))), "score")
+    score = cut(score.unionByName(isolated.select("no", F.col("r").alias("s"))), "score")
     walk.unpersist()
-    return nodes.join(score, "id", "left").select("id", F.coalesce("s", F.lit(0.0)).alias("score"))
+    return nodes.join(score, "no", "left").select("id", F.coalesce("s", F.lit(0.0)).alias("score"))
 
 
 def recover_edges(g: Graph, ids: DataFrame) -> DataFrame:
