@@ -4,13 +4,15 @@ Uses meet declarations by (scope, name) only; within such a group an as-of windo
 one, so that a name declared and used often is never paired.
 """
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..lineage import cut, union_all
 from .ordered import as_of, enclosing
-from .resolve import OUT, method_on_type
+from .resolve import method_on_type
 from .traversal import ancestors
 
 TYPED_LANGUAGES = ["cpp", "java", "kotlin"]
@@ -90,14 +92,21 @@ def visible_types(uses: DataFrame, declared: DataFrame, chains: DataFrame) -> Da
     return seen.groupBy("use_id").agg(F.min_by("type_name", F.struct("level", "type_name")).alias("type_name"))
 
 
-def typed_receiver(g: Graph, refs: DataFrame, declared: DataFrame, chains: DataFrame | None = None) -> DataFrame:
-    """`receiver.method` by the declared type of the receiver, on that type or its nearest supertype, at 0.9."""
+def typed_receiver(g: Graph, refs: DataFrame, declared: DataFrame, chains: DataFrame | None = None,
+                   keep: Sequence[str] = ()) -> DataFrame:
+    """`receiver.method` by the declared type of the receiver, on that type or its nearest supertype, at 0.9.
+
+    Uses travel under a number; `keep` names further columns of the reference for the answer.
+    """
     pattern = r"^(?:this\.)?([A-Za-z_$][\w$]*)\.([A-Za-z_$][\w$]*)$"
     calls = refs.filter(F.col("reference_name").rlike(pattern)).select(
-        F.col("ref_id").alias("use_id"), F.col("from_node_id").alias("scope"), "line", "language",
-        F.regexp_extract("reference_name", pattern, 1).alias("name"), F.regexp_extract("reference_name", pattern, 2).alias("method"))
+        F.monotonically_increasing_id().alias("use_id"), F.col("from_node_id").alias("scope"), F.col("line").alias("at_line"),
+        F.col("language").alias("lang"), F.regexp_extract("reference_name", pattern, 1).alias("name"),
+        F.regexp_extract("reference_name", pattern, 2).alias("method"), F.struct("ref_id", *keep).alias("ref"))
     calls = cut(calls, "typed-calls")
-    types = visible_types(calls, declared, scope_chains(g) if chains is None else chains)
-    typed = cut(calls.join(types, "use_id").select(F.col("use_id").alias("ref_id"), "type_name", "method", "language"), "typed")
+    uses = calls.select("use_id", "scope", F.col("at_line").alias("line"), "name")
+    types = visible_types(uses, declared, scope_chains(g) if chains is None else chains)
+    typed = cut(calls.join(types, "use_id").select("ref", "type_name", "method", F.col("lang").alias("language")), "typed")
     hit = typed.join(method_on_type(g, typed), ["type_name", "method", "language"])
-    return hit.select("ref_id", "target", F.lit(0.9).alias("confidence"), F.lit("instance-method").alias("resolved_by")).select(*OUT)
+    return hit.select("ref.ref_id", "target", F.lit(0.9).alias("confidence"), F.lit("instance-method").alias("resolved_by"),
+                      *[f"ref.{c}" for c in keep])

@@ -73,14 +73,14 @@ def _(spark, sf):
     refs = items.filter("l_returnflag != 'R'").selectExpr(
         "concat('order:', o_orderkey) as from_node_id", "concat('v', l_partkey % 5, '.m', cast(l_quantity as bigint) % 20) as reference_name",
         "'calls' as reference_kind", f"{base} + l_linenumber as line", "'a.java' as file_path", "'java' as language").distinct()
-    refs = cut(resolve.with_ref_id(as_refs(refs)), "refs")
+    refs = resolve.with_ref_id(cut(as_refs(refs), "refs"))
     declared = items.filter("l_returnflag = 'R'").selectExpr(
         "concat('order:', o_orderkey) as scope", f"{base} + l_linenumber as line", "concat('v', l_suppkey % 5) as name",
         "concat('S', l_suppkey) as type_name", "false as hoisted").unionByName(orders.filter("o_orderstatus = 'F'").selectExpr(
             "concat('customer:', o_custkey) as scope", f"{base} as line", "concat('v', o_orderkey % 5) as name",
             "concat('S', o_custkey % 10) as type_name", "true as hoisted"))
-    answers = scopes.typed_receiver(Graph(nodes, edges), refs, cut(declared, "declared"))
-    return refs.join(answers, "ref_id").select("from_node_id", "reference_name", "line", "target")
+    key = ["from_node_id", "reference_name", "line"]
+    return scopes.typed_receiver(Graph(nodes, edges), refs, cut(declared, "declared"), keep=key).select(*key, "target")
 
 
 # -- packages ---------------------------------------------------------------------
