@@ -166,6 +166,13 @@ def token_count(folded: Column) -> Column:
     return F.coalesce(count, F.lit(0))
 
 
+def tokens(folded: Column) -> Column:
+    """The words of a folded text; none for null."""
+    words = F.when(_plain(folded), F.regexp_extract_all(folded, F.lit("([a-z0-9]+)"), 1)).otherwise(
+        F.regexp_extract_all(folded, F.lit(f"({TOKEN}+)"), 1))
+    return F.coalesce(words, F.array().cast("array<string>"))
+
+
 def phrase_tokens(term: str) -> list[str]:
     out = "".join(c if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co" else " "
                   for c in fold_text(term))
@@ -181,6 +188,19 @@ def phrase_hits(folded: Column, tokens: list[str]) -> Column:
     return F.when(folded.contains(tokens[0]), F.regexp_count(folded, F.lit(pattern))).otherwise(0)
 
 
+def phrase_count(words: Column, phrase: Column) -> Column:
+    """The same count on the words of a text, for a phrase that is a value: (n, head, last), where `head` holds all
+    words but the last, joined by blanks."""
+    before = phrase["n"] - 1
+
+    def at(word: Column, place: Column) -> Column:
+        return (F.array_join(F.slice(words, place + 1, before), " ") == phrase["head"]) & F.coalesce(
+            F.startswith(F.get(words, place + before), phrase["last"]), F.lit(False))
+
+    alone = F.filter(words, lambda word: F.startswith(word, phrase["last"]))
+    return F.size(F.when(before == 0, alone).otherwise(F.filter(words, at)))
+
+
 def fts_phrases(text: str) -> list[list[str]]:
     """Phrases of a full-text query: blanks separate, operators and syntax are dropped."""
     words = re.sub(r"""['"*():^]""", "", text.replace("::", " ")).split()
@@ -203,11 +223,15 @@ def _has_any(column: Column, words: list[str]) -> Column:
     return out
 
 
+def _name_parts(query: str) -> list[str]:
+    parts = [t.lower() for t in re.split(r"[\s_.\-]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", query))]
+    return [t for t in parts if len(t) >= 2]
+
+
 def name_bonus(name: Column | str, query: str) -> Column:
     """How well a name matches the query: 80 whole, 60 one word, 10-40 prefix, 15 all parts, 10 inside."""
     lower = F.lower(F.col(name) if isinstance(name, str) else name)
-    parts = [t.lower() for t in re.split(r"[\s_.\-]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", query))]
-    parts = [t for t in parts if len(t) >= 2]
+    parts = _name_parts(query)
     words = [t.lower() for t in query.split() if len(t) >= 2]
     whole = re.sub(r"\s+", "", query).lower()
     score = F.when(lower == whole, 80.0)
@@ -242,6 +266,30 @@ def path_relevance(path: Column | str, query: str, project: set[str] = frozenset
     return score
 
 
+def term_bonus(path: str, name: str, at: str, terms: list[str]) -> Column:
+    """path_relevance plus name_bonus for the term of number `at` among single-word terms; the terms are values,
+    so the expression is as long for many as for one."""
+    def value(of) -> Column:
+        return F.array(*[_literal(of(t)) for t in terms])[F.col(at)]
+
+    def any_in(column: Column, words: Column) -> Column:
+        return F.exists(words, lambda w: F.contains(column, w))
+
+    lower, words = F.lower(path), value(lambda t: search_terms(t, stems=False))
+    file, folder = basename(lower), dirname(lower, ".")
+    near = F.when(any_in(file, words), 10).otherwise(0) + F.when(any_in(folder, words), 5).when(any_in(lower, words), 3).otherwise(0)
+    near = near - F.when(is_test_file(path), value(lambda t: 0 if re.search("test|spec", t.lower()) else 15)).otherwise(0)
+    low, whole, parts = F.lower(name), value(str.lower), value(_name_parts)
+    share = F.floor(F.lit(10.5) + value(lambda t: 30.0 * len(t)) / F.length(low)).cast("double")
+    named = F.when(low == whole, 80.0).when(F.startswith(low, whole), share).when(
+        (F.size(parts) > 1) & F.forall(parts, lambda p: F.contains(low, p)), 15.0).when(F.contains(low, whole), 10.0).otherwise(0.0)
+    return near + named
+
+
+def _literal(value) -> Column:
+    return F.array(*map(F.lit, value)).cast("array<string>") if isinstance(value, list) else F.lit(value)
+
+
 def matches_symbol(symbol: str) -> Column:
     """Does a node answer to `symbol`: its name, a file stem, or a qualified or path-like form."""
     name, kind = F.col("name"), F.col("kind")

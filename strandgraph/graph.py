@@ -77,8 +77,10 @@ class Graph:
         return self.nodes.filter(condition).select("id")
 
     def materialised(self) -> "Graph":
-        """Write nodes and edges once; iterative callers then scan compact tables."""
-        return replace(self, nodes=cut(self.nodes, "nodes"), edges=cut(self.edges, "edges"), stored=None)
+        """Write nodes and edges once; iterative callers then scan compact tables. Nodes are dealt out evenly, since
+        texts cost far more to search than to read and a scan does not split what one task has written."""
+        parts = int(self.nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return replace(self, nodes=cut(self.nodes.repartition(parts, "id"), "nodes"), edges=cut(self.edges, "edges"), stored=None)
 
 
 _ENDS = {

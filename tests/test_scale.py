@@ -6,6 +6,7 @@ from unittest.mock import patch
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from strandgraph.functions import text as T
 from strandgraph.graph import Graph
 from strandgraph.llm.log_templates import line_tokens
 from strandgraph.operators import search, structure, synth, traversal
@@ -70,3 +71,31 @@ def test_lines_and_their_first_tokens():
                 tokens += len(line.split())
     assert list(zip(text.tolist(), number.tolist(), first.tolist())) == want and len(hashes) == tokens
     assert hashes[2] == 0 and hashes[0] == hashes[-2] and (hashes[[0, 1, 3]] != 0).all()
+
+
+def test_terms_of_a_context_search_are_values(spark):
+    texts = ["user loop users", "super user", "a.b a.bc a. b x.a.b", "Ünïcode user_loop über user", "", None, "ab a b a b", "customer's cust", "日本 user"]
+    rows = spark.createDataFrame([(i, t, p) for i, (t, p) in enumerate(zip(texts, ["src/User/loop.ts", "test/user.ts", "a.b/x", "user.go", "", "src/x_test.py", "spec/a.ts", "geo/n1.py", "user/日本"]))],
+                                 "no int, text string, path string")
+    terms = ["user", "us", "a.b", "über", "cust", "loop", "testUser", "user_loop"]
+    phrases = [T.fts_phrases(t)[0] for t in terms]
+    value = F.array(*[F.struct(F.lit(" ".join(p[:-1])).alias("head"), F.lit(p[-1]).alias("last"), F.lit(len(p)).alias("n")) for p in phrases])
+    folded = rows.select("*", T.fold("text").alias("f"))
+    for i, (t, p) in enumerate(zip(terms, phrases)):
+        got = folded.withColumn("i", F.lit(i)).select(
+            T.phrase_count(T.tokens(F.col("f")), value[i]).alias("a"), F.coalesce(T.phrase_hits(F.col("f"), p), F.lit(0)).alias("b"),
+            T.term_bonus("path", "text", "i", terms).alias("c"), (T.path_relevance("path", t) + T.name_bonus("text", t)).alias("d"),
+            F.size(T.tokens(F.col("f"))).alias("e"), T.token_count(F.col("f")).alias("g")).collect()
+        assert all((r.a, r.c, r.e) == (r.b, r.d, r.g) for r in got), (t, got)
+
+    def patterns(some):  # the regular expressions that a plan holds
+        return plan_of(rows.withColumn("i", F.lit(0)).select(T.term_bonus("path", "text", "i", some))).count("RLIKE")
+
+    assert patterns(terms) == patterns(terms[:1])
+
+
+def test_nodes_written_for_searches_lie_in_several_files(spark):
+    nodes = as_nodes(spark.range(0, 1000, 1, 1).selectExpr("concat('n', id) as id", "'function' as kind", "'x' as name", "'f' as file_path", "'go' as language"))
+    edges = as_edges(spark.createDataFrame([("n1", "n2", "calls")], "source string, target string, kind string"))
+    g = Graph(nodes, edges).materialised()
+    assert len(g.nodes.inputFiles()) > 1 and g.nodes.count() == 1000
