@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..lineage import cut, union_all
+from .sieve import without
 
 VERSION_KEY = "extraction_version"
 
@@ -39,14 +40,13 @@ def stat_changed(stored: DataFrame, current: DataFrame) -> DataFrame:
 
 def remove_files(g: Graph, paths: DataFrame) -> Graph:
     """Graph without the given files: their nodes, every edge at those nodes, their references."""
-    paths = paths.select("path").distinct()
+    paths = cut(paths.select("path").distinct(), "paths")
     gone = g.nodes.join(paths.withColumnRenamed("path", "file_path"), "file_path", "left_semi").select("id")
     gone = cut(gone, "gone")  # used at both edge ends and for the references
     nodes = g.nodes.join(paths.withColumnRenamed("path", "file_path"), "file_path", "left_anti")
-    edges = g.edges.join(gone.withColumnRenamed("id", "source"), "source", "left_anti").join(
-        gone.withColumnRenamed("id", "target"), "target", "left_anti")
+    edges = without(g.edges, gone, "source", "target")
     files = g.files.join(paths, "path", "left_anti") if g.files is not None else None
-    refs = g.refs.join(gone.withColumnRenamed("id", "from_node_id"), "from_node_id", "left_anti") if g.refs is not None else None
+    refs = without(g.refs, gone, "from_node_id") if g.refs is not None else None
     return Graph(nodes, edges, files, refs)
 
 
