@@ -3,7 +3,8 @@
 A stored graph keeps its edges twice, in buckets by either end. A walk leaves them where they are: up to
 `FEW` keys of a frontier become literals, so that Spark opens only their buckets and row groups; a larger frontier
 is shuffled to the buckets, or broadcast while it is below Spark's threshold. Edges of a hub lie under several keys,
-so that no bucket holds all of them; a frontier asks for every key of its hubs.
+so that no bucket holds all of them; a frontier asks for every key of its hubs. Links that do not rest are joined as a
+table; a sieve of a large frontier keeps the edges of other ends out of the shuffle.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import cut, union_all
+from .sieve import Sieve
 
 #: Most keys of a frontier that are given to the scan as literals.
 FEW = 500
@@ -56,7 +58,9 @@ class Links:
         """Edges whose near end is in `level`(id), a stored table of distinct ids."""
         keys = self.keys(level)
         if not self.resting:
-            return union_all([p.join(keys, self.key) for p in self.parts])
+            sieve = Sieve.of(level)
+            parts = self.parts if sieve is None else [sieve.passing(p, self.key) for p in self.parts]
+            return union_all([p.join(keys, self.key) for p in parts])
         few = [r[0] for r in keys.limit(FEW + 1).collect()]
         if len(few) <= FEW:
             out = union_all([p.filter(F.col(self.key).isin(few)) for p in self.parts])

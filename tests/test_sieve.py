@@ -1,10 +1,11 @@
 """Sieves keep rows without a partner out of shuffles and change no result."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandgraph.graph import Graph
 from strandgraph.lineage import cut
-from strandgraph.operators import sieve, sync
+from strandgraph.operators import links, sieve, sync, traversal
 from strandgraph.schema import as_edges, as_nodes
 
 
@@ -66,3 +67,16 @@ def test_remove_files_sieves_edges_before_they_move(spark, graph, always):
     assert got(left.edges.select("source", "target", "line")) == sorted(map(tuple, want), key=str)
     assert left.nodes.count() == 64
     assert "BroadcastHashJoin" in plan(left.edges)
+
+
+@pytest.mark.parametrize("direction", ["outgoing", "incoming", "both"])
+def test_a_walk_sieves_links_before_they_move(spark, graph, monkeypatch, direction):
+    seeds = graph.seeds(F.col("id").isin("n3", "n4"))
+    want = got(traversal.bfs(graph, seeds, direction, max_depth=3))
+    monkeypatch.setattr(sieve, "LEAST", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert got(traversal.bfs(graph, seeds, direction, max_depth=3)) == want
+        assert "BroadcastHashJoin" in plan(graph.links(direction).written().leaving(cut(seeds, "seeds")))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
