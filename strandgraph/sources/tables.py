@@ -46,11 +46,12 @@ class GraphStore:
         nodes.repartitionByRange("kind", "id").sortWithinPartitions("kind", "name").write.partitionBy("kind").parquet(
             self._path(version, "nodes"))
         edges = cut(as_edges(g.edges), "edges")
-        buckets = max(_LEAST_BUCKETS, -(-edges.count() // self.bucket_edges))
+        count = edges.count()
+        buckets = max(_LEAST_BUCKETS, -(-count // self.bucket_edges))
         for name, key, other in _LAYOUTS:
-            hubs = cut(links.hub_slots(edges, key, self.hub_edges), "hubs")
+            hubs = cut(links.hub_slots(edges, key, self.hub_edges, count), "hubs")
             hubs.coalesce(1).write.parquet(self._path(version, f"{name}_hubs"))
-            rows = links.keyed(edges, key, other, hubs).repartition(buckets, "key")
+            rows = links.dealt(edges, key, other, hubs, buckets)
             rows.write.partitionBy("kind").bucketBy(buckets, "key").sortBy("key").format("parquet").option(
                 "path", self._path(version, name)).saveAsTable(self._table(version, name))
         self.spark.range(1).select(F.lit(buckets).alias("buckets")).write.json(self._path(version, "layout"))
