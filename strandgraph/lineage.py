@@ -45,5 +45,14 @@ def cut_measured(df: DataFrame, measures: dict[str, Column], condition: Column,
     return out, seen.get
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the graph and must not pass through the driver.
+
+    The size of a written table is that of its files. Repeated values and columns that are not read make it many times
+    smaller than its rows in memory, so Spark would still broadcast millions of nodes.
+    """
+    return df.hint("merge")
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)

@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 from ..functions.langs import gate, same_family
 from ..functions.paths import basename, dir_parts, dir_prefixes, dirname
 from ..graph import Graph
-from ..lineage import cut, union_all
+from ..lineage import cut, union_all, unsent
 
 OUT = ["ref_id", "target", "confidence", "resolved_by"]
 EDGE_OF = ["from_node_id", "reference_kind", "line", "col"]  # what an edge takes from its reference
 TYPE_KINDS = ["class", "struct", "interface"]
 CALLABLE = ["function", "method"]
+REF_ID = ["from_node_id", "reference_kind", "reference_name", "line", "col"]  # what a ref_id is made of
 CLASS = ["reference_name", "reference_kind", "language", "file_path"]  # what decides a reference by name besides its line
 NEAR = 200  # lines beyond which two positions in one file are equally far
 
@@ -105,7 +106,7 @@ def _exact(nodes: DataFrame, refs: DataFrame) -> DataFrame:
     """Stored references with the number of their candidates `n`, the `best` by class and the winner `win`, null without any."""
     classes = cut(refs.select(*CLASS).distinct(), "classes")
     cand = _named(nodes, classes)
-    out = refs.join(cut(_by_class(cand, classes), "best"), CLASS, "left")
+    by_class = cut(_by_class(cand, classes), "best")
 
     # Definitions in the same file also score by distance in lines. They lie in bins as wide as the reach and in
     # both neighbours, so a reference looks into its own bin only, which holds few of them.
@@ -115,15 +116,17 @@ def _exact(nodes: DataFrame, refs: DataFrame) -> DataFrame:
     around = by_line.withColumn("bin", F.explode(F.array(*[F.floor(F.col("cand_line") / NEAR) + d for d in (-1, 0, 1)]))).groupBy(
         F.col("name").alias("reference_name"), "file_path", "bin").agg(
         F.collect_list(F.struct("cand_line", "cand_lang", "cand_kind", "exported", "target")).alias("around"))
-    out = out.withColumn("bin", F.floor(F.col("line") / NEAR)).join(around, ["reference_name", "file_path", "bin"], "left")
+    # What the class settles comes in behind, so that references travel to their bins without it.
+    out = refs.withColumn("bin", F.floor(F.col("line") / NEAR)).join(unsent(around), ["reference_name", "file_path", "bin"], "left")
 
     def apart(c: Column) -> Column:
         return F.abs(c["cand_line"] - F.col("line"))
 
     close = F.filter("around", lambda c: (apart(c) < NEAR) & gate(F.col("reference_kind"), c["cand_lang"], F.col("language")))
     near = F.array_min(F.transform(close, lambda c: _here(F.greatest(F.lit(0.0), 20 - apart(c) / 10), c)))
+    out = out.withColumn("close", near).drop("bin", "around").join(by_class, CLASS, "left")
     far = F.when(F.col("line").isNotNull(), F.col("far"))
-    return out.withColumn("win", F.least("best", far, near)).drop("bin", "around", "far")
+    return out.withColumn("win", F.least("best", far, "close")).drop("close", "far")
 
 
 def exact_name(nodes: DataFrame, refs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -507,9 +510,9 @@ def edges_from(g: Graph, refs: DataFrame, answers: DataFrame) -> DataFrame:
     """
     target = g.nodes.select(F.col("id").alias("target"), F.col("kind").alias("target_kind"))
     rows = answers if set(EDGE_OF) <= set(answers.columns) else refs.join(answers, "ref_id")
-    rows = rows.join(target, "target")
+    rows = rows.join(unsent(target), "target")
     source = g.nodes.select(F.col("id").alias("from_node_id"), F.col("kind").alias("source_kind"))
-    rows = rows.join(source, "from_node_id", "left")
+    rows = rows.join(unsent(source), "from_node_id", "left")
     contract = ["interface", "protocol"]
     kind = (
         F.when(F.col("reference_kind") == "function_ref", "references")

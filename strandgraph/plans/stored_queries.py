@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..lineage import checkpoint_root, cut
+from ..lineage import checkpoint_root, cut, unsent
 from ..operators import derive, resolve, traversal
 from ..schema import as_edges, as_nodes
 from ..sources.supports import SupportLog
@@ -79,8 +79,8 @@ def _with_files(nodes, refs) -> Graph:
     files = nodes.selectExpr("concat('file:', file_path) as id", "'file' as kind", "substring_index(file_path, '/', -1) as name",
                              "file_path", "language").distinct()
     contains = nodes.selectExpr("concat('file:', file_path) as source", "id as target", "'contains' as kind", "start_line as line")
-    kept = refs.join(nodes.select(F.col("id").alias("from_node_id")), "from_node_id", "left_semi").select(*refs.columns)
-    return Graph(as_nodes(nodes.unionByName(as_nodes(files))), as_edges(contains), None, kept)
+    kept = refs.join(unsent(nodes.select(F.col("id").alias("from_node_id"))), "from_node_id", "left_semi").select(*refs.columns)
+    return Graph(as_nodes(nodes.unionByName(as_nodes(files))), as_edges(contains), None, resolve.with_ref_id(cut(kept.drop("ref_id"), "refs")))
 
 
 def _exact(g: Graph, refs):

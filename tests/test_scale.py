@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from strandgraph.functions import text as T
 from strandgraph.graph import Graph
 from strandgraph.llm.log_templates import line_tokens
-from strandgraph.operators import search, structure, synth, traversal
+from strandgraph.lineage import cut
+from strandgraph.operators import context, ordered, resolve, scans, scopes, search, structure, synth, traversal
 from strandgraph.operators.search import SearchIndex
-from strandgraph.schema import as_edges, as_nodes
+from strandgraph.plans import resolve_queries, stored_queries
+from strandgraph.schema import as_edges, as_nodes, as_refs
 
 
 def plan_of(df) -> str:
@@ -99,3 +101,29 @@ def test_nodes_written_for_searches_lie_in_several_files(spark):
     edges = as_edges(spark.createDataFrame([("n1", "n2", "calls")], "source string, target string, kind string"))
     g = Graph(nodes, edges).materialised()
     assert len(g.nodes.inputFiles()) > 1 and g.nodes.count() == 1000
+
+
+def functions(spark, n: int):
+    return as_nodes(spark.range(n).selectExpr("concat('n', id) as id", "'function' as kind", "concat('f', id % 5) as name",
+                                              "concat('src/', id % 7, '.go') as file_path", "'go' as language", "cast(id * 3 as int) as start_line"))
+
+
+def test_nodes_do_not_pass_through_the_driver(spark):
+    """A written table of nodes looks small; as a broadcast it would be many times larger."""
+    nodes = cut(functions(spark, 300), "nodes")
+    edges = cut(as_edges(spark.range(600).selectExpr("concat('n', id % 300) as source", "concat('n', id * 7 % 300) as target", "'calls' as kind")), "edges")
+    refs = resolve_queries.flow_refs(Graph(nodes, edges))
+    known = {(r["from_node_id"], r["reference_name"]) for r in refs.collect()}
+    assert known == {(f"n{i % 300}", f"f{i * 7 % 300 % 5}") for i in range(600)}
+    seen = []
+    with patch.object(resolve_queries, "cut", lambda df, label="": seen.append(df) or cut(df, label)):
+        resolve_queries.flow_refs(Graph(nodes, edges))
+    with patch.object(stored_queries, "cut", lambda df, label="": seen.append(df) or cut(df, label)):
+        state = stored_queries._with_files(nodes, refs)
+    answers = resolve.exact_name(nodes, refs, resolve.EDGE_OF)
+    assert answers.count() == refs.count() == state.refs.count()
+    found = resolve.edges_from(state, refs, cut(answers, "answers"))
+    assert found.count() == refs.count()
+    assert len(seen) == 2 and not any("Broadcast" in plan_of(df) for df in [*seen, found])
+    near = [line for line in plan_of(answers).splitlines() if "Join" in line and "bin" in line]
+    assert near and not any("Broadcast" in line for line in near)
