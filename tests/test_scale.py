@@ -127,3 +127,30 @@ def test_nodes_do_not_pass_through_the_driver(spark):
     assert len(seen) == 2 and not any("Broadcast" in plan_of(df) for df in [*seen, found])
     near = [line for line in plan_of(answers).splitlines() if "Join" in line and "bin" in line]
     assert near and not any("Broadcast" in line for line in near)
+
+
+def test_edges_within_files_count_nodes_that_share_an_id(spark):
+    nodes = as_nodes(spark.createDataFrame([("a", "f"), ("b", "f"), ("b", "f"), ("b", "g"), ("c", "g")], "id string, file_path string").selectExpr(
+        "*", "'function' as kind", "id as name", "'go' as language"))
+    edges = as_edges(spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "b"), ("b", "c"), ("a", "c"), ("a", "x"), (None, "b")], "source string, target string"))
+    rows = scans.in_file_edges(Graph(nodes, edges))
+    assert {r["file_path"]: r["edge_count"] for r in rows.collect()} == {"f": 2 * 2 + 2 * 2, "g": 1 + 1}
+    assert not re.search(r"hashpartitioning\(source#\d+, target#", plan_of(rows))  # all pairs of ends are not counted
+
+
+def test_a_context_joins_all_nodes_with_few_rows_only(spark):
+    nodes = as_nodes(spark.createDataFrame(
+        [("w", "class", "Widget"), ("x", "class", "Gadget"), ("i", "import", "Widget"), ("e", "parameter", "widget_e"), ("m", "method", "open")],
+        "id string, kind string, name string").selectExpr("*", "'a/b.go' as file_path", "'go' as language"))
+    edges = as_edges(spark.createDataFrame([("i", "x", "imports"), ("i", "gone", "imports"), ("w", "m", "contains"), ("w", "e", "contains"), ("w", "far", "calls")],
+                                           "source string, target string, kind string"))
+    g = Graph(nodes, edges)
+    ranked = spark.createDataFrame([("w", "class", 9.0), ("w", "class", 9.0), ("i", "import", 7.0), (None, "class", 8.0)], "id string, kind string, score double")
+    every = context._definitions_of_imports(g, ranked)
+    assert sorted(tuple(r) for r in every.collect()) == [("w", 9.0), ("w", 9.0), ("x", 7.0)]
+    seen = {}
+    with patch.object(context, "cut", lambda df, label="": seen.setdefault(label, df) and cut(df, label)):
+        ctx = context.find(g, "widget", search_limit=1)
+    assert {r["id"] for r in ctx.nodes.collect()} == {"w", "m"}  # no parameters, nothing that is not there
+    assert [r["id"] for r in seen["step"].select("id").orderBy("id").collect()] == ["e", "far", "m"]  # kinds are asked for behind the step
+    assert seen["first"].columns == ["id", "score"]
