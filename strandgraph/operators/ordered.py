@@ -61,20 +61,26 @@ def enclosing(points: DataFrame, spans: DataFrame, width: int = 64) -> DataFrame
         "file_path", "line", F.col("b.id").alias("id"))
 
 
-def as_of(points: DataFrame, facts: DataFrame, keys: list[str], order: str, value: str, width: int = 4096) -> DataFrame:
+def as_of(points: DataFrame, facts: DataFrame, keys: list[str], order: str, value: str, width: int = 4096,
+          otherwise: DataFrame | None = None) -> DataFrame:
     """Points with the value of the latest fact at or before them within their group, null if there is none.
 
     points(keys, order, ...), facts(keys, order, value); `order` is an integer. Facts of one place count as
-    the smallest of them. Rows with a null order see nothing.
+    the smallest of them. Rows with a null order see nothing. `otherwise`(keys, value) has at most one row a group and
+    gives the value of points that see no fact; it joins the buckets, so that points do not move for it.
     """
     known = facts.filter(F.col(order).isNotNull()).groupBy(*keys, order).agg(F.min(value).alias(value))
     known = known.select(*keys, order, value, F.lit(0).alias("_point"))
     rows = points.withColumn("_point", F.lit(1)).unionByName(known, allowMissingColumns=True)
-    rows = rows.withColumn("_b", F.floor(F.col(order) / width))
+    # Points without an order lie in a bucket of their own before all others.
+    rows = rows.withColumn("_b", F.coalesce(F.floor(F.col(order) / width), F.lit(-(1 << 62))))
     inside = Window.partitionBy(*keys, "_b").orderBy(F.col(order), "_point").rowsBetween(Window.unboundedPreceding, 0)
     across = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     last = rows.groupBy(*keys, "_b").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_last"))
     last = last.select(*keys, "_b", F.last("_last", ignorenulls=True).over(across).alias("_carry"))
+    if otherwise is not None:
+        last = last.join(otherwise.withColumnRenamed(value, "_else"), keys, "left").withColumn(
+            "_carry", F.coalesce("_carry", "_else")).drop("_else")
     near = rows.withColumn("_near", F.last(value, ignorenulls=True).over(inside)).filter("_point = 1")
     joined = near.join(last, [*keys, "_b"], "left")
     return joined.withColumn(value, F.coalesce("_near", "_carry")).drop("_point", "_b", "_near", "_carry")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..graph import Graph
 from ..lineage import cut, union_all
 from .ordered import as_of, enclosing
-from .resolve import method_on_type
+from .resolve import REF_ID, method_on_type, with_ref_id
 from .traversal import ancestors
 
 TYPED_LANGUAGES = ["cpp", "java", "kotlin"]
@@ -85,28 +85,31 @@ def visible_types(uses: DataFrame, declared: DataFrame, chains: DataFrame) -> Da
     key = ["at", "name"]
     facts = declared.select(F.col("scope").alias("at"), "name", F.col("line").cast("long").alias("line"), "type_name", "hoisted")
     points = uses.select("use_id", "scope", F.col("line").cast("long").alias("line"), "name").join(chains, "scope").join(
-        facts.select(*key).distinct(), key, "left_semi")
-    seen = as_of(points, facts.select(*key, "line", "type_name"), key, "line", "type_name")
-    first = facts.filter("hoisted").groupBy(*key).agg(F.min(F.struct("line", "type_name"))["type_name"].alias("first"))
-    seen = seen.join(first, key, "left").withColumn("type_name", F.coalesce("type_name", "first")).filter("type_name is not null")
-    return seen.groupBy("use_id").agg(F.min_by("type_name", F.struct("level", "type_name")).alias("type_name"))
+        facts.select(*key).distinct(), key, "left_semi").select("use_id", "level", *key, "line")
+    first = facts.filter("hoisted").groupBy(*key).agg(F.min(F.struct("line", "type_name"))["type_name"].alias("type_name"))
+    # Written once, since they are looked at twice: for their buckets and for their values.
+    seen = as_of(cut(points, "points"), facts.select(*key, "line", "type_name"), key, "line", "type_name", otherwise=first)
+    return seen.filter("type_name is not null").groupBy("use_id").agg(F.min_by("type_name", F.struct("level", "type_name")).alias("type_name"))
 
 
 def typed_receiver(g: Graph, refs: DataFrame, declared: DataFrame, chains: DataFrame | None = None,
                    keep: Sequence[str] = ()) -> DataFrame:
     """`receiver.method` by the declared type of the receiver, on that type or its nearest supertype, at 0.9.
 
-    Uses travel under a number; `keep` names further columns of the reference for the answer.
+    Uses travel under a number, the other columns of a reference move once, for the answers only. `keep` names further
+    ones for the answer; references without a `ref_id` get theirs from the columns it is made of.
     """
     pattern = r"^(?:this\.)?([A-Za-z_$][\w$]*)\.([A-Za-z_$][\w$]*)$"
+    named = "ref_id" in refs.columns
+    columns = dict.fromkeys(["from_node_id", "line", "language", *(["ref_id"] if named else REF_ID), *keep])
     calls = refs.filter(F.col("reference_name").rlike(pattern)).select(
-        F.monotonically_increasing_id().alias("use_id"), F.col("from_node_id").alias("scope"), F.col("line").alias("at_line"),
-        F.col("language").alias("lang"), F.regexp_extract("reference_name", pattern, 1).alias("name"),
-        F.regexp_extract("reference_name", pattern, 2).alias("method"), F.struct("ref_id", *keep).alias("ref"))
+        F.monotonically_increasing_id().alias("use_id"), *columns,
+        F.regexp_extract("reference_name", pattern, 1).alias("_name"), F.regexp_extract("reference_name", pattern, 2).alias("_method"))
     calls = cut(calls, "typed-calls")
-    uses = calls.select("use_id", "scope", F.col("at_line").alias("line"), "name")
+    uses = calls.select("use_id", F.col("from_node_id").alias("scope"), "line", F.col("_name").alias("name"))
     types = visible_types(uses, declared, scope_chains(g) if chains is None else chains)
-    typed = cut(calls.join(types, "use_id").select("ref", "type_name", "method", F.col("lang").alias("language")), "typed")
-    hit = typed.join(method_on_type(g, typed), ["type_name", "method", "language"])
-    return hit.select("ref.ref_id", "target", F.lit(0.9).alias("confidence"), F.lit("instance-method").alias("resolved_by"),
-                      *[f"ref.{c}" for c in keep])
+    typed = cut(calls.select("use_id", F.col("_method").alias("method"), "language").join(types, "use_id"), "typed")
+    hit = typed.join(method_on_type(g, typed), ["type_name", "method", "language"]).select("use_id", "target")
+    out = calls.join(hit, "use_id")
+    return (out if named else with_ref_id(out)).select(
+        "ref_id", "target", F.lit(0.9).alias("confidence"), F.lit("instance-method").alias("resolved_by"), *keep)

@@ -73,7 +73,7 @@ def _(spark, sf):
     refs = items.filter("l_returnflag != 'R'").selectExpr(
         "concat('order:', o_orderkey) as from_node_id", "concat('v', l_partkey % 5, '.m', cast(l_quantity as bigint) % 20) as reference_name",
         "'calls' as reference_kind", f"{base} + l_linenumber as line", "'a.java' as file_path", "'java' as language").distinct()
-    refs = resolve.with_ref_id(cut(as_refs(refs), "refs"))
+    refs = cut(as_refs(refs), "refs")  # typed_receiver gives them their identity
     declared = items.filter("l_returnflag = 'R'").selectExpr(
         "concat('order:', o_orderkey) as scope", f"{base} + l_linenumber as line", "concat('v', l_suppkey % 5) as name",
         "concat('S', l_suppkey) as type_name", "false as hoisted").unionByName(orders.filter("o_orderstatus = 'F'").selectExpr(

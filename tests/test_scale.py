@@ -154,3 +154,28 @@ def test_a_context_joins_all_nodes_with_few_rows_only(spark):
     assert {r["id"] for r in ctx.nodes.collect()} == {"w", "m"}  # no parameters, nothing that is not there
     assert [r["id"] for r in seen["step"].select("id").orderBy("id").collect()] == ["e", "far", "m"]  # kinds are asked for behind the step
     assert seen["first"].columns == ["id", "score"]
+
+
+def test_receivers_travel_once(spark):
+    points = spark.createDataFrame([("a", 5, 1), ("a", 1, 2), ("a", None, 3), ("b", 9, 4), ("c", 9, 5), ("a", 9000, 6), (None, 1, 7)], "k string, o long, n int")
+    facts = spark.createDataFrame([("a", 3, "x"), ("b", 10, "y")], "k string, o long, v string")
+    first = spark.createDataFrame([("a", "first"), ("b", "only"), (None, "none")], "k string, v string")
+    got = {r["n"]: r["v"] for r in ordered.as_of(points, facts, ["k"], "o", "v", otherwise=first).collect()}
+    assert got == {1: "x", 2: "first", 3: "first", 4: "only", 5: None, 6: "x", 7: None}
+
+    uses = spark.createDataFrame([(1, "m", 5, "v"), (2, "m", None, "w"), (3, None, 5, "v")], "use_id long, scope string, line int, name string")
+    chains = spark.createDataFrame([("m", "m", 0), ("m", "c", 1)], "scope string, at string, level int")
+    declared = spark.createDataFrame([("m", 4, "v", "T", False), ("c", 90, "w", "U", True), ("c", 1, "v", "V", True)],
+                                     "scope string, line int, name string, type_name string, hoisted boolean")
+    types = scopes.visible_types(uses, declared, chains)
+    assert {tuple(r) for r in types.collect()} == {(1, "T"), (2, "U")}
+    assert "ExistingRDD[scope#" in plan_of(types) and not re.search(r"ExistingRDD\[scope#\d+,at#", plan_of(types))  # chains were joined before
+
+    nodes = as_nodes(spark.createDataFrame([("T::go", "method", "go"), ("c", "class", "c"), ("m", "method", "m")], "id string, kind string, name string").selectExpr(
+        "*", "id as qualified_name", "'a.java' as file_path", "'java' as language"))
+    refs = as_refs(spark.createDataFrame([("m", "v.go", "calls", 5), ("m", "this.v.go", "calls", 6), ("m", "go", "calls", 7)],
+                                         "from_node_id string, reference_name string, reference_kind string, line int").selectExpr("*", "'a.java' as file_path", "'java' as language"))
+    g = Graph(nodes, as_edges(spark.createDataFrame([("c", "m", "contains")], "source string, target string, kind string")))
+    plain, named = (scopes.typed_receiver(g, r, declared, keep=["line"]) for r in (refs, resolve.with_ref_id(refs)))
+    rows = [sorted(tuple(r) for r in df.select("ref_id", "target", "confidence", "resolved_by", "line").collect()) for df in (plain, named)]
+    assert rows[0] == rows[1] == [("m|calls|this.v.go|6|0", "T::go", 0.9, "instance-method", 6), ("m|calls|v.go|5|0", "T::go", 0.9, "instance-method", 5)]
